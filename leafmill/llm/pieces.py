@@ -59,11 +59,11 @@ class PieceEncoder:
         self._memory = Memory()
 
     def cut(self, text: str) -> list[str]:
-        """A text's pieces. One after a newline keeps it; the first one has a tab before it."""
+        """A text's pieces. One after a newline keeps it; the first one has two, as no other has."""
         if not self._keep_space:
             return text.replace("\n", " ").split(" ")
         found = text.replace("\n", " \n").split(" ")
-        found[0] = "\t" + found[0]
+        found[0] = "\n\n" + found[0]
         return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
@@ -102,12 +102,13 @@ class PieceEncoder:
                 odd.append(x)
                 odd_text.append(x)
             else:
-                rest = x[1:] if x[:1] in ("\t", "\n") else x
+                first = x.startswith("\n\n")
+                rest = x[2:] if first else x.removeprefix("\n")
                 if not rest or _SPACE.search(rest):
                     known[x] = None
                 else:
                     odd.append(x)
-                    odd_text.append(" " + x if rest is x else x if x[0] == "\n" else rest)
+                    odd_text.append(rest if first else x if x[0] == "\n" else " " + x)
         ids_of_tail = dict.fromkeys(tails, b"")
         marks = [t for t in ids_of_tail if t]
         ids_of_tail.update(zip(marks, self._encode_many(marks)))
