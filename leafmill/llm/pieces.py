@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 #: Pieces that a worker remembers in each of two generations.
 REMEMBERED = 350_000
@@ -117,8 +118,12 @@ class PieceEncoder:
         known.update(zip(odd, self._encode_many(odd_text)))
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str, keep_space: bool) -> PieceEncoder:
-    """By the tokenizers library, from one of its files; strings of special tokens are ordinary text."""
+    """By the tokenizers library, from one of its files; strings of special tokens are ordinary text.
+
+    A worker process keeps its encoder, and what that remembers, from task to task.
+    """
     import os
 
     import numpy as np
