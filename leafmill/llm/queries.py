@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, packing, quality_rules, simhash, storage, token_files, vector_topk
+from . import byte_bpe, chat, language_crf, license_scan, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
+from .holdout import held_out
 
 BYTE_BPE, BYTE_BPE_IDS = "byte_bpe_50k.json", 50_257
 WORD_BPE, MULTI_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, with the labelled examples that say so."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -31,6 +39,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its words' distributions."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_crf.predict(docs, language_crf.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document that carries a notice."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to."""
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN, ids=False)
@@ -62,8 +81,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_language": op4_language,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
     "op8_quality_rules": op8_quality_rules,
