@@ -1,10 +1,332 @@
-"""Registry of the library's own queries and of their SQL."""
+"""Registry of the library's own queries over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .functions import text as t
+from .functions import urls as u
+from .functions.html import first_tag
+from .operators import pages as pg
+from .operators import robots
+from .oracles import ORACLES
+from .plans import crawl, epub, logs, site_config, toc
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+#: No number is -1, so that the column has no nulls.
+NUMBER = "coalesce(chapter_no, -1) AS chapter_no"
+
+
+def _links(s, d):
+    return toc.links(_t(s, d, "pages"))
+
+
+def links_all(s, d):
+    return _links(s, d).select("page_id", F.col("pos").cast("long").alias("pos"), "href", "title")
+
+
+def links_resolved_same_domain(s, d):
+    out = _links(s, d)
+    return out.filter(toc.same_domain(F.col("link_url"), F.col("url"))).select("page_id", F.col("pos").cast("long").alias("pos"), "link_url")
+
+
+def links_first_wins(s, d):
+    return toc.first_wins(_links(s, d), ["link_url"], ["page_id", "pos"]).select("link_url", "page_id", F.col("pos").cast("long").alias("pos"), "title")
+
+
+def page_metadata(s, d):
+    out = pg.page_metadata(_t(s, d, "pages"), u.config_name(F.col("url")))
+    return out.select("page_id", "title", F.char_length("title").cast("long").alias("title_chars"))
+
+
+def article_text(s, d):
+    out = crawl.extract_chapter(_t(s, d, "pages"), remove=crawl.DEFAULT_REMOVE)
+    return out.select("page_id", "body", "error")
+
+
+def chapter_text_file(s, d):
+    out = crawl.extract_chapter(_t(s, d, "pages"), remove=crawl.DEFAULT_REMOVE)
+    return out.filter("error IS NULL").select("page_id", t.chapter_path(F.col("page_id")).alias("path"), t.chapter_file(F.coalesce("title", "url"), F.col("body")).alias("content"))
+
+
+def _titled(s, d) -> DataFrame:
+    """Pages as chapter links of their hosts: every 11th a notice, every 5th without a number."""
+    n = F.col("page_id")
+    title = (
+        F.when(n % 11 == 0, F.concat(F.lit("Notice "), n.cast("string")))
+        .when(n % 5 == 0, F.concat(F.lit("Interlude "), n.cast("string")))
+        .when(n % 3 == 0, F.concat(F.lit("Ep. #"), (n % 40).cast("string")))
+        .otherwise(F.concat(F.lit("Chapter  "), (n % 40).cast("string"), F.lit(": on")))
+    )
+    return _t(s, d, "pages").select("page_id", u.authority(F.col("url")).alias("host"), title.alias("title"))
+
+
+def chapter_number(s, d):
+    return _titled(s, d).select("page_id", F.coalesce(t.chapter_number(F.col("title")), F.lit(-1)).alias("chapter_no"), t.is_notice(F.col("title")).alias("is_notice"))
+
+
+def likely_chapters(s, d):
+    return toc.likely_chapters(_titled(s, d), ["host"], F.col("title")).selectExpr("page_id", "host", NUMBER)
+
+
+def likely_fallback(s, d):
+    items = _titled(s, d).withColumn("title", F.replace("title", F.lit("Chapter"), F.lit("Part"))).withColumn("title", F.replace("title", F.lit("Ep. #"), F.lit("Part ")))
+    return toc.likely_chapters(items, ["host"], F.col("title")).select("page_id", "host", "title")
+
+
+def _ordered(s, d, reverse, numbered):
+    items = _titled(s, d)
+    items = toc.likely_chapters(items, ["host"], F.col("title")) if numbered else items.withColumn("chapter_no", t.chapter_number(F.col("title")))
+    return toc.order_chapters(items, ["host"], "page_id", reverse).selectExpr("host", "position", "page_id", NUMBER)
+
+
+def toc_walk(s, d):
+    ids = _t(s, d, "pages").select("page_id")
+    n = ids.agg(F.count("*").alias("n"))
+    edges = ids.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("page"), ((F.col("page_id") * 7 + 3) % F.col("n")).alias("next_page"))
+    starts = ids.filter("page_id % 10 = 0").select(F.col("page_id").alias("start"), F.col("page_id").alias("page"))
+    return toc.walk(s, starts, edges, 12)
+
+
+def _discovered(s, d):
+    return _t(s, d, "documents").select("doc_id", F.col("source").alias("site"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+def _resumed(s, d):
+    existing = _t(s, d, "labels").select("doc_id", F.col("quality").cast("long").alias("n_bytes"))
+    return crawl.resume(_discovered(s, d), existing, "doc_id")
+
+
+def resume_split(s, d):
+    return _resumed(s, d).select("doc_id", "skipped")
+
+
+def _outcomes(s, d):
+    rows = _resumed(s, d).withColumn("status", F.when(F.col("skipped"), "skipped").when(F.col("doc_id") % 7 == 3, "failed").otherwise("fetched"))
+    return crawl.quota(rows, ["site"], "doc_id", F.col("status") == "fetched", 20)
+
+
+def quota_prefix(s, d):
+    return _outcomes(s, d).select("site", "doc_id", "status")
+
+
+def manifest_rollup(s, d):
+    return crawl.manifest(_outcomes(s, d), _discovered(s, d), ["site"])
+
+
+def manifest_document(s, d):
+    rows = _outcomes(s, d).withColumn("index", F.col("doc_id")).withColumn("error", F.when(F.col("status") == "failed", "content is empty"))
+    out = crawl.manifest_document(rows, ["site"])
+    return out.select("site", F.size("chapters").cast("long").alias("n_chapters"), F.size("errors").cast("long").alias("n_errors"), F.array_join(F.transform("errors", lambda e: e["index"].cast("string")), ",").alias("error_ids"), F.get("chapters", F.lit(0))["url"].alias("first_url"))
+
+
+def reconcile_interrupted(s, d):
+    attempted = _t(s, d, "documents").select("doc_id")
+    recorded = _t(s, d, "labels").filter("quality = 1").select("doc_id")
+    on_disk = _t(s, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"))
+    return crawl.reconcile(attempted, recorded, on_disk, "doc_id")
+
+
+def spine_join(s, d):
+    lines = _t(s, d, "lineitem")
+    spine = lines.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 5).cast("string").alias("idref"))
+    items = lines.select(F.col("l_orderkey").alias("book"), (F.col("l_linenumber") * F.lit(1 << 32) + F.col("l_partkey")).alias("item_pos"), (F.col("l_suppkey") % 5).cast("string").alias("id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string"), F.lit(".xhtml")).alias("href"))
+    out = epub.spine_join(spine, items, ["book"])
+    return out.select("book", F.col("pos").cast("long").alias("pos"), "idref", "href")
+
+
+def _sections(s, d):
+    n = F.col("doc_id")
+    title = F.when(n % 13 == 0, "").when(n % 11 == 0, "Announcement 3").when(n % 17 == 0, "Table of Contents").when((F.col("source") < "src5") & (n % 4 == 0), F.concat(F.lit("Episode "), (n % 30).cast("string"))).otherwise(F.concat(F.lit("Story "), n.cast("string")))
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return _t(s, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("index"), title.alias("title"), F.concat(F.lit("OEBPS/s"), n.cast("string"), F.lit(".xhtml")).alias("source_path"), "text")
+
+
+def section_select(s, d):
+    return epub.select_chapters(_sections(s, d), ["source"]).select("doc_id", "source", "number")
+
+
+def section_duplicates(s, d):
+    kept, twice = epub.unique_numbers(epub.select_chapters(_sections(s, d), ["source"]), ["source"])
+    return kept.groupBy("source").agg(F.count("*").alias("n_kept"), F.sum("doc_id").alias("sum_ids")).join(twice.groupBy("source").agg(F.count("*").alias("n_warnings")), "source", "left").na.fill(0)
+
+
+def illustration_names(s, d):
+    images = _links(s, d).withColumn("suffix", F.when(F.col("pos") % 3 == 0, ".PNG").when(F.col("pos") % 3 == 1, ".bmp").otherwise(".jpeg"))
+    host = u.authority(F.col("url"))
+    images = images.select("page_id", host.alias("host"), "pos", F.concat(F.lit("img/"), F.col("pos").cast("string"), F.col("suffix")).alias("source"))
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    overall = F.row_number().over(Window.partitionBy("host").orderBy("page_id", "pos")).cast("long")
+    out = images.withColumns({"n": n, "image_index": overall})
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "image_index", t.illustration_name(F.col("page_id").cast("int"), F.col("n"), F.col("source")).alias("file"))
+
+
+def marker_substitution(s, d):
+    n = F.col("doc_id")
+    text = F.concat(F.lit("[[EPUB_IMAGE:1]]\n\n"), F.left("text", F.lit(40)), F.lit("\n\n[[EPUB_IMAGE:2]]\n\nend\n\n[[EPUB_IMAGE:3]]"))
+    keep = F.array(n % 2 == 0, n % 3 == 0, n % 5 == 0)
+    return _t(s, d, "documents").filter("NOT contains(text, '\n\n\n')").select("doc_id", epub.marks_renumbered(text, keep).alias("text"))
+
+
+def page_quality(s, d):
+    out = pg.page_quality(_t(s, d, "pages"))
+    return out.select("page_id", "bad_suspect", "error_suspect", "challenge_suspect")
+
+
+def http_usable(s, d):
+    status = F.when(F.col("event_type") == "error", 403 + (F.col("event_id") % 200)).otherwise(200).cast("int")
+    rows = _t(s, d, "events").select("event_id", status.alias("status"), F.repeat(F.lit("x"), F.col("value").cast("int") * 20).alias("body"))
+    return rows.select("event_id", F.col("status").cast("long").alias("status"), pg.usable(F.col("status"), F.col("body")).alias("usable"), pg.retriable(F.col("status")).alias("retriable"))
+
+
+def origin_robots(s, d):
+    pages = _t(s, d, "pages").select("page_id", "url")
+    every = pages.select(u.origin(F.col("url")).alias("origin")).distinct()
+    body = F.when(F.contains("origin", F.lit("blog")), "User-agent: *\nDisallow: /en/\nAllow: /en/9 # never reached\n\nUser-agent: other\nDisallow: /").otherwise(
+        "User-agent: leafmill\nAllow: /fr\nDisallow: /de\nDisallow: /fr\n\nUser-agent: *\nDisallow: /"
+    )
+    rules = robots.parse(every.select("origin", body.alias("body")).filter("origin NOT LIKE '%spam%'"))
+    return robots.allowed(pages, rules, "leafmill", key=["page_id", "url"]).select("page_id", "can_fetch")
+
+
+def known_domain_config(s, d):
+    pages = _t(s, d, "pages")
+    configs = pages.filter("page_id % 4 = 0").select(F.concat(F.lit("c"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".json")).alias("file_name"), F.col("url").alias("start_url"))
+    return site_config.known_config(pages.select("page_id", "url"), configs).select("page_id", "config_file")
+
+
+def selector_report(s, d):
+    pages = _t(s, d, "pages")
+    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    report = pages.select("page_id", F.lit("chapter_link_selector").alias("k1"), count(r"(?i)<a\s").alias("n1"), count(r"(?i)<h1[\s>]").alias("n2"), count(r"(?i)<article[\s>]").alias("n3"), count(r"class=\"cover\"").alias("n4"))
+    out = report.select("page_id", F.expr("stack(4, 'chapter_link_selector', 'a', n1, 'novel_title_selector', 'h1', n2, 'chapter_content_selector', 'article', n3, 'illustration_selector', '.cover', n4) AS (selector_key, selector, matches)"))
+    issues = pg.selector_issues(out).select("page_id", "selector_key", "issue")
+    return out.join(issues, ["page_id", "selector_key"], "left").select("page_id", "selector_key", "matches", F.col("issue").isNull().alias("ok"))
+
+
+def cache_lookup(s, d):
+    pages = _t(s, d, "pages")
+    cache = pages.filter("page_id % 3 = 0").select(t.cache_key(F.col("url")).alias("key"), F.lit(True).alias("hit")).distinct()
+    out = pages.withColumn("key", t.cache_key(F.col("url"))).join(cache, "key", "left")
+    return out.select("page_id", "key", F.coalesce("hit", F.lit(False)).alias("from_cache"))
+
+
+def config_defaults(s, d):
+    n = F.col("n_nationkey")
+    raw = F.concat(
+        F.lit('{"name":"'), F.col("n_name"), F.lit('"'),
+        F.when(n % 5 != 4, F.lit(',"start_url":"https://x.example/toc"')).otherwise(""),
+        F.lit(',"chapter_link_selector":"a","chapter_content_selector":"article"'),
+        F.when(n % 3 == 0, F.lit(',"remove_selectors":".ad"')).when(n % 3 == 1, F.lit(',"remove_selectors":["p","q"]')).otherwise(""),
+        F.when(n % 7 == 2, F.lit(',"version":2')).when(n % 7 == 3, F.lit(',"version":0')).otherwise(""),
+        F.when(n % 2 == 0, F.lit(',"max_toc_pages":7,"author_selector":"  "')).otherwise(""), F.lit("}"),
+    )
+    out = site_config.typed(_t(s, d, "nation").select("n_nationkey", raw.alias("value")))
+    return out.select(n, "max_toc_pages", "same_domain", "version", F.array_join("remove_selectors", "|").alias("removed"), F.col("author_selector").isNull().alias("no_author"), "error")
+
+
+def selector_dedup(s, d):
+    n = F.col("p_partkey")
+    listed = F.when(n % 4 == 0, F.array(F.lit("p"), F.lit("script"), F.lit("p"))).when(n % 4 == 1, F.array(F.lit("style"), F.lit("q"))).when(n % 4 == 2, F.array(F.lit("q"), F.col("p_brand")))
+    return _t(s, d, "part").select("p_partkey", F.array_join(site_config.remove_list(listed), "|").alias("selectors"))
+
+
+def llm_json_recover(s, d):
+    n, p = F.col("event_id"), F.col("props")
+    raw = F.when(n % 4 == 0, F.concat(F.lit(" "), p, F.lit("\n"))).when(n % 4 == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nDone"))).when(n % 4 == 2, F.concat(F.lit("I think "), p, F.lit(" fits."))).otherwise(F.lit("no idea"))
+    got = t.recover_json(raw)
+    return _t(s, d, "events").select("event_id", F.coalesce(F.get_json_object(got, "$.k").cast("bigint"), F.lit(-1)).alias("k"))
+
+
+def log_correlate(s, d):
+    return logs.correlate(_t(s, d, "conversations")).na.fill(-1, ["response_chars"])
+
+
+def referer_gap(s, d):
+    rows = _t(s, d, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("worker"), "ts", F.col("event_type").alias("url"))
+    return crawl.referers(rows).select("request_id", "referer", F.round("gap_seconds", 3).alias("gap_seconds"))
+
+
+def progress_labels(s, d):
+    status = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "fetched").when(F.col("event_type") == "click", "skipped").otherwise("failed")
+    return _t(s, d, "events").select("event_id", crawl.progress_line(F.col("event_id"), F.lit(10), status, F.col("event_type")).alias("line"))
+
+
+def css_url_srcset(s, d):
+    n = F.col("p_partkey")
+    attrs = F.when(n % 3 == 0, F.create_map(F.lit("data-src"), F.concat(F.lit("/i/"), n.cast("string"), F.lit(".png")), F.lit("src"), F.lit(" "))).when(n % 3 == 1, F.create_map(F.lit("srcset"), F.concat(F.lit("a"), n.cast("string"), F.lit(".jpg 1x, b.jpg 2x")))).otherwise(F.create_map(F.lit("alt"), F.lit("x")))
+    style = F.concat(F.lit("background: url('../bg/"), F.col("p_size").cast("string"), F.lit(".webp')"))
+    return _t(s, d, "part").select("p_partkey", pg.cover_url(attrs, style, F.lit("https://h.example:8080/n/toc.html?x=1")).alias("cover"))
+
+
+def slug_ascii(s, d):
+    return _t(s, d, "part").select("p_partkey", t.slug_ascii(F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(") -- /"))).alias("slug"))
+
+
+def truncate_text(s, d):
+    return _t(s, d, "documents").select("doc_id", t.truncated(F.col("text")).alias("text"))
+
+
+def redact_secrets(s, d):
+    raw = F.concat(F.lit('{"Token": "a'), F.col("event_id").cast("string"), F.lit('", "n": 1, "secret": '), F.col("event_id").cast("string"), F.lit("}"))
+    return _t(s, d, "events").select("event_id", t.redact_flat(raw).alias("json"))
+
+
+def preview_topk(s, d):
+    out = crawl.preview(_titled(s, d), ["host"], "page_id", 3)
+    return out.select("host", "n", "page_id", "more")
+
+
+def url_resolution(s, d):
+    refs = ("../x", "./y?z=1", "?q=2", "#f", "//o.example/p", "/r/../s", "https://t.example/", "")
+    out = _t(s, d, "pages").select("page_id", "url", F.explode(F.array(*[F.lit(r) for r in refs])).alias("ref"))
+    return out.select("page_id", "ref", u.urljoin(F.col("url"), F.col("ref")).alias("resolved"))
+
+
+def normalized_text(s, d):
+    raw = F.concat(F.lit("  \t"), F.left("text", F.lit(300)), F.lit(" \f x\n "))
+    return _t(s, d, "documents").select("doc_id", t.normalize_text(raw).alias("text"))
+
+
+def config_names(s, d):
+    return _t(s, d, "pages").select("page_id", u.config_name(F.col("url")).alias("name"), u.with_slash(F.col("url")).alias("with_slash"))
+
+
+def log_summary(s, d):
+    return logs.call_summary(_t(s, d, "conversations"))
+
+
+def first_attempt(s, d):
+    rows = _t(s, d, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("attempt"), (F.col("event_type") != "error").alias("ok"), "event_type")
+    return crawl.first_valid(rows).select("url", "attempt", "event_type")
+
+
+def page_charset(s, d):
+    header = F.when(F.col("page_id") % 3 == 0, "text/html; charset=ISO-8859-1").when(F.col("page_id") % 3 == 1, "text/plain")
+    return _t(s, d, "pages").select("page_id", t.charset(header, F.col("html")).alias("charset"), F.length(first_tag(F.col("html"), "title")).cast("long").alias("title_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        links_all, links_resolved_same_domain, links_first_wins, page_metadata, article_text, chapter_text_file, chapter_number, likely_chapters, likely_fallback,
+        toc_walk, resume_split, quota_prefix, manifest_rollup, manifest_document, reconcile_interrupted, spine_join, section_select, section_duplicates, illustration_names,
+        marker_substitution, page_quality, http_usable, origin_robots, known_domain_config, selector_report, cache_lookup, config_defaults, selector_dedup, llm_json_recover,
+        log_correlate, log_summary, referer_gap, progress_labels, css_url_srcset, slug_ascii, truncate_text, redact_secrets, preview_topk, url_resolution, normalized_text,
+        config_names, first_attempt, page_charset,
+    )
+}
+QUERIES["order_chapters_asc"] = lambda s, d: _ordered(s, d, False, True)
+QUERIES["order_chapters_desc"] = lambda s, d: _ordered(s, d, True, True)
+QUERIES["order_chapters_fallback"] = lambda s, d: _ordered(s, d, True, False)
+
+__all__ = ["ORACLES", "QUERIES"]
