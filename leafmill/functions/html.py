@@ -36,7 +36,9 @@ def flat_node(tag: str, attr: str = "") -> str:
 
 def plain_text(markup: Column) -> Column:
     """Every text node on lines of its own, lines normalised, blank ones dropped."""
-    x = without(markup, flat_node("script"), flat_node("style"), flat_node("noscript"), r"(?s)<!--.*?-->")
+    x = markup
+    for dropped in (flat_node("script"), flat_node("style"), flat_node("noscript"), r"(?s)<!--.*?-->"):
+        x = F.regexp_replace(x, dropped, "\n")  # the texts on its sides stay apart
     x = unescape_basic(F.regexp_replace(x, r"(?s)<[^>]+>", "\n"))
     return F.array_join(F.filter(F.transform(lines(x), normalize_text), lambda v: v != ""), "\n")
 

@@ -12,7 +12,7 @@ _ENT = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&l
 _H1 = "trim(" + _ENT.format("regexp_replace(regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1), '<[^>]+>', '', 'g')") + ")"
 _BODY = """__p as (select page_id, url, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<div[^>]*class=["'']ad["''][^>]*>.*?</div>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') as h from pages),
 __m as (select page_id, url, html, regexp_extract(h, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1) as m from __p),
-__x as (select page_id, url, html, """ + _ENT.format("regexp_replace(regexp_replace(m, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', chr(10), 'g')") + """ as x from __m),
+__x as (select page_id, url, html, """ + _ENT.format("regexp_replace(regexp_replace(m, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]+>', chr(10), 'g')") + """ as x from __m),
 __b as (select page_id, url, html, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda v: trim(regexp_replace(v, '[ \\t]+', ' ', 'g'))), lambda v: v <> ''), chr(10)) as body from __x)"""
 _TITLED = """__t as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, case when page_id % 11 = 0 then 'Notice ' || page_id when page_id % 5 = 0 then 'Interlude ' || page_id
     when page_id % 3 = 0 then 'Ep. #' || (page_id % 40) else 'Chapter  ' || (page_id % 40) || ': on' end as title from pages),
