@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import storage
 
@@ -92,8 +93,8 @@ def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of different fingerprints within distance; every linked pair is connected by
     some of them, and none is beyond distance. fps: distinct fingerprints in a column fp."""
-    # keys that can link anything: a whole segment twice, or both sides of a left-out bit
     index = variants(fps, distance)
+    # keys that can link anything: a whole segment twice, or both sides of a left-out bit
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n_one"), F.max(F.col("side").isNull()).alias("whole"))
     worth = sizes.filter((F.col("n") > 1) & (F.col("whole") | ((F.col("n_one") > 0) & (F.col("n_one") < F.col("n")))))
     worth = storage.materialize(worth.select("slot", "key", "n"), "simhash_buckets")
@@ -162,17 +163,44 @@ def components(pairs: DataFrame, name: str = "simhash") -> DataFrame:
             return labels
 
 
+def grouped(first: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """first (fp, ...), a row per fingerprint, with root: the smallest fingerprint that it can reach."""
+    roots = components(links(first.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
     """A row per document: doc_id, fp, component_id, which is the smallest doc_id that is reachable."""
     found = storage.materialize(fingerprints(docs, words), "simhash_fingerprints")
     first = storage.materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash_first")
-    roots = components(links(first.select("fp"), distance))
-    linked = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    linked = grouped(first, distance)
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = linked.join(smallest, "root").select("fp", "component_id")
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
+    """One row of docs for each group of near-duplicates, with the columns it had: the smallest
+    doc_id (null last), and of rows that share it the smallest fingerprint, then text hash. Groups are those of
+    the texts, so rows that repeat a doc_id with other texts are groups of their own."""
+    storage.bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([fingerprint(x or "", words) for x in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__fp"])
+
+    shape = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    rows = storage.materialize(docs.mapInArrow(add, shape), "simhash_rows")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.col("__fp").alias("fp"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    first = storage.materialize(rows.select(own.alias("own")).groupBy("own.fp").agg(F.min("own").alias("own")), "simhash_first")
+    best = grouped(first, distance).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.id").alias("__id"), F.col("own.fp").alias("__f"), F.col("own.h").alias("__h"))
+    rows = rows.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")) & (F.col("__t") == F.col("__h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__fp", "__t"]).select(docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -79,3 +79,13 @@ def test_odd_documents(spark):
     got = sorted(((r.doc_id or -1), r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert [(d, c) for d, _, c in got] == [(-1, 7), (3, 3), (5, 3), (6, 3), (7, 7), (8, 7), (8, 7), (9, 9)]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "a b c d e f", "x y z u v w t"
+    rows = [(8, a, 1), (8, b, 2), (8, b, 2), (9, a, 3), (None, a, 4), (None, "n m o p q", 5), (4, None, 6), (3, "", 7)]
+    docs = spark.createDataFrame(rows, DOCS + ", __t2 int")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(r[2] for r in got.collect()) == [1, 2, 5, 7]
+    assert simhash.keep_first(docs.limit(0)).count() == 0
