@@ -272,3 +272,64 @@ def skeleton_text(page: str, most: int = 30_000) -> str:
 @F.pandas_udf(StringType())
 def skeleton(page: pd.Series) -> pd.Series:
     return page.map(lambda p: None if p is None else skeleton_text(p))
+
+
+def _live(tree: _Tree) -> None:
+    """Take the nodes that still hang on the root as the tree's nodes."""
+    out, todo = [], [tree.root]
+    while todo:
+        n = todo.pop()
+        if n is not tree.root:
+            out.append(n)
+        todo.extend(x for x in reversed(n[3]) if not isinstance(x, str))
+    tree.every = out
+
+
+def _separate_texts(node) -> list[str]:
+    """Text nodes of an element; those that touch are one, a break is a newline, code is left out."""
+    out: list[str] = []
+
+    def walk(n):
+        touching = False
+        for child in n[3]:
+            if isinstance(child, str):
+                if touching:
+                    out[-1] += child
+                else:
+                    out.append(child)
+                touching = True
+                continue
+            touching = False
+            if child[0] == "br":
+                out.append("\n")
+            elif child[0] not in ("script", "style", "noscript"):
+                walk(child)
+
+    walk(node)
+    return out
+
+
+def chapter_of(page: str, content: str, title: str | None, remove: list[str]) -> tuple[str | None, str | None]:
+    """Title (before removals) and plain text of a page by selectors; None for a node that isn't there."""
+    tree = parsed(page)
+    head = select(tree, title)[:1] if title else []
+    name = re.sub(r"[ \t\r\f\x0b]+", " ", " ".join("".join(_texts(n)) for n in head).replace("\xa0", " ")).strip() or None
+    for one in remove:
+        for n in select(tree, one):
+            n[2][3] = [x for x in n[2][3] if x is not n]
+        _live(tree)
+    body = select(tree, content)[:1]
+    if not body:
+        return name, None
+    found = (re.sub(r"[ \t\r\f\x0b]+", " ", x.replace("\xa0", " ")).strip() for x in "\n".join(_separate_texts(body[0])).splitlines())
+    return name, "\n".join(x for x in found if x)
+
+
+def chapters_of(page: Column, content: str, title: str | None, remove: list[str]) -> Column:
+    """A struct (title, body) by any selectors; `plans.crawl.extract_chapter` does flat markup without leaving the JVM."""
+
+    @F.pandas_udf(StructType().add("title", StringType()).add("body", StringType()))
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([chapter_of(p or "", content, title, remove) for p in pages], columns=["title", "body"])
+
+    return run(page)

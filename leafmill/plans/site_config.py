@@ -47,7 +47,7 @@ def typed(raw: DataFrame, text: str = "value") -> DataFrame:
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """All *.json files of a folder, in name order by file_name."""
-    return typed(spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).withColumn("file_name", F.col("_metadata.file_name")))
+    return typed(spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("file_name", F.col("_metadata.file_name")))
 
 
 def remove_list(selectors: Column) -> Column:
