@@ -7,8 +7,8 @@ backward passes give each word a distribution over languages; a document's is th
 gets the language with most of it.
 
 Fitting maximises the likelihood of chains spliced from spans of labelled documents, so that
-transitions between languages are learned too. It sees DOCUMENTS labelled rows at most, of at most CHARS characters
-each; every text is labelled whole. What is broadcast is one table of weights of fixed size.
+transitions between languages are learned too. It sees about DOCUMENTS labelled rows, of at most CHARS characters
+each, the same share of each language; every text is labelled whole. What is broadcast is one table of weights of fixed size.
 
 Contract for odd input: a null text or one without a letter is `und` with score 0; null langs
 are not learned from; equal languages go to the first by name; with no labelled rows every text is
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .holdout import bounded, held_out
+from .holdout import held_out
 
-DOCUMENTS, CHARS, LANGUAGES = 2_000, 20_000, 200
+DOCUMENTS, LEAST_DOCUMENTS, CHARS, LANGUAGES = 2_000, 20, 20_000, 200
 SLOTS, LEXICON, LEAST = 1 << 17, 1 << 14, 4
 STEPS, CHAINS, LENGTH, RATE, SHRINK = 300, 48, 48, 0.3, 1e-6
 UNKNOWN = "und"
@@ -133,7 +133,7 @@ def posteriors(e: np.ndarray, t: np.ndarray, starts: np.ndarray, lengths: np.nda
 
 def fit_chains(docs: list[tuple[str, str]], seed: int = 7) -> Model:
     """docs: (text, language)."""
-    languages = sorted({x for _, x in docs})[:LANGUAGES]
+    languages = sorted({x for _, x in docs})
     k = len(languages)
     known = {x: i for i, x in enumerate(languages)}
     bodies = [(words_of(t.lower()), known[x]) for t, x in docs if x in known]
@@ -198,10 +198,16 @@ def fit_chains(docs: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Model:
-    """Learn from labelled rows that are not held out; at most `documents` short enough ones reach the driver."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).filter(F.char_length("text") <= CHARS)
-    got = bounded(rows.select("doc_id", "text", "lang"), documents).collect()
-    return fit_chains(sorted((r.text, r.lang) for r in got))
+    """Learn from labelled rows that are not held out. Each of the (most frequent) languages gives about
+    an equal share of `documents` short enough rows, and LEAST_DOCUMENTS where there are many languages."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).filter(F.char_length("text") <= CHARS).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return fit_chains([])
+    per = max(LEAST_DOCUMENTS, documents // len(sizes))
+    share = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, per / r["count"]))) for r in sizes], "lang string, below long")
+    chosen = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("below"))
+    return fit_chains(sorted((r.text, r.lang) for r in chosen.collect()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
