@@ -119,18 +119,20 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     out = measures(docs, text)
     own = [F.col(x) for x in map(_quoted, docs.columns) if x.strip("`") not in (*names, "base_failed", "kept")]
     failed = base_failed()
-    return out.select(*own, *[F.col("__q_" + x).alias(x) for x in names], failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+    return out.select(*own, *[F.col("__q_" + x).alias(x) for x in names], failed.alias("base_failed"), _held(~failed & verdict(rules)).alias("kept"))
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns they had."""
-    return judge_filter(docs, text, rules).select(*[F.col(x) for x in map(_quoted, docs.columns)])
+def _held(condition: Column) -> Column:
+    """A condition that no filter above can be pushed below: there, each measure's whole expression
+    would stand wherever another one uses it. A row number, never negative, pins it to its projection."""
+    return condition & (F.monotonically_increasing_id() >= 0)
 
 
-def judge_filter(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    out = measures(docs, text)
-    return out.filter(~base_failed() & verdict(rules))
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns they had."""
+    out = measures(docs, text).withColumn("__q_kept", _held(~base_failed() & verdict(rules)))
+    return out.filter("__q_kept").select(*[F.col(x) for x in map(_quoted, docs.columns)])
