@@ -93,7 +93,9 @@ def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of different fingerprints within distance; every linked pair is connected by
     some of them, and none is beyond distance. fps: distinct fingerprints in a column fp."""
-    index = variants(fps, distance)
+    # few bytes make many rows and much work here, so partition counts are set, not sized by bytes
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(fps.repartition(parts, "fp"), distance)
     # keys that can link anything: a whole segment twice, or both sides of a left-out bit
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n_one"), F.max(F.col("side").isNull()).alias("whole"))
     worth = sizes.filter((F.col("n") > 1) & (F.col("whole") | ((F.col("n_one") > 0) & (F.col("n_one") < F.col("n")))))
@@ -108,7 +110,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataF
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(group, distance), columns=["a", "b"])
 
-    return met.groupBy("slot", "key", "i", "j").applyInPandas(verify, "a long, b long").distinct()
+    return met.repartition(parts, "slot", "key", "i", "j").groupBy("slot", "key", "i", "j").applyInPandas(verify, "a long, b long").distinct()
 
 
 def _forest(group: pd.DataFrame, distance: int) -> np.ndarray:
