@@ -293,7 +293,7 @@ def url_resolution(s, d):
 
 
 def normalized_text(s, d):
-    raw = F.concat(F.lit("  \t"), F.left("text", F.lit(300)), F.lit(" \f x\n "))
+    raw = F.concat(F.lit("  \t"), F.col("text"), F.lit(" \f x\n "))
     return _t(s, d, "documents").select("doc_id", t.normalize_text(raw).alias("text"))
 
 
