@@ -172,9 +172,9 @@ def illustration_names(s, d):
 
 def marker_substitution(s, d):
     n = F.col("doc_id")
-    text = F.concat(F.lit("[[EPUB_IMAGE:1]]\n\n"), F.left("text", F.lit(40)), F.lit("\n\n[[EPUB_IMAGE:2]]\n\nend\n\n[[EPUB_IMAGE:3]]"))
+    text = F.concat(F.lit("[[EPUB_IMAGE:1]]\n\n"), F.col("text"), F.lit("\n\n[[EPUB_IMAGE:2]]\n\nend\n\n[[EPUB_IMAGE:3]]"))
     keep = F.array(n % 2 == 0, n % 3 == 0, n % 5 == 0)
-    return _t(s, d, "documents").filter("NOT contains(text, '\n\n\n')").select("doc_id", epub.marks_renumbered(text, keep).alias("text"))
+    return _t(s, d, "documents").select("doc_id", epub.marks_renumbered(text, keep).alias("text"))
 
 
 def page_quality(s, d):

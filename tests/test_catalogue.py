@@ -12,3 +12,17 @@ def test_normalized_text_is_whole(spark, tmp_path):
     texts = ["a\t\tb\xa0 c", "word \t word\r\n\f" * 400, "x" * 299 + " \x0b\xa0 y" * 300, ""]
     got = {r.doc_id: r.text for r in catalogue.normalized_text(spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {i: re.sub(r"[ \t\r\f\v]+", " ", f"  \t{x} \f x\n ".replace("\xa0", " ")).strip() for i, x in enumerate(texts)}
+
+
+def test_marker_substitution_takes_every_whole_text(spark, tmp_path):
+    texts = ["short", "a\n\n\n\nb" * 30, "\n\n\nx", "x" * 90 + "\n\n\n" + "y" * 50, "line\n" * 100, "", "tail\n\n\n\n"] * 5
+
+    def brute(i, text):
+        n, marks = 0, []
+        for keep in (i % 2 == 0, i % 3 == 0, i % 5 == 0):
+            n += keep
+            marks.append(f"[[EPUB_IMAGE:{n}]]" if keep else "")
+        return re.sub(r"\n{3,}", "\n\n", f"{marks[0]}\n\n{text}\n\n{marks[1]}\n\nend\n\n{marks[2]}").strip("\n")
+
+    got = {r.doc_id: r.text for r in catalogue.marker_substitution(spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {i: brute(i, x) for i, x in enumerate(texts)}
