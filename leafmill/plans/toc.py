@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.html import anchors
 from ..functions.text import chapter_number, is_notice
@@ -48,17 +50,24 @@ def walk(spark: SparkSession, starts: DataFrame, edges: DataFrame, max_pages: in
     """Pages that a start reaches by next-links, with page_no from 1. starts: (start, page);
     edges: (page, next_page), one per page at most. Ends where there is no link, the page was
     seen, or max_pages are reached."""
-    starts.createOrReplaceTempView("__walk_starts")
-    edges.createOrReplaceTempView("__walk_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walked(start, page, page_no, seen) MAX RECURSION LEVEL {max_pages + 1} AS (
-            SELECT start, page, 1, array(page) FROM __walk_starts
-            UNION ALL
-            SELECT w.start, e.next_page, w.page_no + 1, concat(w.seen, array(e.next_page))
-            FROM walked w JOIN __walk_edges e ON w.page = e.page
-            WHERE w.page_no < {int(max_pages)} AND e.next_page IS NOT NULL AND NOT array_contains(w.seen, e.next_page))
-        SELECT start, page, CAST(page_no AS BIGINT) AS page_no FROM walked"""
-    )
+    most = max(1, int(max_pages))
+    # the pages after each page, by doubling: a path goes on with the path of its last page. Each
+    # round is kept, as the next one reads it twice
+    paths = edges.filter("next_page IS NOT NULL").select("page", F.array("next_page").alias("path"))
+    steps = 1
+    while steps < most - 1:
+        paths = paths.persist(StorageLevel.MEMORY_AND_DISK)
+        on = paths.select(F.col("page").alias("__last"), F.col("path").alias("__rest"))
+        longer = F.coalesce(F.concat("path", "__rest"), F.col("path"))
+        paths = paths.join(on, F.element_at("path", -1) == F.col("__last"), "left").select("page", F.slice(longer, 1, most - 1).alias("path"))
+        steps *= 2
+    own = F.array("page").cast(ArrayType(starts.schema["page"].dataType))
+    after = F.col("path").cast(ArrayType(starts.schema["page"].dataType))
+    walked = F.slice(F.coalesce(F.concat(own, after), own), 1, most)
+    out = starts.join(paths, "page", "left").select("start", walked.alias("walked"))
+    # one next page each, so after the first page that was seen all are: the different ones are the first ones
+    out = out.select("start", F.posexplode(F.slice("walked", F.lit(1), F.size(F.array_distinct("walked")))).alias("n", "page"))
+    return out.select("start", "page", (F.col("n") + 1).cast("long").alias("page_no"))
 
 
 def discover(pages: DataFrame, group: list[str], page_order: str, base: str = "url", within_domain: bool = True, likely: bool = True, reverse: bool = False) -> DataFrame:

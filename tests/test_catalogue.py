@@ -1,6 +1,7 @@
 import re
 
 from leafmill import catalogue
+from leafmill.plans import toc
 
 
 def documents(spark, tmp_path, texts):
@@ -26,3 +27,29 @@ def test_marker_substitution_takes_every_whole_text(spark, tmp_path):
 
     got = {r.doc_id: r.text for r in catalogue.marker_substitution(spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {i: brute(i, x) for i, x in enumerate(texts)}
+
+
+def brute_walks(ids, following, most):
+    rows = []
+    for start in ids:
+        seen = [start]
+        while len(seen) < most and (after := following.get(seen[-1])) is not None and after not in seen:
+            seen.append(after)
+        rows += [(start, page, no) for no, page in enumerate(seen, 1)]
+    return sorted(rows)
+
+
+def test_toc_walk_starts_from_every_page(spark, tmp_path):
+    ids = range(1, 102)
+    spark.createDataFrame([(i,) for i in ids], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
+    want = brute_walks(ids, {i: (i * 7 + 3) % 101 for i in ids}, 50)
+    assert {start for start, _, _ in want} == set(ids) and max(no for _, _, no in want) == 50
+    assert sorted(tuple(r) for r in catalogue.toc_walk(spark, str(tmp_path)).collect()) == want
+
+
+def test_many_walks_pass_the_sessions_row_limit(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "page long, next_page long")
+    starts = spark.createDataFrame([(i, i) for i in range(20)], "start long, page long")
+    want = brute_walks(range(20), {i: i + 1 for i in range(60)}, 50)
+    assert sorted(tuple(r) for r in toc.walk(spark, starts, edges).collect()) == want
