@@ -4,7 +4,7 @@ The pre-tokenizers used here never let a token cross a plain space or a newline
 character other than white space on both sides, and what they make of a piece does not depend
 on its neighbours. So a text is cut there, each different piece is encoded once and remembered,
 and a document's ids are its pieces' ids in order. Texts in which white space touches white
-space are encoded whole, which is the definition itself.
+space are encoded whole, which is the definition itself, and so are texts that hold an added token.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class PieceEncoder:
 
     keep_space: a piece after a space is encoded with that space before it (byte-level
     pre-tokenizers); otherwise spaces carry no token. encode_words gets strings that are one
-    pre-token each, encode_many any strings.
+    pre-token each, encode_many any strings. A text that contains one of added is not cut.
     """
 
     def __init__(
@@ -53,11 +53,13 @@ class PieceEncoder:
         encode_many: Callable[[Sequence[str]], Iterable[bytes]],
         keep_space: bool,
         encode_words: Callable[[Sequence[str]], Iterable[bytes]] | None = None,
+        added: Iterable[str] = (),
     ):
         self._encode_many = encode_many
         self._encode_words = encode_words or encode_many
         self._keep_space = keep_space
         self._memory = Memory()
+        self._added = tuple(added)
 
     def cut(self, text: str) -> list[str]:
         """A text's pieces. One after a newline keeps it; the first one has two, as no other has."""
@@ -71,13 +73,16 @@ class PieceEncoder:
         """The ids of each text; an empty text has none."""
         flat: list[str] = []
         ends: list[int] = []
-        for text in texts:
-            if text:
+        whole: list[int] = []
+        for i, text in enumerate(texts):
+            if any(x in text for x in self._added):
+                whole.append(i)
+            elif text:
                 flat += self.cut(text)
             ends.append(len(flat))
         self._learn(self._memory.missing(set(flat)))
         ids = list(map(self._memory.young.__getitem__, flat))
-        out, whole, start = [], [], 0
+        out, start = [], 0
         for i, end in enumerate(ends):
             try:
                 out.append(b"".join(ids[start:end]))
@@ -120,7 +125,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=1)
 def library_encoder(path: str, keep_space: bool) -> PieceEncoder:
-    """By the tokenizers library, from one of its files; strings of special tokens are ordinary text.
+    """By the tokenizers library, from one of its files; the strings of its added tokens are those tokens.
 
     A worker process keeps its encoder, and what that remembers, from task to task.
     """
@@ -132,7 +137,6 @@ def library_encoder(path: str, keep_space: bool) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     vocab = tokenizer.get_vocab(with_added_tokens=True)
     # the tokens that begin (byte level) or end (word ends) a word
     edge = np.zeros(max(vocab.values()) + 1, bool)
@@ -157,4 +161,5 @@ def library_encoder(path: str, keep_space: bool) -> PieceEncoder:
             raw = ids.tobytes()
             yield from map(raw.__getitem__, map(slice, cuts, cuts[1:]))
 
-    return PieceEncoder(encode_many, keep_space, encode_words)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    return PieceEncoder(encode_many, keep_space, encode_words, added)
