@@ -9,11 +9,3 @@ from pyspark.sql import functions as F
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that nothing is learned from: crc32 of the id as text leaves 2 by 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def bounded(rows, most: int, key: str = "doc_id"):
-    """About `most` rows at the very most in expectation, chosen by a hash of the key; all, if there are fewer."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * most / n))

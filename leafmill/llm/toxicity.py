@@ -1,20 +1,28 @@
 """Toxicity by nearest labelled examples.
 
-A text is a TF-IDF vector over terms that the labelled examples set apart: whole words and word
-beginnings of three to six letters. Its neighbours are the k examples of highest cosine, found
-exactly in an inverted index with block maxima: examples lie in blocks, a term keeps the largest
-weight it has in each block, blocks are visited by the bound that these give, and the visit ends
-where no bound reaches the k-th best cosine. Neighbours vote with their nearness, and an isotonic
-fit on the examples themselves (each left out in turn) makes the vote a probability. The
-neighbours are the evidence.
-
-Bounds of what is fitted, all documented parameters: EXAMPLES labelled rows, VOCABULARY terms;
-so the index that is broadcast has a fixed largest size. Every text is scored whole.
-
-Contract for odd input: a null or empty text, and one with none of the terms, has no neighbours
-and gets the share of label 1 among such examples; labels other than 0 and 1 are not used, of
-several labels of one doc_id the largest counts; without examples of both labels every score is
-the share of label 1 (0 if there is none); rows that repeat are scored alike; an empty table
+A text is a unit vector over every word of the labelled examples, and over those word beginnings of
+three to six letters that tell the labels apart. A component is (1 + log tf) * idf * (FLOOR +
+evidence): evidence is the shrunken log-odds of the labels where a likelihood-ratio test over all
+terms finds any, and zero elsewhere, so a word that says nothing still counts a little and every
+text that shares a word with an example has neighbours. (Without that factor two texts' chance
+words outweigh what sets the labels apart; the README has figures for both.)
+
+The k examples of highest cosine are found exactly in an inverted index with block maxima. The
+examples lie in blocks. Short lists are summed outright, which gives each block's exact largest
+share from them; long lists are stored by block, with the largest weight that each block has. Both together bound a
+block's cosines. A text's two blocks of highest bound are scored first, and then each block whose
+bound reaches the k-th best cosine by then; the others are never looked at. Neighbours vote with
+their nearness, and an isotonic fit on the examples themselves (each left out in turn) makes the
+vote a probability. The neighbours are the evidence.
+
+One bound, a documented parameter: EXAMPLES labelled rows in expectation, up to half of them of
+label 1; every term of those counts, and the fit weighs each label's rows by how many of them were
+left out. So what is broadcast does not grow with the corpus. Every text is scored whole.
+
+Contract for odd input: a null or empty text, and one without a word of the examples, has no
+neighbours and gets the share of label 1; labels other than 0 and 1 are not used, of several
+labels of one doc_id the largest counts, and of several texts the smallest is the example; without examples every score
+is 0; equal cosines go to the example of the smaller doc_id; rows that repeat are scored alike; an empty table
 gives an empty result; columns other than doc_id and text (doc_id and toxic of the labels) are not read.
 """
 
@@ -22,133 +30,214 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .holdout import bounded, held_out
+from .holdout import held_out
 
-EXAMPLES, VOCABULARY, CANDIDATES = 16_000, 1024, 30_000
-#: Texts that a term has to be in, by share of the texts of label 1 and at least; and how much likelier it is there.
-LEAST_SHARE, LEAST, LIKELIER = 0.004, 3, 4.0
-K, BLOCK, THRESHOLD = 15, 32, 0.3
+EXAMPLES = 6_000
+K, BLOCK, THRESHOLD = 15, 64, 0.3
+#: Weight of a term that tells nothing, and examples of the average label that log-odds are shrunk by.
+FLOOR, SHRINK = 0.02, 5.0
+#: Letters of the word beginnings that are terms.
 HEAD, LONGEST = 3, 6
+#: A list with over one example in so many is stored by block; texts that are searched at once.
+DENSE, GROUP = 16, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(word: str) -> list[str]:
-    """Of one lower-case word: itself, and its beginnings (marked by a hyphen)."""
-    return [word, *(word[:n] + "-" for n in range(HEAD, min(LONGEST, len(word) - 1) + 1))] if len(word) >= HEAD else []
+def words_of(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
+
+
+def number(term: str) -> int:
+    """A term's name in the index."""
+    return xxhash.xxh64_intdigest(term.encode()) >> 1
+
+
+def beginnings(word: str) -> list[str]:
+    """Marked by a hyphen, which no word has."""
+    return [word[:n] + "-" for n in range(HEAD, min(LONGEST, len(word) - 1) + 1)]
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors, in blocks of rows with each term's largest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]], size: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.n_blocks = -(-self.n // block)
-        self.best = np.zeros((size, self.n_blocks))
-        rows: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                rows[t].append((i, w))
-                self.best[t, i // block] = max(self.best[t, i // block], w)
-        self.at = [np.array([i for i, _ in r], np.int64) for r in rows]
-        self.weight = [np.array([w for _, w in r]) for r in rows]
-        # where each block's postings start in a term's list
-        self.cut = [np.searchsorted(a, np.arange(self.n_blocks + 1) * block) for a in self.at]
-
-    def top(self, q: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k rows of highest product with q, above 0; ties go to the lower row."""
-        ts = [t for t in q if len(self.at[t])]
-        if not ts:
-            return []
-        reach = np.array([q[t] for t in ts]) @ self.best[ts]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-reach, kind="stable").tolist():
-            if reach[b] <= 0 or len(found) == k and reach[b] < -found[-1][0] - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t in ts:
-                a, z = self.cut[t][b], self.cut[t][b + 1]
-                if a < z:
-                    score[self.at[t][a:z] - b * self.block] += q[t] * self.weight[t][a:z]
-            found += [(-round(float(score[i]), 12), b * self.block + int(i)) for i in np.flatnonzero(score) if b * self.block + int(i) != without]
-            found = sorted(found)[:k]
-        return [(-s, i) for s, i in found]
+    """Inverted index of rows of non-negative weights. rows: (row, term, weight) arrays, terms below size."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, size: int, block: int = BLOCK):
+        self.n, self.block = n, block
+        self.n_blocks = max(1, -(-n // block))
+        order = np.lexsort((row, term))
+        row, term, weight = row[order], term[order], weight[order]
+        long = np.bincount(term, minlength=size) > n / DENSE
+        self.dense_of = np.where(long, np.cumsum(long) - 1, -1)
+        inside = long[term]
+        # by block and list, so that a block's part of all long lists is one matrix
+        self.dense = np.zeros((self.n_blocks, int(long.sum()), block))
+        self.dense[row[inside] // block, self.dense_of[term[inside]], row[inside] % block] = weight[inside]
+        self.best = self.dense.max(axis=2).T.copy()
+        self.row, self.weight = row[~inside].astype(np.int32), weight[~inside]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[~inside], minlength=size))])
+
+    def top(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the (scores, rows) of the k highest products above 0, ties to the lower row."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        cut = np.searchsorted(owner, np.arange(0, texts + GROUP, GROUP))
+        for g, a, z in zip(range(0, texts, GROUP), cut.tolist(), cut[1:].tolist()):
+            m = min(GROUP, texts - g)
+            out += self._group(owner[a:z] - g, term[a:z], weight[a:z], m, k, None if without is None else without[g : g + m])
+        return out
+
+    def _group(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = self.dense_of[term]
+        q = np.zeros((m, len(self.best)))
+        q[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
+        owner, term, weight = owner[at < 0], term[at < 0], weight[at < 0]
+        first, size = self.start[term], self.start[term + 1] - self.start[term]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        width = self.n_blocks * self.block
+        score = np.bincount(np.repeat(owner * width, size) + self.row[at], np.repeat(weight, size) * self.weight[at], m * width).astype(np.float64, copy=False).reshape(m, self.n_blocks, self.block)
+        bound = score.max(axis=2) + q @ self.best
+        if without is not None:
+            score[np.arange(m), without // self.block, without % self.block] = -np.inf
+        done = np.zeros(bound.shape, bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                who = np.flatnonzero(wanted[:, b])
+                score[who, b] += q[who] @ self.dense[b]
+            done[wanted] = True
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        seeds = np.zeros(bound.shape, bool)
+        np.put_along_axis(seeds, first, True, axis=1)
+        visit(seeds)
+        begun = score[np.arange(m)[:, None], first].reshape(m, -1)
+        kth = np.partition(begun, -k, axis=1)[:, -k] if begun.shape[1] >= k else np.full(m, -np.inf)
+        least = np.maximum(kth - 1e-9, 0)
+        visit(~done & (bound > 0) & (bound >= least[:, None]))
+        score[~done] = -np.inf
+        out = []
+        for i, flat in enumerate(score.reshape(m, -1)):
+            near = np.flatnonzero((flat >= least[i]) & (flat > 0))
+            if len(near) > 8 * k:
+                own = flat[near]
+                near = near[own >= np.partition(own, -k)[-k] - 1e-9]
+            own = np.round(flat[near], 12)
+            best = np.argsort(-own, kind="stable")[:k]
+            out.append((own[best], near[best]))
+        return out
 
 
 @dataclass
 class Model:
-    terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    labels: np.ndarray
-    ids: list
-    no_evidence: float
-    curve: tuple[np.ndarray, np.ndarray]
-
-    def __post_init__(self):
-        self.heads = {t[:HEAD] for t in self.terms}
-        self._known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vector(self, text: str) -> dict[int, float]:
-        heads, own = self.heads, self.terms
-        counts: Counter = Counter()
-        for w, n in Counter(w for w in _WORD.findall(text.lower()) if w[:HEAD] in heads).items():
-            for t in terms(w):
-                if t in own:
-                    counts[own[t]] += n
-        return unit(counts, self.idf)
-
-    def vote(self, q: dict[int, float], without: int = -1) -> tuple[float, list[int]]:
-        near = self.index.top(q, K, without)
-        if not near:
-            return -1.0, []
-        weight = np.array([1 / (1.05 - s) for s, _ in near])
-        return float((weight * self.labels[[i for _, i in near]]).sum() / weight.sum()), [i for _, i in near]
-
-    def score(self, text: str) -> tuple[float, list]:
-        """Probability of label 1, and the ids of the neighbours."""
-        q = self.vector(text)
-        if not q:
-            return self.no_evidence, []
-        key = tuple(sorted(q.items()))
-        if key not in self._known:
-            if len(self._known) > 50_000:
-                self._known.clear()
-            raw, near = self.vote(q)
-            self._known[key] = (float(np.interp(raw, *self.curve)) if near else self.no_evidence), [self.ids[i] for i in near]
-        return self._known[key]
-
-
-def surprise(a: int, b: int, n1: int, n0: int) -> float:
+    """terms: the names, rising; worth: of each term; heads: how kept beginnings start."""
+
+    terms: np.ndarray
+    worth: np.ndarray
+    heads: frozenset[str]
+    index: BlockMaxIndex | None = None
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    share: float = 0.0
+    curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    #: Terms of the words met so far: one term, -1 for none, or -2 - place in _several.
+    _known: dict[str, int] = field(default_factory=dict)
+    _several: list[list[int]] = field(default_factory=list)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self._known) > 400_000:
+            self._known.clear()
+            self._several.clear()
+        fresh = [w for w in words if w not in self._known]
+        asked, whose = [number(w) for w in fresh], list(range(len(fresh)))
+        for i, w in enumerate(fresh):
+            if w[:HEAD] in self.heads:
+                own = beginnings(w)
+                asked += map(number, own)
+                whose += [i] * len(own)
+        names = np.array(asked, np.int64)
+        at = np.searchsorted(self.terms, names)
+        hit = np.append(self.terms, -1)[at] == names
+        found = np.where(hit, at, -1)[: len(fresh)].tolist()
+        more: dict[int, list[int]] = {}
+        for j in np.flatnonzero(hit[len(fresh) :]).tolist():
+            i = whose[len(fresh) + j]
+            more.setdefault(i, [found[i]] if found[i] >= 0 else []).append(int(at[len(fresh) + j]))
+        for i, own in more.items():
+            found[i] = -2 - len(self._several)
+            self._several.append(own)
+        self._known.update(zip(fresh, found))
+
+    def vectors(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of unit vectors, by text and term."""
+        counts = [words_of(x) for x in texts]
+        flat = list(chain.from_iterable(counts))
+        self._learn(set(flat))
+        term = np.fromiter(map(self._known.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        n = np.fromiter(chain.from_iterable(c.values() for c in counts), np.float64, len(flat))
+        of_several = np.flatnonzero(term < -1).tolist()
+        more = [(owner[i], t, n[i]) for i in of_several for t in self._several[-2 - term[i]]]
+        one = term >= 0
+        owner, term, n = owner[one], term[one], n[one]
+        if more:
+            own = np.array(more)
+            owner, term, n = np.append(owner, own[:, 0].astype(np.int64)), np.append(term, own[:, 1].astype(np.int64)), np.append(n, own[:, 2])
+        key, inverse = np.unique(owner * max(1, len(self.terms)) + term, return_inverse=True)
+        owner, term = np.divmod(key, max(1, len(self.terms)))
+        weight = (1 + np.log(np.bincount(inverse, n, len(key)))) * self.worth[term]
+        return owner, term, weight / np.sqrt(np.bincount(owner, weight**2))[owner]
+
+    def votes(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, without: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
+        """The vote of each text, -1 for one without neighbours, and the neighbours."""
+        out = []
+        for s, near in self.index.top(owner, term, weight, texts, K, without):
+            say = 1 / (1.05 - np.minimum(s, 1))
+            out.append((float((say * self.labels[near]).sum() / say.sum()) if len(near) else -1.0, near))
+        return out
+
+    def score(self, texts: Sequence[str]) -> list[tuple[float, list[int]]]:
+        """Probability of label 1 of each text, and the ids of its neighbours."""
+        if self.index is None or not self.index.n:
+            return [(self.share, [])] * len(texts)
+        found = self.votes(*self.vectors(texts), len(texts))
+        raw = np.interp([v for v, _ in found], *self.curve).tolist()
+        return [(r, self.ids[near].tolist()) if len(near) else (self.share, []) for r, (_, near) in zip(raw, found)]
+
+
+def surprise(a: Column, b: Column, n1: int, n0: int) -> Column:
     """Likelihood-ratio statistic of a term in a of n1 and b of n0 texts; chance over many terms stays below 2 log(terms)."""
     share = (a + b) / (n1 + n0)
-    terms = ((a, n1 * share), (n1 - a, n1 * (1 - share)), (b, n0 * share), (n0 - b, n0 * (1 - share)))
-    return 2 * sum(x * float(np.log(x / e)) for x, e in terms if x > 0)
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    return 2 * (part(a, share * n1) + part(n1 - a, (1 - share) * n1) + part(b, share * n0) + part(n0 - b, (1 - share) * n0))
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-    norm = float(np.sqrt(sum(x * x for x in v.values())))
-    return {t: float(x / norm) for t, x in v.items()} if norm else {}
+def worth(a: np.ndarray, b: np.ndarray, tells: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """What terms in a of n1 and b of n0 texts weigh; tells: those that set the labels apart."""
+    base = min(max(n1 / (n0 + n1), 1e-6), 1 - 1e-6)
+    p = (a + SHRINK * base) / (a + b + SHRINK)
+    evidence = np.where(tells, np.abs(np.log(p / (1 - p)) - np.log(base / (1 - base))), 0)
+    return (np.log((1 + n0 + n1) / (1 + a + b)) + 1) * (FLOOR + evidence)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a rising curve through the means of y over x, drawn a little towards the mean of all."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising curve through the weighted means of y over x, drawn a little towards the mean of all."""
     if not len(x):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    mean, order = float(y.mean()), np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, count, least x, most x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1, a, a])
+    w = np.ones(len(x)) if weight is None else weight / weight.mean()
+    mean, order = float((y * w).sum() / w.sum()), np.argsort(x, kind="stable")
+    blocks: list[list[float]] = []  # sum of y, weight, least x, most x
+    for a, b, c in zip(x[order].tolist(), y[order].tolist(), w[order].tolist()):
+        blocks.append([b * c, c, a, a])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
@@ -162,73 +251,103 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(knots)[order], np.maximum.accumulate(np.array(values)[order])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Model:
-    """Learn from labelled rows that are not held out."""
-    spark = docs.sparkSession
-    storage.bounded_batches(spark)
+def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, toxic and text of the examples, and how many labelled rows each one stands for."""
     of_doc = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = bounded(of_doc.filter(~held_out()), examples)
+    of_doc = of_doc.filter(~held_out())
+    sizes = dict(of_doc.groupBy("toxic").count().collect())
+    n1 = min(sizes.get(1, 0), max(most // 2, most - sizes.get(0, 0)))
+    parts = {c: min(1.0, n / sizes[c]) for c, n in ((1, n1), (0, most - n1)) if sizes.get(c)}
+    below = F.when(F.col("toxic") == 1, int((1 << 30) * parts.get(1, 0))).otherwise(int((1 << 30) * parts.get(0, 0)))
+    chosen = of_doc.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < below)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = storage.materialize(texts.join(F.broadcast(chosen), "doc_id"), "toxicity_examples")
+    train = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return storage.materialize(train, "toxicity_examples"), {c: 1 / p for c, p in parts.items()}
+
+
+def _terms(train: DataFrame) -> DataFrame:
+    """In how many texts of each label each term is: name, head (null for a word), n0, n1."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        shape = pa.schema([("name", pa.int64()), ("head", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n.update({t for w in set(_WORD.findall(text.lower())) for t in terms(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+            n: Counter = Counter()
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = words_of(text)
+                n.update((w, y) for w in own)
+                n.update((t, y) for t in {t for w in own for t in beginnings(w)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number(t) for t, _ in n], pa.int64()), pa.array([t[:HEAD] if t[-1] == "-" else None for t, _ in n], pa.string()), pa.array([c * (y == 0) for (_, y), c in n.items()], pa.int64()), pa.array([c * (y == 1) for (_, y), c in n.items()], pa.int64())],
+                schema=shape,
+            )
 
+    rows = train.select("toxic", "text").mapInArrow(counted, "name long, head string, n0 long, n1 long")
+    return rows.groupBy("name", "head").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Learn from labelled rows that are not held out."""
+    spark = docs.sparkSession
+    storage.bounded_batches(spark)
+    train, stands_for = _examples(docs, labels, examples)
+    counts = storage.materialize(_terms(train), "toxicity_terms")
     sizes = dict(train.groupBy("toxic").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    least = max(LEAST, int(LEAST_SHARE * n1))
-    often = train.filter("toxic = 1").select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    in1 = {r.term: r.n for r in often.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    sent = spark.sparkContext.broadcast(frozenset(in1))
-
-    def counted_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ask = Counter(), sent.value
-        heads = {t[:HEAD] for t in ask}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n.update({t for w in set(_WORD.findall(text.lower())) if w[:HEAD] in heads for t in terms(w) if t in ask})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
-
-    in0 = dict(train.filter("toxic = 0").select("text").mapInArrow(counted_again, "term string, n long").groupBy("term").agg(F.sum("n")).collect())
-    gain = {}
-    for t, a in in1.items():
-        p1, p0 = (a + 0.5) / (n1 + 1), (in0.get(t, 0) + 0.5) / (n0 + 1)
-        if p1 > LIKELIER * p0 and surprise(a, in0.get(t, 0), n1, n0) > 2 * np.log(10 * len(in1)):
-            gain[t] = p1 * np.log(p1 / p0)
-    own = sorted(gain, key=lambda t: (-gain[t], t))[:vocabulary]
-    number = {t: i for i, t in enumerate(own)}
-    idf = np.array([np.log((1 + n0 + n1) / (1 + in1[t] + in0.get(t, 0))) + 1 for t in own])
-    half = Model(number, idf, BlockMaxIndex([], len(own)), np.zeros(0), [], 0.0, isotonic(np.zeros(0), np.zeros(0)))
-    shape = spark.sparkContext.broadcast((number, idf))
+    if not n0 + n1:
+        return Model(np.zeros(0, np.int64), np.zeros(0), frozenset())
+    every = sum(stands_for[c] * n for c, n in sizes.items())
+    share = stands_for.get(1, 0) * n1 / every
+    # every word, and the beginnings that chance over all terms would not give; its size is that of the examples
+    tells = surprise(F.col("n1"), F.col("n0"), n1, n0) > 2 * float(np.log(max(2, counts.count())))
+    kept = counts.withColumn("tells", tells).filter(F.col("head").isNull() | F.col("tells")).toArrow().combine_chunks().sort_by("name")
+    name, a, b, strong = (kept.column(x).to_numpy() for x in ("name", "n1", "n0", "tells"))
+    heads = frozenset(x for x in kept.column("head").to_pylist() if x is not None)
+    model = Model(name, worth(a, b, strong, n1, n0), heads, share=share)
+    sent = spark.sparkContext.broadcast(model)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shape.value, BlockMaxIndex([], len(shape.value[0])), np.zeros(0), [], 0.0, (np.zeros(1), np.zeros(1)))
+        own = sent.value
         for batch in batches:
-            found = [model.vector(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(v) for v in found], pa.list_(pa.int64())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
-
-    rows = train.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, weights array<double>")
-    # at most `examples` short vectors; those without terms only count
-    rows = rows.collect()
-    bare = [r.toxic for r in rows if not r.terms]
-    # rows that share their heaviest term lie together, so that blocks differ
-    full = sorted((r for r in rows if r.terms), key=lambda r: (r.terms[int(np.argmax(r.weights))], sorted(r.terms), r.doc_id))
-    every = [dict(zip(r.terms, r.weights)) for r in full]
-    half.index, half.labels, half.ids = BlockMaxIndex(every, len(own)), np.array([r.toxic for r in full], float), [r.doc_id for r in full]
-    share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    half.no_evidence = (sum(bare) + share * 0.5) / (len(bare) + 0.5) if rows else 0.0
-    raw = np.array([half.vote(v, i)[0] for i, v in enumerate(every)])
+            owner, term, weight = own.vectors(batch.column(2).to_pylist())
+            cut = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cut, pa.array(term)), pa.ListArray.from_arrays(cut, pa.array(weight))], ["doc_id", "toxic", "terms", "weights"])
+
+    rows = train.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, weights array<double>").toArrow().combine_chunks().sort_by("doc_id")
+    _index(model, rows, strong, np.array([stands_for.get(c, 1.0) for c in (0, 1)]))
+    return model
+
+
+def _index(model: Model, rows: pa.Table, strong: np.ndarray, stands_for: np.ndarray) -> None:
+    """Give the model its index and curve. rows: the examples' vectors, by doc_id."""
+    lists = rows.column("terms").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    term, weight = lists.flatten().to_numpy(), rows.column("weights").combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(size)), size)
+    often = np.bincount(term, minlength=len(model.terms)) > len(size) / DENSE
+    # rows that share their heaviest telling term, then their heaviest frequent one, lie together, so that blocks differ
+
+    def heaviest(mask: np.ndarray) -> np.ndarray:
+        out = np.full(len(size), -1)
+        order = np.lexsort((weight[mask], owner[mask]))
+        out[owner[mask][order]] = term[mask][order]  # the last one of a row stays
+        return out
+
+    full = np.flatnonzero(size)
+    order = full[np.lexsort((full, heaviest(often[term])[full], heaviest(strong[term])[full]))]
+    place = np.full(len(size), -1)
+    place[order] = np.arange(len(order))
+    model.index = BlockMaxIndex(place[owner], term, weight, len(order), len(model.terms))
+    labels = rows.column("toxic").to_numpy()[order]
+    model.labels, model.ids = labels.astype(float), rows.column("doc_id").to_numpy()[order]
+    by = np.argsort(place[owner], kind="stable")
+    found = model.votes(place[owner][by], term[by], weight[by], len(order), np.arange(len(order)))
+    raw = np.array([v for v, _ in found])
     some = raw >= 0
-    half.curve = isotonic(raw[some], half.labels[some])
-    return half
+    model.curve = isotonic(raw[some], model.labels[some], stands_for[labels[some]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, neighbours (ids of the labelled examples that voted)."""
+    """doc_id, score, neighbours (ids of the labelled examples that voted, nearest first)."""
     spark = docs.sparkSession
     storage.bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -236,7 +355,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = [own.score(x) for x in batch.column(1).to_pylist()]
+            found = own.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -252,6 +371,6 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([own.score(x or "")[0] < width for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < width for s, _ in own.score([x or "" for x in batch.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,10 +1,11 @@
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from leafmill.llm import toxicity
-from leafmill.llm.holdout import bounded, held_out
+from leafmill.llm.holdout import held_out
 
 RNG = random.Random(2)
 PLAIN = ["".join(RNG.choice("ab eo rt in st".split()) for _ in range(3)) for _ in range(300)]
@@ -20,17 +21,76 @@ def text(toxic):
 
 def test_index_against_brute_force():
     rng = np.random.default_rng(1)
-    rows = []
-    for _ in range(300):
-        v = {int(t): float(w) for t, w in zip(rng.choice(40, 4, replace=False), rng.random(4) + 0.1)}
-        n = np.sqrt(sum(w * w for w in v.values()))
-        rows.append({t: w / n for t, w in v.items()})
-    index = toxicity.BlockMaxIndex(rows, 40, block=16)
-    for i in range(0, 300, 17):
-        q = rows[i]
-        scored = sorted((-round(sum(w * r.get(t, 0) for t, w in q.items()), 12), j) for j, r in enumerate(rows) if j != i and set(r) & set(q))
-        assert index.top(q, 7, i) == [(-s, j) for s, j in scored[:7]]
-    assert index.top({}, 5) == []
+    for n, size, common in ((300, 40, 4), (1000, 5000, 6), (5, 40, 4), (0, 3, 0)):
+        full = np.zeros((n, size))
+        for i in range(n):  # rows that repeat, long lists (the first terms) and short ones
+            at = np.append(rng.integers(0, 5, common // 2), rng.choice(size, common, replace=False))
+            full[i, at] = rng.random(len(at)) + 0.1
+            if i % 7 == 6:
+                full[i] = full[i - 1]
+        full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-9)
+        row, term = np.nonzero(full)
+        index = toxicity.BlockMaxIndex(row, term, full[row, term], n, size, block=16)
+        found = index.top(row, term, full[row, term], n, 7, np.arange(n))
+        scores = np.round(full @ full.T, 12)
+        for i in range(n):
+            want = sorted((-scores[i, j], j) for j in range(n) if j != i and scores[i, j] > 0)[:7]
+            assert [(-s, j) for s, j in zip(found[i][0].tolist(), found[i][1].tolist())] == [(x, j) for x, j in want]
+    index = toxicity.BlockMaxIndex(np.array([0]), np.array([1]), np.array([1.0]), 1, 3)
+    assert [len(x) for x, _ in index.top(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 2, 5)] == [0, 0]
+
+
+def test_scores_against_brute_force(spark):
+    """Plain cosines over all examples, with the terms and their weights from the counts as the docstring has them."""
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def bag(x):
+        c = Counter(re.findall("[a-z]+", x.lower()))
+        for w, n in list(c.items()):
+            for k in range(3, min(6, len(w) - 1) + 1):
+                c[w[:k] + "-"] += n
+        return c
+
+    bags, y = [bag(t) for _, t, _ in train], np.array([v for _, _, v in train])
+    every = sorted({t for b in bags for t in b})
+    n1, n0 = int(y.sum()), int((y == 0).sum())
+    in1 = {t: sum(t in b for b, v in zip(bags, y) if v) for t in every}
+    in0 = {t: sum(t in b for b, v in zip(bags, y) if not v) for t in every}
+
+    def weight(t):
+        a, b, n = in1[t], in0[t], n1 + n0
+        g = 2 * sum(x * np.log(x / e) for x, e in ((a, n1 * (a + b) / n), (n1 - a, n1 - n1 * (a + b) / n), (b, n0 * (a + b) / n), (n0 - b, n0 - n0 * (a + b) / n)) if x > 0)
+        p, base = (a + 5 * n1 / n) / (a + b + 5), n1 / n
+        e = abs(np.log(p / (1 - p)) - np.log(base / (1 - base))) if g > 2 * np.log(len(every)) else 0
+        return 0.0 if t[-1] == "-" and not e else (np.log((1 + n) / (1 + a + b)) + 1) * (0.02 + e)
+
+    value = {t: weight(t) for t in every}
+
+    def vector(b):
+        v = {t: (1 + np.log(n)) * value[t] for t, n in b.items() if value.get(t)}
+        z = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / z for t, x in v.items()}
+
+    full = [vector(b) for b in bags]
+    assert len(model.terms) == sum(x > 0 for x in value.values()) and any(t[-1] == "-" and x for t, x in value.items())
+
+    def vote(v):
+        s = np.array([sum(w * f.get(t, 0) for t, w in v.items()) for f in full])
+        near = np.argsort(-s, kind="stable")[: toxicity.K]
+        say = 1 / (1.05 - s[near])
+        return {train[i][0] for i in near}, s[near], float((say * y[near]).sum() / say.sum())
+
+    asked = [t for i, t, _ in rows if i % 10 == 3] + [rows[0][1], rows[5][1]]
+    got = model.score(asked)
+    for x, (score, near) in zip(asked, got):
+        ids, s, raw = vote(vector(bag(x)))
+        assert len(near) == toxicity.K
+        if s[-2] - s[-1] > 1e-9 and set(near) == ids:  # else ties decide, which rows of the index order otherwise
+            assert abs(score - float(np.interp(raw, *model.curve))) < 1e-9
+    assert sum(set(near) == vote(vector(bag(x)))[0] for x, (_, near) in zip(asked, got)) > 0.9 * len(asked)
 
 
 def test_isotonic():
@@ -62,8 +122,30 @@ def test_odd_tables(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_bounded(spark):
-    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
-    assert 700 < bounded(rows, 1000).count() < 1300
-    assert bounded(rows, 5000).count() == 5000
-    assert rows.filter(held_out()).count() == rows.filter(F.expr("crc32(cast(doc_id as string)) % 4 = 2")).count()
+def test_examples_are_bounded(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('word', id) as text").union(spark.range(3000).selectExpr("1L", "'the same id'"))
+    labels = spark.range(6000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
+    train, stands_for = toxicity._examples(docs, labels, 1000)
+    n = dict(train.groupBy("toxic").count().collect())
+    assert 350 < n[1] < 550 and 420 < n[0] < 640 and 0.9 < stands_for[1] * n[1] / 450 < 1.1
+    every, stands_for = toxicity._examples(docs, labels, 10_000)
+    assert every.count() == every.select("doc_id").distinct().count() and stands_for == {0: 1.0, 1: 1.0}
+    assert every.filter(held_out()).count() == 0
+
+
+def test_every_text_has_neighbours(spark):
+    """On the given table; nothing but empty texts and ones without a known word may have none."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert out.filter("size(neighbours) = 0").count() < 0.01 * docs.count()
+
+
+def test_very_long_and_repeated_texts(spark):
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "plain " * 200_000 + "grumbal"), (901, rows[0][1]), (901, rows[0][1])], "doc_id long, text string")
+    out = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))).collect()
+    assert len(out) == 203
+    twice = [r for r in out if r.doc_id == 901]
+    assert twice[0] == twice[1] and twice[0].score == next(r.score for r in out if r.doc_id == 0)
+    assert next(r for r in out if r.doc_id == 900).neighbours
