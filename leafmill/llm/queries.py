@@ -40,9 +40,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document by its words' distributions."""
+    """Language of every document by its words' distributions, and how many stretches of one language it has."""
     docs = _table(spark, sf_dir, "documents")
-    return language_crf.predict(docs, language_crf.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    out = language_crf.label(docs, language_crf.fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
