@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import storage
 
@@ -49,7 +48,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist())], np.uint64)
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits, each set if it is in over half of the hashes."""
     ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
@@ -90,17 +93,22 @@ def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return fps.select("fp", F.inline(F.array(*made)))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of different fingerprints within distance; every linked pair is connected by
-    some of them, and none is beyond distance. fps: distinct fingerprints in a column fp."""
+def meeting(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The variants (slot, key, side, fp) under which some fingerprints may be linked, and how many are there (n). fps: distinct fingerprints in a column fp."""
     # few bytes make many rows and much work here, so partition counts are set, not sized by bytes
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = variants(fps.repartition(parts, "fp"), distance)
     # keys that can link anything: a whole segment twice, or both sides of a left-out bit
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n_one"), F.max(F.col("side").isNull()).alias("whole"))
     worth = sizes.filter((F.col("n") > 1) & (F.col("whole") | ((F.col("n_one") > 0) & (F.col("n_one") < F.col("n")))))
-    worth = storage.materialize(worth.select("slot", "key", "n"), "simhash_buckets")
-    met = index.join(worth, ["slot", "key"])
+    return index.join(storage.materialize(worth.select("slot", "key", "n"), "simhash_buckets"), ["slot", "key"])
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of different fingerprints within distance; every linked pair is connected by
+    some of them, and none is beyond distance. fps: distinct fingerprints in a column fp."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = meeting(fps, distance)
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     # chunk i meets every chunk j: the group is named by the smaller and the larger
@@ -181,26 +189,36 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORD
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_name(text: str = "text") -> Column:
+    """A text by its digest; null is empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def rows_named(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, id, node): whole rows of docs, one for each (id, node) of wanted. Whatever columns docs has are inside row."""
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_name().alias("node"))
+    wanted = wanted.select(F.col("id").alias("wanted_id"), F.col("node").alias("wanted_node"))
+    # by doc_id too, so that copies of one text are not dealt to one task
+    return held.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("node") == F.col("wanted_node")), "left_semi").dropDuplicates(["id", "node"])
+
+
 def keep_first(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
     """One row of docs for each group of near-duplicates, with the columns it had: the smallest
-    doc_id (null last), and of rows that share it the smallest fingerprint, then text hash. Groups are those of
-    the texts, so rows that repeat a doc_id with other texts are groups of their own."""
+    doc_id (null last), and of rows that share it the smallest text digest. Groups are those of
+    the texts, so rows that repeat a doc_id with other texts are groups of their own. Texts stay
+    where they are until the rows that stay are known."""
     storage.bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([fingerprint(x or "", words) for x in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__fp"])
-
-    shape = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    rows = storage.materialize(docs.mapInArrow(add, shape), "simhash_rows")
-    own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.col("__fp").alias("fp"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    first = storage.materialize(rows.select(own.alias("own")).groupBy("own.fp").agg(F.min("own").alias("own")), "simhash_first")
-    best = grouped(first, distance).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.id").alias("__id"), F.col("own.fp").alias("__f"), F.col("own.h").alias("__h"))
-    rows = rows.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")) & (F.col("__t") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp", "__t"]).select(docs.columns)
+            found = [fingerprint(x, words) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["id", "node", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_name().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "node")
+    found = rows.mapInArrow(of, "id long, node string, fp long").groupBy("fp").agg(F.min(own).alias("own"))
+    best = grouped(storage.materialize(found, "simhash_first"), distance).groupBy("root").agg(F.min("own").alias("own"))
+    return rows_named(docs, best.select("own.id", "own.node")).select("row.*")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -69,7 +69,7 @@ def test_small_chunks_find_the_same(spark):
 
 def test_similarity_is_exact():
     def group(a, b):
-        sets = [near_copies.shingles(x).tobytes() for x in (a, b)]
+        sets = [near_copies.shingle_set(near_copies.hashes_of(x)).tobytes() for x in (a, b)]
         return pd.DataFrame({"node": ["a", "b"], "own": [0, 0], "i": [0, 0], "j": [0, 0], "hashes": sets})
 
     words = [f"w{i}" for i in range(13)]  # 9 shingles; of 8 of them, 8 / 9; without the first two, 7 / 9
@@ -81,6 +81,30 @@ def test_similarity_is_exact():
 def test_odd_rows(spark):
     a, b = "a b c d e f", "x y z u v w t"
     rows = [(8, a, 1), (8, b, 2), (8, b, 2), (9, a, 3), (None, a, 4), (None, "n m o p q", 5), (4, None, 6), (3, "", 7), (5, " \n", 8), (11, "One two", 9), (10, "one  TWO", 10)]
-    docs = spark.createDataFrame(rows, DOCS)
+    docs = spark.createDataFrame([(*r, r[2], "x", r[0], 3) for r in rows], DOCS + ", node int, row string, id long, __node int")
     assert sorted(r.kind for r in near_copies.keep_first(docs).collect()) == [1, 2, 5, 7, 10]
+    assert near_copies.keep_first(docs).columns == docs.columns
+    assert all(r.node == r.kind and r.id == r.doc_id and (r.row, r["__node"]) == ("x", 3) for r in near_copies.keep_first(docs).collect())
     assert near_copies.keep_first(docs.limit(0)).count() == 0
+
+
+def test_texts_of_near_fingerprints_meet_without_bands(spark):
+    """Op2's variants alone bring together what differs in at most three bits."""
+    rng, rows = random.Random(3), []
+    for _ in range(12):
+        base = [f"word{rng.randrange(500)}" for _ in range(900)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(base), 1))
+            base[rng.randrange(900)] = "other"
+    docs = spark.createDataFrame(rows, DOCS)
+    first = near_copies._first(docs, 5)
+    linked = {frozenset(x) for x in near_copies.simhash.links(first.select("fp").distinct()).collect()}
+    some = first.withColumn("bands", near_copies.F.array().cast("array<long>"))
+    found = {r.node: r.root for r in near_copies.simhash.components(near_copies.links(docs, some)).collect()}
+    fp = {r.node: (r.fp, r.own.id) for r in first.collect()}
+    text = {i: t for i, t, _ in rows}
+    near = [(a, b) for a in fp for b in fp if a < b and bin((fp[a][0] ^ fp[b][0]) & (2**64 - 1)).count("1") <= 3]
+    assert len(near) > 20 and linked
+    for a, b in near:
+        if brute_jaccard(brute_shingles(text[fp[a][1]]), brute_shingles(text[fp[b][1]])) >= 0.8:
+            assert found[a] == found[b]

@@ -84,8 +84,11 @@ def test_odd_documents(spark):
 def test_one_row_of_each_group_stays(spark):
     a, b = "a b c d e f", "x y z u v w t"
     rows = [(8, a, 1), (8, b, 2), (8, b, 2), (9, a, 3), (None, a, 4), (None, "n m o p q", 5), (4, None, 6), (3, "", 7)]
-    docs = spark.createDataFrame(rows, DOCS + ", __t2 int")
+    # columns by the names that the operator itself might use come through as they are
+    names = ("__fp", "__t", "__id", "__f", "__h", "id", "node", "row", "fp", "root", "own", "wanted_id")
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], DOCS + ", n int" + "".join(f", {x} int" for x in names))
     got = simhash.keep_first(docs)
     assert got.columns == docs.columns
     assert sorted(r[2] for r in got.collect()) == [1, 2, 5, 7]
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in got.collect())
     assert simhash.keep_first(docs.limit(0)).count() == 0
