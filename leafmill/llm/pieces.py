@@ -123,6 +123,13 @@ class PieceEncoder:
         known.update(zip(odd, self._encode_many(odd_text)))
 
 
+def vocabulary_of(path: str) -> int:
+    """The largest id of a tokenizers library file, and one."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 @lru_cache(maxsize=1)
 def library_encoder(path: str, keep_space: bool) -> PieceEncoder:
     """By the tokenizers library, from one of its files; the strings of its added tokens are those tokens.

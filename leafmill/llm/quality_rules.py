@@ -2,8 +2,11 @@
 
 Contract for odd input: a null or empty text has no words, so every count is 0 and it fails the
 base rule; rows that repeat are judged alike and kept as often as they come; other columns of
-the input are carried or ignored as the caller asks, never read. An empty table gives an empty
-result. Texts of any length are judged whole, inside their own row, with no shuffle.
+the input are carried or ignored as the caller asks, never read, whatever their names (the
+measures' own names get a prefix that no column has). An empty table gives an empty
+result. Texts of any length are judged whole, inside their own row, with no shuffle. The
+stop-word rule knows four languages: a text in none of them fails it, so for a corpus in others
+pass `rules` without it or with words of its own.
 """
 
 from __future__ import annotations
@@ -47,8 +50,16 @@ RULES = (
 )
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """One that no column of docs begins with."""
+    prefix = "__q_"
+    while any(x.lower().startswith(prefix) for x in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def measures(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> DataFrame:
-    """docs with the measures as columns named prefix + name."""
+    """docs with the measures as columns named prefix + name; no column of docs may begin with prefix."""
     p = prefix
     whole, stop = F.coalesce(F.col(text), F.lit("")), F.array(*[F.lit(x) for x in sorted(set(STOP_WORDS.split()))])
     q = {}
@@ -116,10 +127,11 @@ def base_failed(prefix: str = "__q_") -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every column of docs, then the counts, base_failed and kept; same-named columns of docs are replaced."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = measures(docs, text)
+    p = free_prefix(docs)
+    out = measures(docs, text, p)
     own = [F.col(x) for x in map(_quoted, docs.columns) if x.strip("`") not in (*names, "base_failed", "kept")]
-    failed = base_failed()
-    return out.select(*own, *[F.col("__q_" + x).alias(x) for x in names], failed.alias("base_failed"), _held(~failed & verdict(rules)).alias("kept"))
+    failed = base_failed(p)
+    return out.select(*own, *[F.col(p + x).alias(x) for x in names], failed.alias("base_failed"), _held(~failed & verdict(rules, p)).alias("kept"))
 
 
 def _quoted(name: str) -> str:
@@ -134,5 +146,6 @@ def _held(condition: Column) -> Column:
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns they had."""
-    out = measures(docs, text).withColumn("__q_kept", _held(~base_failed() & verdict(rules)))
-    return out.filter("__q_kept").select(*[F.col(x) for x in map(_quoted, docs.columns)])
+    p = free_prefix(docs)
+    out = measures(docs, text, p).withColumn(p + "kept", _held(~base_failed(p) & verdict(rules, p)))
+    return out.filter(F.col(p + "kept")).select(*[F.col(x) for x in map(_quoted, docs.columns)])

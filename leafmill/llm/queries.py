@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, chat, language_crf, license_scan, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
 from .holdout import held_out
 
-BYTE_BPE, BYTE_BPE_IDS = "byte_bpe_50k.json", 50_257
-WORD_BPE, MULTI_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE, WORD_BPE, MULTI_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +34,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written, read back and digested."""
     path = storage.new_path(spark, "token_files")
-    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), BYTE_BPE_IDS)
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE))
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 

@@ -95,8 +95,8 @@ def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def meeting(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The variants (slot, key, side, fp) under which some fingerprints may be linked, and how many are there (n). fps: distinct fingerprints in a column fp."""
-    # few bytes make many rows and much work here, so partition counts are set, not sized by bytes
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes make many rows and much work here: a fingerprint has some 70 rows of 40 bytes
+    parts = storage.partitions_for(fps, factor=350)
     index = variants(fps.repartition(parts, "fp"), distance)
     # keys that can link anything: a whole segment twice, or both sides of a left-out bit
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n_one"), F.max(F.col("side").isNull()).alias("whole"))
@@ -107,7 +107,7 @@ def meeting(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of different fingerprints within distance; every linked pair is connected by
     some of them, and none is beyond distance. fps: distinct fingerprints in a column fp."""
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = storage.partitions_for(fps, factor=350)
     met = meeting(fps, distance)
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
@@ -168,8 +168,10 @@ def components(pairs: DataFrame, name: str = "simhash") -> DataFrame:
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         new = storage.materialize(hung.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root")), f"{name}_labels")
         changed = new.filter("root <> was").limit(1).count()
+        storage.drop(labels)
         labels = new.select("node", "root")
         if not changed:
+            storage.drop(edges)
             return labels
 
 

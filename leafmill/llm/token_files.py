@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .pieces import library_encoder
+from .pieces import library_encoder, vocabulary_of
 
 MAGIC, VERSION = b"TIDB", 1
 _HEAD = struct.Struct("<4sBBHIQQ")
@@ -43,7 +43,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """ids at `bits` bits each, low bit first."""
+    """ids at `bits` bits each, low bit first; an id that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     raw = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
@@ -87,15 +89,15 @@ class Block:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1] - self.offsets[k]))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = 0, partitions: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int | None = None, end_id: int = 0, partitions: int | None = None) -> None:
     """Encode every document, append end_id, and write blocks in ascending doc_id order to path.
 
-    One range exchange orders the documents; each task then writes its own blocks in a stream and
+    vocabulary: ids lie below it; the tokenizer's own size, if not given. One range exchange orders the documents; each task then writes its own blocks in a stream and
     holds one block at a time. ids_before counts from the task's first document.
     """
     spark = docs.sparkSession
     storage.bounded_batches(spark)
-    bits, end = bits_for(vocabulary), np.array([end_id], "<u4").tobytes()
+    bits, end = bits_for(max(end_id + 1, vocabulary or vocabulary_of(tokenizer))), np.array([end_id], "<u4").tobytes()
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -124,7 +126,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
         if names:
             yield take()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or storage.partitions_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(to_blocks, BLOCKS).write.parquet(path)
 

@@ -1,18 +1,23 @@
 """Exact top-k inner products by norm buckets.
 
-Candidates are grouped by length (bucket k holds norms from RATIO**k to RATIO**(k+1)). For a query
-with a running k-th best score t, a bucket whose longest vector has norm m can only matter where the cosine
-reaches the local threshold c = t / (|q| m). Above 1 the bucket is skipped; from COORDINATE on,
+Candidates are written once, grouped by length (bucket k holds norms from RATIO**k to RATIO**(k+1)),
+the longest first. Every query gets a first bound t on its k-th best score, from its products with the SEEDS
+longest vectors; no candidate shorter than t / |q| can matter to it. Queries go in rounds by that
+length, so a round reads the buckets from its shortest useful length up, and no others (the file
+statistics of the norm skip the rest).
+
+Within a round, a bucket whose longest vector has norm m can only matter to a query where the cosine
+reaches the local threshold c = t / (|q| m), t being its running k-th best score. Above 1 the bucket is skipped; from COORDINATE on,
 candidates are cut to those inside the range that c allows in the query's largest coordinates;
 below, to those long enough (norm >= t / |q|). What is left gets its exact integer product.
 
-Queries travel in rounds of a fixed number of rows, so what is broadcast has a proven bound;
-each round reads the candidates once, keeps k rows per query and task, and ends in one exchange
-by query. A first bound on t comes from the round's own queries, which are candidates too.
+A round has a fixed number of queries, so what is broadcast and what the driver holds at a time have a proven bound;
+its result, k rows per query, is a written table, and its broadcast is released before the next one.
 
 Contract for odd input: rows with a null id, a null vector, or null or non-finite components take no part;
 a vector is compared with vectors of the same length only; a query is never compared with rows of
-its own id, and repeated query rows count once; equal scores go to the smaller id, and repeated candidate rows
+its own id; repeated query rows count once, and different vectors of one id are queries of their own, each with its
+ranks; equal scores go to the smaller id, and repeated candidate rows
 each take a place; an empty table gives an empty result; other columns are not read.
 """
 
@@ -25,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 RATIO = 1.25
 #: Local threshold from which coordinates are looked at, and how many.
 COORDINATE, FOCUS = 0.7, 3
 #: Queries of one round, and coordinates of their vectors at most: what a broadcast holds.
 ROUND_ROWS, ROUND_NUMBERS = 16_384, 1 << 23
+#: Longest vectors that first bounds come from.
+SEEDS = 4096
 CHUNK = 256
 #: Products below this are exact in floating point.
 _EXACT = float(1 << 53)
@@ -145,54 +154,84 @@ def top_products(vectors: DataFrame, is_query, k: int) -> DataFrame:
     vectors: as integer_vectors gives them. is_query: a condition on vec_id.
     """
     spark = vectors.sparkSession
-    queries = vectors.filter(is_query).select("vec_id", "v").distinct()
-    dim = max(1, queries.agg(F.max(F.size("v"))).first()[0] or 1)
-    rows = max(1, min(ROUND_ROWS, ROUND_NUMBERS // dim))
-    total = queries.count()
-    rounds = -(-total // rows)
-    # rounds by hash of the id; each is a little smaller than its bound on average, and is cut if not
-    found: DataFrame | None = None
-    for r in range(max(1, rounds)):
-        part = queries if rounds <= 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r)
-        held = [(x[0], x[1]) for x in part.collect()]
-        for at in range(0, max(1, len(held)), rows):
-            one = _round(spark, vectors, held[at : at + rows], k)
-            found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _round(spark, vectors: DataFrame, held: list, k: int) -> DataFrame:
-    best = {}
-    if held:
-        for ids, v in _by_dimension(np.array([x[0] for x in held], np.int64), [x[1] for x in held]):
-            best[v.shape[1]] = (ids, v, _first_bound(ids, v, k))
-    sent = spark.sparkContext.broadcast(best)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = {}
-        for d, (ids, v, bound) in sent.value.items():
-            states[d] = _Best(ids, v, k)
-            states[d].bound = bound.copy()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    bucket = F.floor(F.log(F.greatest(F.col("norm"), F.lit(0.5))) / float(np.log(RATIO))).cast("int")
+    rows = vectors.select("vec_id", "v", norm.alias("norm")).withColumn("bucket", bucket)
+    parts = storage.partitions_for(vectors)
+    # by length over all files, and inside each; the hash spreads a bucket that many vectors share
+    grouped = rows.repartitionByRange(parts, F.desc("bucket"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("norm"))
+    candidates = storage.materialize(grouped, "topk_candidates")
+    dim = max(1, candidates.agg(F.max(F.size("v"))).first()[0] or 1)
+    most = max(1, min(ROUND_ROWS, ROUND_NUMBERS // dim))
+    queries = candidates.filter(is_query).select("vec_id", "v").distinct()
+    bounded = storage.materialize(_first_bounds(candidates, queries, k, min(SEEDS, most)), "topk_queries")
+    total = bounded.count()
+    rounds = -(-total // most)
+    if rounds > 1:
+        ordered = bounded.repartitionByRange(rounds, F.desc("need"), F.xxhash64("vec_id")).withColumn("round", F.spark_partition_id())
+        bounded = storage.materialize(ordered, "topk_rounds")
+    paths = []
+    for r in range(rounds):
+        held = (bounded.filter(F.col("round") == r) if rounds > 1 else bounded).orderBy(F.desc("need"), "vec_id", "v")
+        paths += _round(candidates, held.select("vec_id", "v", "bound", "need"), k, most)
+    shape = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
+
+
+def _first_bounds(candidates: DataFrame, queries: DataFrame, k: int, seeds: int) -> DataFrame:
+    """queries with bound, below which no score is wanted (null: none known), and need, the least norm that can give it."""
+    spark = candidates.sparkSession
+    held = candidates.orderBy(F.desc("norm"), "vec_id").limit(seeds).select("vec_id", "v").collect()
+    sent = spark.sparkContext.broadcast({v.shape[1]: (ids, v) for ids, v in _by_dimension(np.array([x[0] for x in held], np.int64), [x[1] for x in held])})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, v in _by_dimension(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()):
-                if v.shape[1] in states:
-                    for a, b in _norm_buckets(ids, v):
-                        states[v.shape[1]].scan(a, b)
-        for s in states.values():
-            i, j = np.nonzero(s.score > NONE)
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids[i]), pa.array(s.vec[i, j]), pa.array(s.score[i, j])], ["query_id", "vec_id", "score"])
-
-    local = vectors.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _first_bound(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each query among (some of) the queries themselves: a lower bound."""
-    start = _Best(ids, v, k)
-    for i in range(0, min(len(ids), 4096), 1024):
-        scores = _products(v, v[i : i + 1024])
-        scores[ids[:, None] == ids[None, i : i + 1024]] = NONE
-        start.add(np.arange(len(ids)), ids[i : i + 1024], scores)
-    return start.bound
+                other, seed = sent.value.get(v.shape[1], (np.zeros(0, np.int64), np.zeros((0, v.shape[1]), np.int64)))
+                scores = _products(v, seed)
+                scores[ids[:, None] == other[None, :]] = NONE
+                bound = np.partition(scores, -k, axis=1)[:, -k] if len(other) >= k else np.full(len(ids), NONE)
+                norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+                need = np.where(bound > 0, bound / np.maximum(norm, 1e-300) * (1 - 1e-9), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(v), pa.list_(pa.int64())), pa.array(bound, pa.int64(), mask=bound == NONE), pa.array(need)], ["vec_id", "v", "bound", "need"])
+
+    return queries.mapInArrow(of, "vec_id long, v array<long>, bound long, need double")
+
+
+def _round(candidates: DataFrame, queries: DataFrame, k: int, most: int) -> list[str]:
+    """Paths of the results of one round, in parts of at most `most` queries."""
+    spark, paths = candidates.sparkSession, []
+    # a round is as large as its bound on average; what is over goes in a part of its own
+    held = queries.collect()
+    for at in range(0, len(held), most):
+        part = held[at : at + most]
+        best = {}
+        for number, v in _by_dimension(np.arange(len(part)), [x[1] for x in part]):
+            ids = np.array([part[i][0] for i in number], np.int64)
+            bound = np.array([-np.inf if part[i][2] is None else part[i][2] for i in number], np.float64)
+            best[v.shape[1]] = (number, ids, v, bound)
+        sent = spark.sparkContext.broadcast(best)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            states = {}
+            for d, (_, ids, v, bound) in sent.value.items():
+                states[d] = _Best(ids, v, k)
+                states[d].bound = bound.copy()
+            for batch in batches:
+                for ids, v in _by_dimension(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()):
+                    if v.shape[1] in states:
+                        for a, b in _norm_buckets(ids, v):
+                            states[v.shape[1]].scan(a, b)
+            for d, s in states.items():
+                i, j = np.nonzero(s.score > NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value[d][0][i]), pa.array(s.ids[i]), pa.array(s.vec[i, j]), pa.array(s.score[i, j])], ["number", "query_id", "vec_id", "score"])
+
+        useful = candidates.filter(F.col("norm") >= min(x[3] for x in part)).select("vec_id", "v")
+        local = useful.mapInArrow(search, "number long, query_id long, vec_id long, score long")
+        order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+        ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        path = storage.new_path(spark, "topk_round")
+        ranked.select("query_id", "rank", "vec_id", "score").write.parquet(path)
+        paths.append(path)
+        sent.destroy()
+    return paths

@@ -1,7 +1,9 @@
+import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +70,13 @@ def test_packing_bits(bits, data):
         assert token_files.unpack(raw, bits, start, len(ids) - start).tolist() == ids[start:].tolist()
 
 
+def test_ids_that_do_not_fit():
+    for bits in (3, 8, 16, 17):
+        with pytest.raises(ValueError):
+            token_files.pack(np.array([0, 1 << bits], "<u4"), bits)
+    assert pieces.vocabulary_of(public_tokenizers.path("byte_bpe_50k.json")) == 50_257
+
+
 def test_block_random_access():
     docs = [np.arange(n, dtype="<u4").tobytes() for n in (3, 0, 9)]
     block = token_files.Block(token_files.write_block(docs, token_files.bits_for(50_257), 12))
@@ -108,6 +117,7 @@ def test_packing(spark):
     for d, x in ((4, "b c"), (9, ""), (None, "q")):
         mine = sorted((r for r in got if r.doc_id == d), key=lambda r: r.start)
         assert sum((list(r.ids) for r in mine), []) == t.encode(x, add_special_tokens=False).ids + [1]
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.doc_tokens == sum(m.length for m in mine) for r in mine)
         assert [r.start for r in mine] == [sum(m.length for m in mine[:i]) for i in range(len(mine))]
     assert packing.lengths(4096 + 5) == [2048, 2048, 4, 1]
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"), end_id=1).collect() == []
@@ -116,4 +126,7 @@ def test_packing(spark):
 def test_bpe_documents(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, ids string")
     got = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((d or -1, len(LIBRARY.encode_ordinary(x or ""))) for d, x, _ in ROWS)
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(d or -1, LIBRARY.encode_ordinary(x or ""), x or "") for d, x, _ in ROWS]
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in got) == sorted((d, len(i), digest(",".join(map(str, i)).encode()), digest(x.encode()), tuple(i)) for d, i, x in want)
+    assert byte_bpe.encode_documents(docs.limit(0), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []

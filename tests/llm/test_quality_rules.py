@@ -32,3 +32,20 @@ def test_clean_and_junk(spark):
     clean = "The house by the river was old and it had been empty for a long time before they came to see it."
     docs = spark.createDataFrame([(1, clean, ""), (2, re.sub(r"(\w+)", r"\1&&&", clean), ""), (3, "zxqv " + " ".join(f"qq{i}" for i in range(40)), "")], SCHEMA)
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {1}
+
+
+def test_columns_of_any_name(spark):
+    names = ["__q_n_words", "__q_words", "__Q_kept", "___q_text", "kept", "base_failed"]
+    rows = [(i, t, "old", *range(len(names))) for i, t in enumerate([*TEXTS, *TEXTS])]  # rows that repeat, too
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{x}` int" for x in names))
+    judged = quality_rules.judge(docs).collect()
+    assert len(judged) == len(rows)
+    assert all((r["__q_n_words"], r["__q_words"], r["__Q_kept"], r["___q_text"]) == (0, 1, 2, 3) and r.n_words == brute(r.text)[0] for r in judged)
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in kept.collect())
+
+
+def test_very_long_text(spark):
+    text = "the house of the river " + " ".join(f"w{i}" for i in range(60_000))
+    (r,) = quality_rules.judge(spark.createDataFrame([(1, text, "")], SCHEMA)).collect()
+    assert (r.n_words, r.n_repeat_words, r.word_chars) == (60_005, 0, len(text) - 60_004)
