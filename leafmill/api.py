@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.html import chapters_of, css_select, skeleton
-from .functions.text import chapter_file, chapter_path, normalize_text, optional, recover_json, slugify
+from .errors import BookError, ConfigError, FetchError, ModelError
+from .functions.html import chapters_of, css_select, css_select_all, skeleton
+from .functions.text import chapter_file, chapter_path, normalize_text, normalize_whitespace, optional, recover_json, slugify
 from .functions.urls import authority, urljoin
 from .operators.pages import cover_url, selector_issues
 from .plans import crawl as runs
@@ -25,6 +29,10 @@ from .plans import epub, toc
 from .sources import models, sinks
 
 
+#: From a DataFrame of `url` to one of (url, html).
+Fetch = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Site:
     """A site by its selectors. `Site.read` takes JSON files, and says what is wrong with one."""
@@ -57,17 +65,17 @@ class Site:
 
         row = typed(spark.read.text(path, wholetext=True)).first().asDict()
         if row["error"]:
-            raise ValueError(row["error"])
+            raise ConfigError(row["error"])
         return cls(**{k: tuple(v) if k == "remove_selectors" else v for k, v in row.items() if k in cls.__dataclass_fields__})
 
 
 def find_config(target: str, configs: str = "configs") -> Path:
     """The file itself, or one of that name in the folder of configs."""
-    tried = [Path(target), *([Path(configs, target)] if target.endswith(".json") else [Path(configs, f"{target}.json"), Path(configs, target, "config.json")])]
-    for path in tried:
-        if path.is_file():
-            return path
-    raise ValueError(f"no config for {target}: tried {', '.join(map(str, tried[1:]))}")
+    name = target if target.endswith(".json") else f"{target}.json"
+    places = (Path(target), Path(configs, name), Path(configs, target, "config.json"))
+    if found := next(filter(Path.is_file, places), None):
+        return found
+    raise ConfigError(f"no config for {target}: tried {', '.join(str(x) for x in places)}")
 
 
 @dataclass(frozen=True)
@@ -106,11 +114,8 @@ def toc_of(spark: SparkSession, site: Site, pages: DataFrame) -> DataFrame:
     start = spark.createDataFrame([(site.start_url, site.start_url)], "start string, page string")
     if not site.toc_next_selector:
         return pages.filter(F.col("url") == site.start_url).withColumn("page_no", F.lit(1).cast("long"))
-    href = F.try_element_at(_first("html", site.toc_next_selector)["attrs"], F.lit("href"))
-    near = pages.filter(authority(F.col("url")) == authority(F.lit(site.start_url))).select(F.col("url").alias("page"), href.alias("href")).filter("href <> ''")
-    edges = near.select("page", urljoin(F.col("page"), F.col("href")).alias("next_page"))
-    if site.same_domain:
-        edges = edges.filter(authority(F.col("next_page")) == authority(F.lit(site.start_url)))
+    near = pages.filter(authority(F.col("url")) == authority(F.lit(site.start_url))) if site.same_domain else pages
+    edges = near.select(F.col("url").alias("page"), _next_page(site).alias("next_page")).filter("next_page IS NOT NULL")
     walked = toc.walk(spark, start, edges, site.max_toc_pages)
     return pages.join(walked.select(F.col("page").alias("url"), "page_no"), "url")
 
@@ -130,17 +135,39 @@ def discover(spark: SparkSession, site: Site, pages: DataFrame) -> DataFrame:
     return toc.order_chapters(out, ["site"], "idx", site.reverse_chapter_order).select("site", "position", "title", "link_url")
 
 
+def fetch_toc(spark: SparkSession, site: Site, fetch: Fetch) -> DataFrame:
+    """The site's pages of contents (url, html), fetched one after the other along the next-links."""
+    url, seen, out = site.start_url, set(), []
+    while url and url not in seen and len(out) < max(1, site.max_toc_pages):
+        seen.add(url)
+        page = fetch(spark.createDataFrame([(url,)], "url string")).select(F.lit(url).alias("url"), "html")
+        got = page.withColumn("next_page", _next_page(site) if site.toc_next_selector else F.lit(None).cast("string")).first()
+        if got is None or got.html is None:
+            raise FetchError(f"page of contents not found: {url}")
+        out.append((url, got.html))
+        url = got.next_page
+    return spark.createDataFrame(out, "url string, html string")
+
+
+def _next_page(site: Site):
+    href = F.try_element_at(_first("html", site.toc_next_selector)["attrs"], F.lit("href"))
+    to = urljoin(F.col("url"), href)
+    inside = authority(to) == authority(F.lit(site.start_url)) if site.same_domain else F.lit(True)
+    return F.when((href != "") & inside, to)
+
+
 def metadata(spark: SparkSession, site: Site, pages: DataFrame) -> DataFrame:
     """title (the site's name if there is none), author, source_url, illustration_url, site_name."""
-    text = lambda s: optional(normalize_text(_first("html", s)["text"])) if s else F.lit(None).cast("string")
-    page = pages.filter(F.col("url") == site.start_url)
-    cover = F.lit(None).cast("string")
-    if site.illustration_selector:
-        node = _first("html", site.illustration_selector)
-        inner = _first("html", f"{site.illustration_selector} img") if "," not in site.illustration_selector else node
-        image = F.when(node["tag"].isin("img", "source", "meta", "link"), node).otherwise(inner)
-        cover = cover_url(F.coalesce(image["attrs"], F.create_map().cast("map<string,string>")), F.coalesce(F.try_element_at(node["attrs"], F.lit("style")), F.lit("")), F.col("url"))
-    return page.select(F.coalesce(text(site.novel_title_selector), F.lit(site.name)).alias("title"), text(site.author_selector).alias("author"), F.col("url").alias("source_url"), cover.alias("illustration_url"), F.lit(site.name).alias("site_name"))
+    cover_selector = site.illustration_selector
+    wanted = [site.novel_title_selector, site.author_selector, cover_selector, f"{cover_selector} img" if cover_selector and "," not in cover_selector else cover_selector]
+    page = pages.filter(F.col("url") == site.start_url).withColumn("found", css_select_all(F.col("html"), wanted))
+    first = lambda i: F.get(F.get("found", F.lit(i)), F.lit(0))
+    text = lambda i: optional(normalize_text(first(i)["text"]))
+    node = first(2)
+    image = F.when(node["tag"].isin("img", "source", "meta", "link"), node).otherwise(first(3))
+    style = F.coalesce(F.try_element_at(node["attrs"], F.lit("style")), F.lit(""))
+    cover = F.when(node.isNotNull(), cover_url(F.coalesce(image["attrs"], F.create_map().cast("map<string,string>")), style, F.col("url")))
+    return page.select(F.coalesce(text(0), F.lit(site.name)).alias("title"), text(1).alias("author"), F.col("url").alias("source_url"), cover.alias("illustration_url"), F.lit(site.name).alias("site_name"))
 
 
 @dataclass(frozen=True)
@@ -152,34 +179,162 @@ class Run:
     root: str
 
 
-def crawl(spark: SparkSession, site: Site, pages: DataFrame, share_root: str, *, most: int | None = None, overwrite: bool = False, fail_fast: bool = False) -> Run:
-    """Write a site's chapters, metadata and manifest. What exists is not written again unless overwritten; `most` counts new ones."""
-    slug = spark.range(1).select(slugify(F.lit(site.name)).alias("s")).first().s
-    root = f"{share_root}/{slug}"
-    found = discover(spark, site, pages).cache()
-    if not found.take(1):
-        raise ValueError("no chapter links")
-    there = [(int(p.stem.split("_")[1]), p.stat().st_size) for p in Path(root, "input").glob("chapter_*.txt") if p.stem.split("_")[1].isdigit()]
+@dataclass(frozen=True)
+class Event:
+    """One step of a run, as it is told to who asks for progress."""
+
+    current: int
+    total: int
+    status: str
+    title: str
+    source_url: str
+    path: str | None = None
+    error: str | None = None
+
+
+def crawl(
+    spark: SparkSession, site: Site, pages: DataFrame | None, share_root: str, *, fetch: Fetch | None = None, most: int | None = None, overwrite: bool = False, fail_fast: bool = False, progress: Callable[[Event], None] | None = None
+) -> Run:
+    """Write a site's chapters, config, metadata and manifest below share_root.
+
+    Chapter pages come from pages (url, html), or from fetch, a function from a DataFrame of `url` to one of (url, html),
+    which is asked for nothing that the run does not need; without pages it gets the pages of contents, too. A page without its
+    content is fetched again, `retry_attempts` times in all. What exists is not written again unless
+    overwritten. `most` counts new chapters: each wave takes as many as are still wanted, so skips
+    and failures take none of it. fail_fast goes chapter by chapter and ends at the first failure. The manifest says `running` while the
+    run goes on, then `completed`, `failed` or, after an interruption, `interrupted` with what had been written by then.
+    """
+    if pages is None:
+        if fetch is None:
+            raise ValueError("a crawl needs pages or a fetch function")
+        pages = fetch_toc(spark, site, fetch)
+    root = f"{share_root}/{spark.range(1).select(slugify(F.lit(site.name)).alias('s')).first().s}"
+    # a site's list of links and its one row of metadata, held as plain rows so that what follows has short plans
+    found = _plain(discover(spark, site, pages))
+    total = found.count()
+    if not total:
+        raise FetchError("No chapter links found. Check chapter_link_selector.")
+    there = [(int(n), p.stat().st_size) for p in Path(root, "input").glob("chapter_*.txt") if (n := p.stem.split("_")[1]).isdigit()]
     rows = runs.resume(found, spark.createDataFrame(there, "position long, n_bytes long"), "position", overwrite)
-    content = pages.select(F.col("url").alias("link_url"), chapters_of(F.col("html"), site.chapter_content_selector, site.chapter_title_selector, list(site.remove_selectors)).alias("c"))
-    rows = rows.join(content, "link_url", "left")
-    error = F.when(F.col("skipped"), None).when(F.col("c").isNull(), "page not found").when(F.col("c.body").isNull(), "content node not found").when(F.col("c.body") == "", "content is empty")
-    rows = rows.withColumn("error", error).withColumn("status", F.when(F.col("skipped"), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("fetched"))
-    rows = runs.quota(rows, ["site"], "position", F.col("status") == "fetched", most)
-    if fail_fast:
-        first = rows.filter("status = 'failed'").agg(F.min("position")).first()[0]
-        if first is not None:
-            raise RuntimeError(f"chapter {first} failed: " + rows.filter(F.col("position") == first).first().error)
-    rows = rows.withColumn("title", F.coalesce("c.title", "title")).withColumn("path", F.concat(F.lit("input/"), chapter_path(F.col("position")))).cache()
-    new = rows.filter("status = 'fetched'").select("path", chapter_file(F.col("title"), F.col("c.body")).alias("content"))
+    rows = rows.withColumn("path", F.concat(F.lit("input/"), chapter_path(F.col("position"))))
+    rows, about = _plain(rows), _plain(metadata(spark, site, pages))
+    _write_json(spark, root, "config.json", json.dumps(asdict(site), ensure_ascii=False, indent=2))
+    sinks.write_named_files(sinks.metadata_json(about).select(F.lit("metadata.json").alias("path"), "content"), root).count()
+    book = _Manifest(spark, site, root, found, about)
+    # skipped ones count up to where the run gets
+    todo = [r.position for r in rows.filter("NOT skipped").select("position").orderBy("position").toLocalIterator()]
+    done: list[DataFrame] = []
+    reached, fetched, at = 0, 0, 0
+    book.write("running", done)
+    try:
+        while at < len(todo) and (most is None or fetched < most):
+            want = 1 if fail_fast else len(todo) if most is None else most - fetched
+            wave = todo[at : at + want]
+            at += len(wave)
+            tried = _wave(spark, site, rows.filter(F.col("position").between(wave[0], wave[-1]) & ~F.col("skipped")), pages, fetch, root)
+            done.append(tried)
+            reached = wave[-1]
+            fetched += tried.filter("status = 'fetched'").count()
+            if fail_fast and (bad := tried.filter("status = 'failed'").first()):
+                done.append(_skips(rows, reached))
+                book.write("failed", done)
+                _tell(progress, done, total)
+                raise FetchError(f"chapter {bad.position} failed: {bad.error}")
+            if at < len(todo):
+                book.write("running", done)
+    except KeyboardInterrupt:
+        done.append(_skips(rows, reached))
+        attempted = rows.filter((F.col("position") <= (todo[at - 1] if at else 0)) & ~F.col("skipped"))
+        files = [(f"input/{p.name}",) for p in Path(root, "input").glob("chapter_*.txt") if p.stat().st_size]
+        recorded = _union(done, rows).select("position")
+        late = runs.reconcile(attempted, recorded, attempted.join(spark.createDataFrame(files, "path string"), "path", "left_semi").select("position"), "position")
+        done.append(late.select("site", "position", "title", F.col("link_url").alias("url"), "path", F.lit("fetched").alias("status"), F.lit(None).cast("string").alias("error")))
+        book.write("interrupted", done)
+        raise
+    last = total if at >= len(todo) and (most is None or fetched < most) else reached
+    done.append(_skips(rows, last if todo else total))
+    counters = book.write("completed", done)
+    _tell(progress, done, total)
+    return Run(_union(done, rows), counters, root)
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def _skips(rows: DataFrame, last: int) -> DataFrame:
+    return rows.filter(F.col("skipped") & (F.col("position") <= last)).select("site", "position", "title", F.col("link_url").alias("url"), "path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+def _union(done: list[DataFrame], rows: DataFrame) -> DataFrame:
+    out = _skips(rows, 0)
+    for x in done:
+        out = out.unionByName(x)
+    return out
+
+
+def _wave(spark: SparkSession, site: Site, rows: DataFrame, pages: DataFrame, fetch: Fetch | None, root: str) -> DataFrame:
+    """Get, extract and write some chapters: site, position, title, url, path, status, error."""
+    own = chapters_of(F.col("html"), site.chapter_content_selector, site.chapter_title_selector, list(site.remove_selectors))
+    asked = rows.select("site", "position", "title", F.col("link_url").alias("url"), "path")
+    out, rest = None, asked
+    for attempt in range(max(1, site.retry_attempts) if fetch else 1):
+        have = fetch(rest.select("url").distinct()) if fetch else pages
+        got = rest.join(have.select("url", "html"), "url", "left").withColumn("c", own)
+        error = F.when(F.col("html").isNull(), "page not found").when(F.col("c.body").isNull(), "content node not found").when(F.col("c.body") == "", "content is empty")
+        got = got.select("site", "position", F.coalesce(F.when(error.isNull(), F.col("c.title")), "title").alias("title"), "url", "path", error.alias("error"), F.col("c.body").alias("body")).persist(StorageLevel.DISK_ONLY)
+        good = got.filter("error IS NULL")
+        out = good if out is None else out.unionByName(good)
+        rest = asked.join(got.filter("error IS NOT NULL AND error <> 'page not found'").select("position"), "position", "left_semi")
+        gone = got.filter("error = 'page not found'")
+        out = out.unionByName(gone)
+        if not fetch or attempt + 1 == max(1, site.retry_attempts) or not rest.take(1):
+            out = out.unionByName(got.filter("error IS NOT NULL AND error <> 'page not found'"))
+            break
+        time.sleep(site.retry_backoff_seconds * (attempt + 1))
+    new = out.filter("error IS NULL").select("path", chapter_file(F.col("title"), F.col("body")).alias("content"))
     sinks.write_named_files(new, root).count()
-    sinks.write_named_files(sinks.metadata_json(metadata(spark, site, pages)).select(F.lit("metadata.json").alias("path"), "content"), root).count()
-    out = rows.select("site", "position", "title", F.col("link_url").alias("url"), "path", "status", "error")
-    counters = runs.manifest(out, found, ["site"]).drop("site").first().asDict()
-    listed = runs.manifest_document(out.withColumn("index", F.col("position")), ["site"])
-    document = listed.select(F.to_json(F.struct(F.lit("completed").alias("status"), *[F.lit(v).alias(k) for k, v in counters.items()], "chapters", "errors"), sinks.JSON).alias("content"), F.lit("manifest.json").alias("path"))
-    sinks.write_named_files(document, root).count()
-    return Run(out, counters, root)
+    status = F.when(F.col("error").isNull(), "fetched").otherwise("failed")
+    return _plain(out.select("site", "position", "title", "url", "path", status.alias("status"), "error"))
+
+
+def _tell(progress: Callable[[Event], None] | None, done: list[DataFrame], total: int) -> None:
+    """Every chapter in order: that it was started, if it was, and what came of it."""
+    if progress is None:
+        return
+    for r in _union(done[1:], done[0].withColumns({"skipped": F.lit(False), "link_url": F.col("url")})).unionByName(done[0]).orderBy("position").toLocalIterator():
+        if r.status != "skipped":
+            progress(Event(r.position, total, "started", r.title, r.url, r.path))
+        progress(Event(r.position, total, r.status, r.title, r.url, None if r.error else r.path, r.error))
+
+
+def _write_json(spark: SparkSession, root: str, name: str, content: str) -> None:
+    sinks.write_named_files(spark.createDataFrame([(name, content + "\n")], "path string, content string"), root).count()
+
+
+class _Manifest:
+    """manifest.json of a run, written whole each time."""
+
+    def __init__(self, spark: SparkSession, site: Site, root: str, found: DataFrame, about: DataFrame):
+        self._spark, self._site, self._root, self._found, self._about = spark, site, root, found, about
+        self._begun = datetime.now(UTC).isoformat()
+
+    def write(self, status: str, done: list[DataFrame]) -> dict[str, int]:
+        none = self._found.limit(0).select("site", "position", "title", F.col("link_url").alias("url"), F.lit("").alias("path"), F.lit("").alias("status"), F.lit("").alias("error"))
+        out = none
+        for x in done:
+            out = out.unionByName(x)
+        counters = runs.manifest(out, self._found, ["site"]).drop("site").first().asDict()
+        lists = runs.manifest_document(out.withColumn("index", F.col("position")), ["site"]).select(F.to_json(F.struct("chapters", "errors"), {"ignoreNullFields": "false"}).alias("j")).first()
+        found = self._found.select(F.struct(F.col("position").alias("index"), "title", F.col("link_url").alias("source_url")).alias("c")).agg(F.to_json(F.array_sort(F.collect_list("c"))).alias("j")).first()
+        about = json.loads(sinks.metadata_json(self._about).first().content)
+        listed = json.loads(lists.j) if lists else {"chapters": [], "errors": []}
+        whole = {
+            "generated_at": self._begun, "updated_at": datetime.now(UTC).isoformat(), "status": status, "config": asdict(self._site), "metadata": about,
+            "runtime_output_dir": self._root, "chapter_output_dir": f"{self._root}/input", **counters, "discovered_chapters": json.loads(found.j), **listed,
+        }
+        _write_json(self._spark, self._root, "manifest.json", json.dumps(whole, ensure_ascii=False, indent=2))
+        return counters
 
 
 def preview(spark: SparkSession, site: Site, pages: DataFrame, most: int = 10) -> DataFrame:
@@ -192,12 +347,10 @@ def validate(spark: SparkSession, site: Site, pages: DataFrame) -> DataFrame:
     chapter = discover(spark, site, pages).orderBy("position").limit(1).select(F.col("link_url").alias("url"))
 
     def report(page: DataFrame, keys: list[str]) -> DataFrame:
-        out = None
-        for k in keys:
-            s = getattr(site, k)
-            one = page.select(F.lit(k).alias("selector_key"), F.lit(s).cast("string").alias("selector"), F.size(css_select(F.col("html"), F.lit(s))).cast("long").alias("matches"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        selectors = [getattr(site, k) for k in keys]
+        found = page.select(F.posexplode(css_select_all(F.col("html"), selectors)).alias("i", "m"))
+        name = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("i"))
+        return found.select(name(keys).alias("selector_key"), name(selectors).alias("selector"), F.size("m").cast("long").alias("matches")).withColumn("matches", F.when(F.col("selector").isNotNull(), F.col("matches")))
 
     first = report(pages.filter(F.col("url") == site.start_url), ["novel_title_selector", "author_selector", "illustration_selector", "chapter_link_selector", "toc_next_selector"])
     both = first.unionByName(report(pages.join(chapter, "url", "left_semi"), ["chapter_title_selector", "chapter_content_selector"]))
@@ -205,17 +358,43 @@ def validate(spark: SparkSession, site: Site, pages: DataFrame) -> DataFrame:
     return both.join(issues, "selector_key", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
 
 
-def import_books(spark: SparkSession, path: str, share_root: str, *, name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chapters and illustrations of e-books as files below the share root; returns chapters, illustrations, warnings."""
-    chapters, images, warnings = epub.import_books(epub.read_archives(spark, path))
-    slug = F.lit(name) if name else slugify(F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1))
-    slug = slugify(slug) if name else slug
-    files = chapters.select(F.concat(slug, F.lit("/input/"), "file").alias("path"), F.col("text").alias("content"))
+@dataclass(frozen=True)
+class Import:
+    """What came of an import: chapters and illustrations in order, warnings, and a summary row per book."""
+
+    chapters: DataFrame
+    illustrations: DataFrame
+    warnings: DataFrame
+    summary: DataFrame
+
+
+def import_books(spark: SparkSession, path: str, share_root: str, *, name: str | None = None, keep_existing: bool = False) -> Import:
+    """Chapters, illustrations and metadata.json of e-books as files below the share root. Unless kept, chapters and
+    illustrations that an earlier import of the same name left are taken away first."""
+    archives = epub.read_archives(spark, path)
+    chapters, images, warnings = epub.import_books(archives)
+    stem = F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1)
+    slug = slugify(F.coalesce(F.lit(name), stem), "epub")
     if not chapters.take(1):
-        raise ValueError("no chapters")
+        raise BookError(f"no importable chapters found in {path}")
+    titles = epub.book_metadata(epub.package_files(epub.members(archives).filter("error IS NULL")))
+    text = lambda c: optional(normalize_whitespace(F.col(c)))
+    about = chapters.select("path").distinct().join(titles, "path", "left")
+    about = about.select(
+        "path", slug.alias("slug"), F.coalesce(text("title"), F.coalesce(F.lit(name), stem)).alias("title"), text("author").alias("author"), F.col("path").alias("source_url"), F.lit(None).cast("string").alias("illustration_url"), slug.alias("site_name")
+    ).cache()
+    if not keep_existing:
+        for r in about.select("slug").distinct().toLocalIterator():
+            for old in (*Path(share_root, r.slug, "input").glob("chapter_*.txt"), *Path(share_root, r.slug, "illustrations").glob("*-*.*")):
+                old.unlink()
+    sinks.write_named_files(sinks.metadata_json(about).select(F.concat("slug", F.lit("/metadata.json")).alias("path"), "content"), share_root).count()
+    of_book = about.select("path", "slug")
+    files = chapters.join(of_book, "path").select(F.concat("slug", F.lit("/input/"), "file").alias("path"), F.col("text").alias("content"))
     sinks.write_named_files(files, share_root).count()
-    sinks.write_named_files(images.select(F.concat(slug, F.lit("/illustrations/"), "file").alias("path"), F.col("data").alias("content")), share_root).count()
-    return chapters, images, warnings
+    sinks.write_named_files(images.join(of_book, "path").select(F.concat("slug", F.lit("/illustrations/"), "file").alias("path"), F.col("data").alias("content")), share_root).count()
+    n = lambda rows, c: rows.groupBy("path").agg(F.count("*").alias(c))
+    summary = about.select("path", "slug", "title", "author").join(n(chapters, "n_chapters"), "path", "left").join(n(images, "n_illustrations"), "path", "left").join(n(warnings, "n_warnings"), "path", "left")
+    return Import(chapters, images.orderBy("path", "index"), warnings, summary.na.fill(0, ["n_chapters", "n_illustrations", "n_warnings"]))
 
 
 TOC_PROMPT = "Give a JSON object with chapter_link_selector, novel_title_selector, author_selector, illustration_selector and toc_next_selector for this page of contents."
@@ -235,7 +414,7 @@ def generate(spark: SparkSession, toc_url: str, pages: DataFrame, generate_text:
 
         got = models.ask_twice(page, generate_text, issues).first()
         if got is None or got.json is None:
-            raise ValueError(f"no usable answer for {url}")
+            raise ModelError(f"no usable answer for {url}")
         return json.loads(got.json)
 
     first = ask(toc_url, TOC_PROMPT, ("chapter_link_selector", "novel_title_selector"))

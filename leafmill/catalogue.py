@@ -195,7 +195,7 @@ def origin_robots(s, d):
         "User-agent: leafmill\nAllow: /fr\nDisallow: /de\nDisallow: /fr\n\nUser-agent: *\nDisallow: /"
     )
     rules = robots.parse(every.select("origin", body.alias("body")).filter("origin NOT LIKE '%spam%'"))
-    return robots.allowed(pages, rules, "leafmill", key=["page_id", "url"]).select("page_id", "can_fetch")
+    return robots.allowed(pages, rules, "leafmill").select("page_id", "can_fetch")
 
 
 def known_domain_config(s, d):

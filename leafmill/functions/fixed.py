@@ -23,7 +23,11 @@ CHALLENGE_WRAPPERS = ("main-wrapper", "cf-wrapper", "challenge-form")
 #: What ends a line.
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]"
 #: Tags that break lines in book sections, that are skipped, and that give a title.
-BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+BLOCK_TAGS = {
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol",
+    "p", "pre", "section", "table", "td", "th", "tr", "ul",
+}
 SKIP_TAGS = frozenset({"head", "script", "style", "svg"})
 HEADINGS = ("h1", "h2", "h3", "title")
 #: What a page skeleton drops and keeps.

@@ -58,10 +58,11 @@ def anchors(pages: DataFrame, page: str = "html") -> DataFrame:
 class _Tree(HTMLParser):
     """Elements as [tag, attributes, parent, children], in document order; texts are strings."""
 
-    def __init__(self):
+    def __init__(self, strays: bool = False):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, None, []]
         self.at, self.every = self.root, []
+        self.strays = strays
 
     def handle_starttag(self, tag, attrs):
         node = [tag, {k: v or "" for k, v in attrs}, self.at, []]
@@ -81,13 +82,15 @@ class _Tree(HTMLParser):
             node = node[2]
         if node[2] is not None:
             self.at = node[2]
+        elif self.strays:  # nothing is open that it closes; its place is kept by an empty element
+            self.at[3].append([tag, {}, self.at, []])
 
     def handle_data(self, data):
         self.at[3].append(data)
 
 
-def parsed(page: str) -> _Tree:
-    tree = _Tree()
+def parsed(page: str, strays: bool = False) -> _Tree:
+    tree = _Tree(strays)
     tree.feed(page)
     tree.close()
     return tree
@@ -171,73 +174,62 @@ def css_select(page: pd.Series, selector: pd.Series) -> pd.Series:
     return pd.Series([one(p, s) for p, s in zip(page, selector)])
 
 
-class _Section(HTMLParser):
-    """Text of a book section with image marks in place, its first heading, and its images."""
+def css_select_all(page: Column, selectors: list[str | None]) -> Column:
+    """An array with the matches of each selector, null for a null one; a page is parsed once."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.images: list[str] = []
-        self.title = ""
-        self._skip, self._heading, self._words = 0, None, []
+    @F.pandas_udf(ArrayType(ArrayType(NODE)))
+    def run(pages: pd.Series) -> pd.Series:
+        def one(p):
+            if p is None:
+                return None
+            tree = parsed(p)
+            return [None if s is None else [{"pos": i, "tag": n[0], "attrs": n[1], "text": "".join(_texts(n))} for i, n in enumerate(select(tree, s))] for s in selectors]
 
-    def _line(self):
-        if self.out and not self.out[-1].endswith("\n"):
-            self.out.append("\n")
+        return pages.map(one)
 
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIP_TAGS:
-            self._skip += 1
-        if self._skip:
-            return
-        if tag in ("img", "image"):
-            own = {k.lower(): v for k, v in attrs if v}
-            source = next((own[k] for k in ("src", "href", "xlink:href") if k in own), None)
-            if source:
-                self.images.append(html.unescape(source))
-                self._line()
-                self.out.append(f"[[EPUB_IMAGE:{len(self.images)}]]")
-                self._line()
-        if tag in BLOCK_TAGS:
-            self._line()
-        if tag in HEADINGS and not self.title:
-            self._heading, self._words = tag, []
+    return run(page)
 
-    def handle_endtag(self, tag):
-        if tag in SKIP_TAGS:
-            self._skip = max(0, self._skip - 1)
-            return
-        if self._skip:
-            return
-        if tag == self._heading:
-            self.title = _one_space(" ".join(self._words))
-            self._heading = None
-        if tag in BLOCK_TAGS:
-            self._line()
 
-    def handle_data(self, data):
-        if self._skip:
-            return
-        text = re.sub(r"(?i)<\s*br\s*/?\s*>", "\n", html.unescape(data))
-        if text.strip():
-            self.out.append(text)
-            if self._heading:
-                self._words.append(text)
+def _one_space(x: str) -> str:
+    return re.sub(r"[ \t\r\f\x0b]+", " ", x).strip()
 
-    def text(self) -> str:
-        found = (_one_space(x) for x in "".join(self.out).splitlines())
-        return "\n\n".join(x for x in found if x)
 
+def _said(text: str) -> str:
+    """A text node of a book as it is read: entities that were escaped twice, and breaks written out as text."""
+    return re.sub(r"(?i)<\s*br\s*/?\s*>", "\n", html.unescape(text))
 
-def _one_space(x: str) -> str:
-    return re.sub(r"[ \t\r\f\x0b]+", " ", x).strip()
+
+def _image_source(node) -> str | None:
+    if node[0] not in ("img", "image"):
+        return None
+    return next((html.unescape(node[1][k]) for k in ("src", "href", "xlink:href") if node[1].get(k)), None)
 
 
 def parse_section(markup: str) -> tuple[str, str, list[str]]:
-    p = _Section()
-    p.feed(markup)
-    p.close()
-    return p.title, p.text(), p.images
+    """(title, text, image sources) of a book section: one walk over its tree. Blocks and images stand on lines of their own,
+    an image as a numbered mark; the title is the first heading that has a text."""
+    flow: list[str] = []
+    images: list[str] = []
+    titles: list[str] = []
+    todo: list = [parsed(markup, strays=True).root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # the far edge of a block
+            flow.append(node[0])
+        elif isinstance(node, str):
+            flow += [x for x in [_said(node)] if x.strip()]
+        elif node[0] not in SKIP_TAGS:
+            edge = "\n" if node[0] in BLOCK_TAGS else ""
+            flow.append(edge)
+            if source := _image_source(node):
+                images.append(source)
+                flow.append(f"\n[[EPUB_IMAGE:{len(images)}]]\n")
+            if node[0] in HEADINGS:
+                titles.append(_one_space(" ".join(x for x in map(_said, _texts(node)) if x.strip())))
+            todo.append((edge,))
+            todo.extend(reversed(node[3]))
+    lines_of = map(_one_space, "".join(flow).splitlines())
+    return next(filter(None, titles), ""), "\n\n".join(filter(None, lines_of)), images
 
 
 @F.pandas_udf(StructType().add("title", StringType()).add("text", StringType()).add("images", ArrayType(StringType())))

@@ -155,8 +155,15 @@ def _redacted(v):
 
 @F.pandas_udf(StringType())
 def redact(x: pd.Series) -> pd.Series:
-    """JSON text with secret members masked at every level of objects."""
-    return x.map(lambda v: None if v is None else json.dumps(_redacted(json.loads(v)), ensure_ascii=False))
+    """JSON text with secret members masked at every level of objects; text that is no JSON stays as it is."""
+
+    def one(v):
+        try:
+            return None if v is None else json.dumps(_redacted(json.loads(v)), ensure_ascii=False)
+        except ValueError:
+            return v
+
+    return x.map(one)
 
 
 _UNESCAPED = re.compile("&")

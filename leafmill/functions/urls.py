@@ -54,7 +54,20 @@ def urljoin(base: Column, ref: Column) -> Column:
 
 def unquoted(ref: Column) -> Column:
     """Without its fragment, percent-decoded; a plus stays one."""
-    return F.url_decode(F.replace(F.split_part(ref, F.lit("#"), F.lit(1)), F.lit("+"), F.lit("%2B")))
+    return percent_decoded(F.split_part(ref, F.lit("#"), F.lit(1)))
+
+
+def percent_decoded(x: Column) -> Column:
+    """A percent sign without two hexadecimal digits after it stays as it is, and so does a plus."""
+    return F.url_decode(F.replace(F.regexp_replace(x, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
+def percent_encoded(x: Column) -> Column:
+    """All but letters, digits, `_.-~` and slashes as percent codes."""
+    out = F.url_encode(x)
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
 def norm_path(path: Column) -> Column:

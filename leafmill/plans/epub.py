@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import BookError
 from ..functions.fixed import FRONT_MATTER_NAMES, METADATA_MARKERS
 from ..functions.html import section_of
 from ..functions.text import any_of, chapter_number, decode_bytes, illustration_name, is_notice, normalize_whitespace
@@ -17,22 +21,38 @@ from ..functions.urls import folder_of, norm_path, resource_path, unquoted
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files with the suffix .epub in any case: path, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path).select("path", "content")
+    """Archive files with the suffix .epub in any case: path, content. No such file is an error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]")
+    try:
+        out = found.load(path).select("path", "content")
+        some = out.select("path").take(1)
+    except AnalysisException as e:
+        raise BookError(f"EPUB file not found: {path}") from e
+    if not some:
+        raise BookError(f"{path} is not an .epub file, and holds none")
+    return out
 
 
 def members(archives: DataFrame) -> DataFrame:
-    """A row per archive member: path, member, data; a file that is no archive gives one row with an error."""
+    """A row per archive member: path, member, data; a file that is no archive gives one row with an error, and so
+    does each member that can't be read (encrypted, damaged, of an unknown method)."""
+    shape = ["path", "member", "data", "error"]
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            yield pd.DataFrame({"path": [path], "member": [name], "data": [z.read(name)], "error": [None]})
-                except (zipfile.BadZipFile, OSError) as e:
-                    yield pd.DataFrame({"path": [path], "member": [None], "data": [None], "error": [f"not an archive: {e}"]})
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, OSError, ValueError) as e:
+                    yield pd.DataFrame([(path, None, None, f"not an archive: {e}")], columns=shape)
+                    continue
+                with archive:
+                    for name in archive.namelist():
+                        try:
+                            row = (path, name, archive.read(name), None)
+                        except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError) as e:
+                            row = (path, name, None, f"member not readable: {name}: {e}")
+                        yield pd.DataFrame([row], columns=shape)
 
     return archives.mapInPandas(unzip, "path string, member string, data binary, error string")
 
@@ -121,8 +141,10 @@ def unique_numbers(chapters: DataFrame, book: list[str]) -> tuple[DataFrame, Dat
 
 
 def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chapters (path, number, title, text, file), illustrations (path, index, number, source_path, file, data), warnings."""
-    parts = members(archives)
+    """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings."""
+    # every book's parts are asked for several times and unpacked once; a lost executor's are unpacked again
+    every = members(archives).persist(StorageLevel.DISK_ONLY)
+    parts = every.filter("error IS NULL")
     books = package_files(parts)
     chosen = select_chapters(sections(spine_documents(books, parts), parts), ["path"])
     kept, twice = unique_numbers(chosen, ["path"])
@@ -145,6 +167,8 @@ def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ),
     )
     chapters = kept.join(files, ["path", "number"], "left").withColumn("text", F.concat(text, F.lit("\n")))
-    chapters = chapters.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"))
+    chapters = chapters.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"), "source_path").orderBy("path", "number")
     missing = found.filter("data IS NULL").select("path", F.concat(F.lit("missing image "), "source_path").alias("warning"))
-    return chapters, named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file", "data"), twice.unionByName(missing)
+    broken = every.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
+    none = parts.select("path").distinct().join(books.select("path"), "path", "left_anti").select("path", F.lit("no package document").alias("warning"))
+    return chapters, named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file", "data"), twice.unionByName(missing).unionByName(broken).unionByName(none)

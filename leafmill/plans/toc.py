@@ -24,14 +24,16 @@ def same_domain(url: Column, start_url: Column) -> Column:
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key; the order has to be total for one answer."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The first row of each key; the order has to be total for one answer. An aggregate, so a key that many rows
+    have is combined where they lie."""
+    row = F.min_by(F.struct("*"), F.struct(*order)).alias("row")
+    return rows.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]).agg(row).select("row.*")
 
 
 def likely_chapters(items: DataFrame, group: list[str], title: Column) -> DataFrame:
     """Without notices; where a group has titles with explicit numbers, those alone."""
     out = items.withColumn("chapter_no", chapter_number(title)).filter(~is_notice(title))
+    # the order below needs a group's rows together anyway; the same exchange serves both
     some = F.max(F.col("chapter_no").isNotNull()).over(Window.partitionBy(*group))
     return out.withColumn("__some", some).filter(~F.col("__some") | F.col("chapter_no").isNotNull()).drop("__some")
 

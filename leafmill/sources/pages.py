@@ -15,6 +15,7 @@ from ..functions.fixed import RETRIABLE_STATUS
 from ..functions.text import cache_key
 from ..functions.urls import authority
 from ..operators.pages import page_quality
+from ..operators.robots import allowed
 
 PAGES = "url string, final_url string, status int, content_type string, body string, attempts int, error string"
 
@@ -61,9 +62,15 @@ def fetch_one(url: str, fetch: Callable[[str], Response], rules: Politeness) ->
     return {"url": url, "final_url": None, "status": None, "content_type": None, "body": None, "attempts": attempt, "error": error}
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Politeness | None = None, origins_at_once: int = 8) -> DataFrame:
-    """Fetch a column `url`. Requests of one origin are in one task, in turn, so the gap holds for the whole run."""
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Politeness | None = None, origins_at_once: int = 8, robots: DataFrame | None = None, agent: str = "") -> DataFrame:
+    """Fetch a column `url`. Requests of one origin are in one task, in turn, so the gap holds for the whole run.
+    robots: rules as operators.robots.parse gives them; what they forbid the agent is a row with an error and no request."""
     polite = rules or Politeness()
+    if robots is not None:
+        judged = allowed(urls.select("url"), robots, agent)
+        blocked = F.concat(F.lit("Blocked by robots.txt: "), "url")
+        no = judged.filter("NOT can_fetch").select("url", *[F.lit(None).cast(t).alias(c) for c, t in (("final_url", "string"), ("status", "int"), ("content_type", "string"), ("body", "string"))], F.lit(0).alias("attempts"), blocked.alias("error"))
+        return fetch_pages(judged.filter("can_fetch").select("url"), fetch, polite, origins_at_once).unionByName(no)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
@@ -87,9 +94,8 @@ class _Slice(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self._fetch, self._rules = _FETCHERS[options["fetcher"]]
-        self._urls = [u for u in options.get("urls", "").split("\n") if u]
+    def __init__(self, urls: str, fetch: Callable[[str], Response], rules: Politeness):
+        self._urls, self._fetch, self._rules = [u for u in urls.split("\n") if u], fetch, rules
 
     def partitions(self):
         by: dict[str, list[str]] = {}
@@ -98,32 +104,36 @@ class _Reader(DataSourceReader):
         return [_Slice(x) for x in by.values()] or [_Slice([])]
 
     def read(self, partition):
+        last = None
         for u in partition.urls:
+            if last is not None and (wait := last + self._rules.delay_seconds - time.monotonic()) > 0:
+                self._rules.sleep(wait)
+            last = time.monotonic()
             r = fetch_one(u, self._fetch, self._rules)
             yield tuple(r[k] for k in ("url", "final_url", "status", "content_type", "body", "attempts", "error"))
 
 
-_FETCHERS: dict[str, tuple[Callable[[str], Response], Politeness]] = {}
+def page_source(name: str, fetch: Callable[[str], Response], rules: Politeness | None = None) -> type[DataSource]:
+    """A data source of that name. The class carries its fetch function, so it works in whatever process plans or reads."""
+    own_name, own_rules = name, rules or Politeness()
 
+    class PageSource(DataSource):
+        @classmethod
+        def name(cls):
+            return own_name
 
-class PageSource(DataSource):
-    """spark.read.format("leafmill_pages").option("fetcher", NAME).option("urls", lines).load(), a partition per origin."""
+        def schema(self):
+            return PAGES
 
-    @classmethod
-    def name(cls):
-        return "leafmill_pages"
+        def reader(self, schema):
+            return _Reader(self.options.get("urls", ""), fetch, own_rules)
 
-    def schema(self):
-        return PAGES
-
-    def reader(self, schema):
-        return _Reader(self.options)
+    return PageSource
 
 
 def register(spark: SparkSession, name: str, fetch: Callable[[str], Response], rules: Politeness | None = None) -> None:
-    """Make a fetch function known to the page source under a name."""
-    _FETCHERS[name] = fetch, rules or Politeness()
-    spark.dataSource.register(PageSource)
+    """spark.read.format(name).option("urls", lines).load() fetches with this function from now on, a partition per origin."""
+    spark.dataSource.register(page_source(name, fetch, rules))
 
 
 def through_cache(urls: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill import api
+from leafmill.errors import FetchError
 from leafmill.functions.html import chapter_of
 
 SITE = api.Site("My Café", "http://s.example/toc", "nav a", "article.content", novel_title_selector="h1", author_selector=".by", illustration_selector=".cover", toc_next_selector="a.next", chapter_title_selector="h1", remove_selectors=("p.ads",))
@@ -39,6 +40,99 @@ def test_crawl(spark, pages, tmp_path):
     assert [r.more for r in api.preview(spark, SITE, pages, 2).collect()] == [1, 1]
 
 
+def served(answers, asked):
+    """A fetch function over lists of answers; each URL's next answer, the last one for good."""
+
+    def fetch(urls):
+        rows = []
+        for r in urls.orderBy("url").collect():
+            asked.append(r.url)
+            mine = answers.get(r.url)
+            rows.append((r.url, mine.pop(0) if mine and len(mine) > 1 else mine[0] if mine else None))
+        return urls.sparkSession.createDataFrame(rows, "url string, html string")
+
+    return fetch
+
+
+def site_with(chapters, **more):
+    toc = "<h1>B</h1><nav>" + "".join(f"<a href=/{i}>Chapter {i}</a>" for i in range(1, chapters + 1)) + "</nav>"
+    return api.Site("b", "http://s.example/t", "nav a", "article", retry_backoff_seconds=0.0, **more), {"http://s.example/t": [toc]}
+
+
+GOOD = "<article>text</article>"
+
+
+def test_run_fetches_no_more_than_it_needs(spark, tmp_path):
+    site, answers = site_with(3)
+    answers |= {"http://s.example/1": ["<p>no"], "http://s.example/2": [GOOD], "http://s.example/3": [GOOD]}
+    asked, events = [], []
+    run = api.crawl(spark, site, None, str(tmp_path), fetch=served(answers, asked), most=1, progress=events.append)
+    # chapter 1 fails after three tries and takes no quota, chapter 2 fills it, chapter 3 is left alone
+    assert asked == ["http://s.example/t", *["http://s.example/1"] * 3, "http://s.example/2"]
+    assert run.counters == {"total_chapters": 3, "completed_chapters": 2, "fetched_chapters": 1, "skipped_chapters": 0, "failed_chapters": 1}
+    assert [(e.current, e.status) for e in events] == [(1, "started"), (1, "failed"), (2, "started"), (2, "fetched")]
+    manifest = json.loads((tmp_path / "b/manifest.json").read_text())
+    assert manifest["status"] == "completed" and manifest["config"]["start_url"] == site.start_url and manifest["metadata"]["title"] == "b"
+    assert [c["source_url"] for c in manifest["discovered_chapters"]] == [f"http://s.example/{i}" for i in (1, 2, 3)] and manifest["generated_at"] <= manifest["updated_at"]
+    assert json.loads((tmp_path / "b/config.json").read_text())["chapter_content_selector"] == "article"
+    # the next run skips what is there
+    asked.clear()
+    answers["http://s.example/1"] = ["<p>no", GOOD]  # a page that is whole the second time
+    again = api.crawl(spark, site, None, str(tmp_path), fetch=served(answers, asked))
+    assert sorted(asked[1:]) == ["http://s.example/1", "http://s.example/1", "http://s.example/3"]
+    assert (again.counters["fetched_chapters"], again.counters["skipped_chapters"], again.counters["failed_chapters"]) == (2, 1, 0)
+
+
+def test_fail_fast_keeps_what_came_before(spark, tmp_path):
+    site, answers = site_with(3, retry_attempts=1)
+    answers |= {"http://s.example/1": [GOOD], "http://s.example/2": ["<p>no"], "http://s.example/3": [GOOD]}
+    asked = []
+    with pytest.raises(FetchError):
+        api.crawl(spark, site, None, str(tmp_path), fetch=served(answers, asked), fail_fast=True)
+    assert asked[1:] == ["http://s.example/1", "http://s.example/2"]
+    manifest = json.loads((tmp_path / "b/manifest.json").read_text())
+    assert (manifest["status"], manifest["fetched_chapters"], manifest["failed_chapters"]) == ("failed", 1, 1)
+    assert (tmp_path / "b/input/chapter_1.txt").exists() and not (tmp_path / "b/input/chapter_3.txt").exists()
+
+
+def test_interruption_records_what_was_written(spark, tmp_path):
+    site, answers = site_with(3, retry_attempts=1)
+    fetch = served(answers, [])
+
+    def stopped(urls):
+        if urls.filter("url LIKE '%/t'").count():
+            return fetch(urls)
+        (tmp_path / "b/input").mkdir(parents=True)
+        (tmp_path / "b/input/chapter_2.txt").write_text("written before the interruption")
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        api.crawl(spark, site, None, str(tmp_path), fetch=stopped)
+    manifest = json.loads((tmp_path / "b/manifest.json").read_text())
+    assert (manifest["status"], manifest["fetched_chapters"]) == ("interrupted", 1) and [c["index"] for c in manifest["chapters"]] == [2]
+
+
+def test_import_of_books(spark, tmp_path):
+    from tests.test_plans import CONTAINER, OPF, book
+
+    parts = {"META-INF/container.xml": CONTAINER, "O/c.opf": OPF, "O/T/1.xhtml": "<h1>Chapter 4</h1><p>x</p><img src='../I/a.png'/>", "O/T/2.xhtml": "<h1>Chapter 7</h1><p>z</p>", "O/I/a.png": b"1", "O/nav.xhtml": "<p>contents</p>"}
+    (tmp_path / "One.epub").write_bytes(book(parts))
+    share = tmp_path / "share"
+    for old in ("one/input/chapter_9.txt", "one/input/notes.txt", "one/illustrations/009-001.png"):
+        (share / old).parent.mkdir(parents=True, exist_ok=True)
+        (share / old).write_text("old")
+    got = api.import_books(spark, str(tmp_path / "One.epub"), str(share))
+    assert [r.number for r in got.chapters.collect()] == [4, 7] and [r.file for r in got.illustrations.collect()] == ["004-001.png"]
+    assert sorted(p.name for p in (share / "one/input").iterdir()) == ["chapter_4.txt", "chapter_7.txt", "notes.txt"] and [p.name for p in (share / "one/illustrations").iterdir()] == ["004-001.png"]
+    meta = json.loads((share / "one/metadata.json").read_text())
+    assert (meta["title"], meta["author"], meta["site_name"]) == ("Book", "Me", "one")
+    summary = got.summary.first()
+    assert (summary.slug, summary.n_chapters, summary.n_illustrations, summary.n_warnings) == ("one", 2, 1, 1)
+    (share / "one/input/chapter_9.txt").write_text("old")
+    api.import_books(spark, str(tmp_path / "One.epub"), str(share), keep_existing=True)
+    assert (share / "one/input/chapter_9.txt").exists()
+
+
 def test_validate(spark, pages):
     got = {r.selector_key: (r.matches, r.ok) for r in api.validate(spark, SITE, pages).collect()}
     assert got["chapter_link_selector"] == (2, True) and got["chapter_content_selector"] == (1, True)

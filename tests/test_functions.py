@@ -1,7 +1,7 @@
 import html
 import posixpath
 import unicodedata
-from urllib.parse import urljoin
+from urllib.parse import quote, unquote, urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +112,34 @@ def test_skeleton():
 def test_nfkd_is_needed(spark):
     x = "ﬁÀ²"
     assert column(spark, [x], lambda c: t.ascii_of(c)) == [unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()]
+
+
+def test_broken_percent_codes_and_json(spark):
+    row = spark.createDataFrame([("a%zz+b%20c%", "no json", '{"token": 1, "a": [{"Secret": 2}]}')], "u string, j string, k string")
+    got = row.select(u.unquoted(F.col("u")), t.redact(F.col("j")), t.redact(F.col("k"))).first()
+    assert tuple(got) == ("a%zz+b c%", "no json", '{"token": "***REDACTED***", "a": [{"Secret": "***REDACTED***"}]}')
+    for x in ("", "/p q", "/a~b*c", "/é/ü?x=1&y", "%", "/%41"):
+        want = quote(unquote(x))
+        assert spark.range(1).select(u.percent_encoded(u.percent_decoded(F.lit(x)))).first()[0] == want
+
+
+SECTIONS = {
+    "a</div>b<p>c<p>d<div>e": ("", "a\n\nb\n\nc\n\nd\n\ne", []),
+    "<h2> </h2><h3>Real <i>one</i></h3>x<h1>late</h1>": ("Real one", "Real one\n\nx\n\nlate", []),
+    "<script>no</script><svg><image href='v.svg'/>t</svg><image xlink:href='a.png'></image>z": ("", "[[EPUB_IMAGE:1]]\n\nz", ["a.png"]),
+    "<img alt='x'><img src='a&amp;b.png'>one<br>two &lt;br/&gt; three": ("", "[[EPUB_IMAGE:1]]\n\none\n\ntwo\n\nthree", ["a&b.png"]),
+    "<title>T</title><p>x\ty  \u00a0 z": ("T", "T\n\nx y \u00a0 z", []),
+    "": ("", "", []),
+    "<p>" * 3000 + "deep": ("", "deep", []),
+}
+
+
+@pytest.mark.parametrize("markup", SECTIONS)
+def test_sections(markup):
+    assert h.parse_section(markup) == SECTIONS[markup]
+
+
+def test_all_selectors_in_one_parse(spark):
+    page = spark.createDataFrame([("<h1 class=t>A</h1><nav><a href=1>x</a><a href=2>y</a></nav>",), (None,)], "html string")
+    first, none = page.select(h.css_select_all(F.col("html"), ["nav > a", None, ".t", "p"]).alias("m")).collect()
+    assert none.m is None and [None if m is None else [(n.tag, n.text) for n in m] for n_ in (0,) for m in first.m] == [[("a", "x"), ("a", "y")], None, [("h1", "A")], []]

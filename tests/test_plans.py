@@ -1,8 +1,10 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from leafmill.errors import BookError
 from leafmill.operators import pages as pg
 from leafmill.operators import robots
 from leafmill.plans import crawl, epub, site_config, toc
@@ -80,6 +82,36 @@ def test_robots(spark):
     assert not any(r.can_fetch for r in robots.allowed(urls.limit(3), rules, "other").collect())
 
 
+ROBOTS = [
+    "User-agent: leafmill\nDisallow:\n\nUser-agent: *\nDisallow: /",
+    "User-agent: *\nDisallow: /a%20b\nDisallow: /c d # x\n\nAllow: /",
+    "User-agent: leafmill\nUser-agent: other\nCrawl-delay: 3\nUser-agent: third\nDisallow: /q\n\nUser-agent: *\nDisallow: /p",
+    "Disallow: /\nUser-agent: leafmill\n\nDisallow: /p\nUser-agent: *\nAllow: /p/ok\nDisallow: /p",
+    "user-AGENT: Leafmill/1.0\nDisallow: /p\n\nUser-agent: leaf\nDisallow: /q\nUser-agent: *\nDisallow: /",
+    "User-agent: *\nDisallow: *\n\nUser-agent: *\nAllow: /",
+    "User-agent: *\nDisallow: /p?x=1\nDisallow: /~u\nDisallow: /é",
+    "",
+]
+
+
+def test_robots_as_the_standard_parser(spark):
+    """Against urllib.robotparser, for several agents."""
+    from urllib import robotparser
+
+    paths = ["", "/", "/p", "/p/ok/1", "/p?x=1", "/q", "/a b", "/a%20b/c", "/c%20d", "/~u/x", "/%7Eu", "/é", "/%C3%A9", "/a%zz"]
+    files = spark.createDataFrame([(f"http://h{i}", b) for i, b in enumerate(ROBOTS)], "origin string, body string")
+    urls = spark.createDataFrame([(f"http://h{i}{p}",) for i in range(len(ROBOTS)) for p in paths], "url string")
+    rules = robots.parse(files)
+    for agent in ("leafmill", "Leafmill/2.0 (x)", "third", "nobody"):
+        got = {r.url: r.can_fetch for r in robots.allowed(urls, rules, agent).collect()}
+        assert len(got) == len(ROBOTS) * len(paths)
+        for i, body in enumerate(ROBOTS):
+            parser = robotparser.RobotFileParser()
+            parser.parse(body.splitlines())
+            for p in paths:
+                assert got[f"http://h{i}{p}"] == parser.can_fetch(agent, f"http://h{i}{p}"), (agent, body, p)
+
+
 def test_configs(spark):
     base = '"name":"n","start_url":"http://x/","chapter_link_selector":"a","chapter_content_selector":"p"'
     rows = ["{" + base + "}", "{" + base + ',"remove_selectors":".ad","same_domain":false}', "{" + base + ',"version":2}', "{" + base + ',"version":"x"}', '{"name":"n"}', "no"]
@@ -120,7 +152,31 @@ def test_books(spark, tmp_path):
     assert sorted(got) == [4, 7] and got[4].file == "chapter_4.txt"
     assert got[4].text == "Chapter 4\n\nx\n\n[[ILLUSTRATION:004-001.png]]\n\ny\n\n[[ILLUSTRATION:004-002.img]]\n"
     assert sorted((r["index"], r.number, r.file, bytes(r.data)) for r in images.collect()) == [(1, 4, "004-001.png", b"1"), (2, 4, "004-002.img", b"2")]
-    assert [r.warning for r in warnings.collect()] == ["duplicate chapter number 7: Chapter 7"]
+    assert sorted(r.warning for r in warnings.collect()) == ["duplicate chapter number 7: Chapter 7", "not an archive: File is not a zip file"]
+
+
+def encrypted(name, data):
+    """An archive with one member that says it is encrypted."""
+    raw = bytearray(book({"META-INF/container.xml": CONTAINER, "O/c.opf": OPF, name: data}))
+    at = raw.rindex(b"PK\x01\x02")
+    raw[at + 8] |= 1
+    local = int.from_bytes(raw[at + 42 : at + 46], "little")
+    raw[local + 6] |= 1
+    return bytes(raw)
+
+
+def test_broken_members_are_warnings(spark, tmp_path):
+    (tmp_path / "locked.epub").write_bytes(encrypted("O/T/1.xhtml", "<h1>Chapter 1</h1>x"))
+    (tmp_path / "empty.epub").write_bytes(book({"x": "y"}))
+    chapters, _, warnings = epub.import_books(epub.read_archives(spark, str(tmp_path)))
+    found = sorted(r.warning for r in warnings.collect())
+    assert chapters.count() == 0 and len(found) == 2 and found[0].startswith("member not readable: O/T/1.xhtml") and found[1] == "no package document"
+    for path in (tmp_path / "none", tmp_path / "text"):
+        if path.name == "text":
+            path.mkdir()
+            (path / "a.txt").write_text("x")
+        with pytest.raises(BookError):
+            epub.read_archives(spark, str(path))
 
 
 def test_sections(spark):

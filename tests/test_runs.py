@@ -1,8 +1,12 @@
+import gzip
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
-from leafmill.sources import models, pages, sinks
+from leafmill.operators import robots
+from leafmill.sources import http, models, pages, sinks
 from leafmill.streaming import landing
 
 
@@ -99,4 +103,75 @@ def test_quota_over_runs(spark, tmp_path):
     landing.run(spark, land, out, check, most=4).awaitTermination()
     df.filter("page_id >= 3").coalesce(1).write.mode("append").parquet(land)
     landing.run(spark, land, out, check, most=4).awaitTermination()
-    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    rows = spark.read.parquet(out)
+    assert sorted(r.page_id for r in rows.filter("status = 'fetched'").collect()) == [0, 1, 2, 3]
+    assert sorted(r.page_id for r in rows.filter("status = 'pending'").collect()) == [4, 5]  # they wait, and are not lost
+
+
+def test_failures_take_no_quota(spark, tmp_path):
+    good = "<h1>C</h1><article><p>t</p></article>"
+    pages = [(0, "http://a/0", "<p>nothing")] + [(i, f"http://a/{i}", good) for i in (1, 2, 3)]
+    land, out, check = (str(tmp_path / x) for x in ("land", "out", "check"))
+    spark.createDataFrame(pages, landing.PAGES).coalesce(1).write.parquet(land)
+    landing.run(spark, land, out, check, most=2).awaitTermination()
+    assert tuple(landing.snapshot(spark, out).first()) == (3, 2, 1)
+    landing.run(spark, land, out, check, most=10).awaitTermination()
+    assert tuple(landing.snapshot(spark, out).first()) == (4, 3, 1)
+    # a URL that failed is tried anew when it comes again
+    spark.createDataFrame([(9, "http://a/0", good)], landing.PAGES).coalesce(1).write.mode("append").parquet(land)
+    landing.run(spark, land, out, check, most=10).awaitTermination()
+    assert tuple(landing.snapshot(spark, out).first()) == (4, 4, 0)
+    assert {r.url for r in landing.latest(spark.read.parquet(out)).filter("status = 'fetched'").collect()} == {u for _, u, _ in pages}
+
+
+def test_page_source(spark):
+    pages.register(spark, "leafmill_test_pages", lambda url: pages.Response(url + "#", 200, "body of " + url), pages.Politeness(delay_seconds=0))
+    got = spark.read.format("leafmill_test_pages").option("urls", "http://a/1\nhttp://b/2\nhttp://a/3").load()
+    assert {r.url: r.body for r in got.collect()} == {f"http://{x}": f"body of http://{x}" for x in ("a/1", "b/2", "a/3")}
+    assert spark.read.format("leafmill_test_pages").load().count() == 0
+
+
+def test_robots_go_before_requests(spark):
+    urls = spark.createDataFrame([("http://a/p/1",), ("http://a/q",)], "url string")
+    rules = robots.parse(spark.createDataFrame([("http://a", "User-agent: *\nDisallow: /p")], "origin string, body string"))
+
+    def fetch(url):
+        assert "/p" not in url
+        return pages.Response(url, 200, "x")
+
+    got = {r.url: r for r in pages.fetch_pages(urls, fetch, pages.Politeness(1, 0, 0), robots=rules, agent="leafmill").collect()}
+    assert got["http://a/q"].body == "x" and got["http://a/p/1"].error == "Blocked by robots.txt: http://a/p/1" and got["http://a/p/1"].attempts == 0
+
+
+class _Site(BaseHTTPRequestHandler):
+    seen: list = []
+
+    def do_GET(self):
+        self.seen.append((self.path, dict(self.headers)))
+        body = {"/robots.txt": b"User-agent: *\nDisallow: /no"}.get(self.path, "<p>\xe9".encode("latin-1"))
+        self.send_response(503 if self.path == "/busy" else 200)
+        self.send_header("Content-Type", "text/html; charset=latin-1")
+        self.send_header("Set-Cookie", "k=v")
+        self.send_header("Content-Encoding", "gzip")
+        self.end_headers()
+        self.wfile.write(gzip.compress(body))
+
+    def log_message(self, *args):
+        pass
+
+
+def test_http_fetcher(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root, fetch = f"http://127.0.0.1:{server.server_port}", http.HttpFetcher("leafmill/1")
+        first, second, busy = fetch(f"{root}/1"), fetch(f"{root}/2"), fetch(f"{root}/busy")
+        assert (first.status, first.body, busy.status) == (200, "<p>é", 503)
+        (_, a), (_, b), _ = _Site.seen
+        assert a["User-Agent"] == "leafmill/1" and "Referer" not in a and b["Referer"] == f"{root}/1" and b["Cookie"] == "k=v" and b["Host"] == f"127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(f"{root}/{x}",) for x in ("a", "no/b")], "url string")
+        rules = robots.parse(http.robots_files(urls, fetch))
+        got = {r.url: r for r in pages.fetch_pages(urls, fetch, pages.Politeness(1, 0, 0), robots=rules, agent="leafmill/1").collect()}
+        assert got[f"{root}/a"].body == "<p>é" and got[f"{root}/no/b"].attempts == 0
+    finally:
+        server.shutdown()
