@@ -20,7 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Groups are linked by 5-word shingles of
+    similarity 0.8 or more; candidates are SimHash's segment variants and, beyond their reach, banded minima."""
     return near_copies.keep_first(docs)
 
 
@@ -31,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_rules", quality_stage), ("toxicity", toxicity_stage), ("simhash_dedup", dedup_stage), ("packing", packing_stage)]
 
-#: Toxicity, SimHash and the tokenizer have no SQL; the stages are tested against brute force.
+#: Toxicity, SimHash and the tokenizer have no SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
