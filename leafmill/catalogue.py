@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import urls as u
-from .functions.html import first_tag
+from .functions.html import chapters_of, css_select, css_select_all, first_tag, section_of
 from .operators import pages as pg
 from .operators import robots
 from .oracles import ORACLES
 from .plans import crawl, epub, logs, site_config, toc
+from .sources import models
+from .sources import pages as sources
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -162,12 +168,9 @@ def section_duplicates(s, d):
 
 def illustration_names(s, d):
     images = _links(s, d).withColumn("suffix", F.when(F.col("pos") % 3 == 0, ".PNG").when(F.col("pos") % 3 == 1, ".bmp").otherwise(".jpeg"))
-    host = u.authority(F.col("url"))
-    images = images.select("page_id", host.alias("host"), "pos", F.concat(F.lit("img/"), F.col("pos").cast("string"), F.col("suffix")).alias("source"))
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    overall = F.row_number().over(Window.partitionBy("host").orderBy("page_id", "pos")).cast("long")
-    out = images.withColumns({"n": n, "image_index": overall})
-    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "image_index", t.illustration_name(F.col("page_id").cast("int"), F.col("n"), F.col("source")).alias("file"))
+    images = images.select("page_id", u.authority(F.col("url")).alias("host"), "pos", F.concat(F.lit("img/"), F.col("pos").cast("string"), F.col("suffix")).alias("source"))
+    out = epub.numbered_images(images, ["host"], "page_id", "pos", "source")
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("image_index").cast("long").alias("image_index"), "file")
 
 
 def marker_substitution(s, d):
@@ -204,20 +207,31 @@ def known_domain_config(s, d):
     return site_config.known_config(pages.select("page_id", "url"), configs).select("page_id", "config_file")
 
 
+SELECTORS = {"chapter_link_selector": "a", "novel_title_selector": "h1", "chapter_content_selector": "article", "illustration_selector": ".cover"}
+
+
 def selector_report(s, d):
-    pages = _t(s, d, "pages")
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    report = pages.select("page_id", F.lit("chapter_link_selector").alias("k1"), count(r"(?i)<a\s").alias("n1"), count(r"(?i)<h1[\s>]").alias("n2"), count(r"(?i)<article[\s>]").alias("n3"), count(r"class=\"cover\"").alias("n4"))
-    out = report.select("page_id", F.expr("stack(4, 'chapter_link_selector', 'a', n1, 'novel_title_selector', 'h1', n2, 'chapter_content_selector', 'article', n3, 'illustration_selector', '.cover', n4) AS (selector_key, selector, matches)"))
-    issues = pg.selector_issues(out).select("page_id", "selector_key", "issue")
-    return out.join(issues, ["page_id", "selector_key"], "left").select("page_id", "selector_key", "matches", F.col("issue").isNull().alias("ok"))
+    found = _t(s, d, "pages").select("page_id", F.posexplode(css_select_all(F.col("html"), list(SELECTORS.values()))).alias("i", "m"))
+    name = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
+    report = found.select("page_id", name(SELECTORS).alias("selector_key"), name(SELECTORS.values()).alias("selector"), F.size("m").cast("long").alias("matches"))
+    issues = pg.selector_issues(report).select("page_id", "selector_key", "issue")
+    return report.join(issues, ["page_id", "selector_key"], "left").select("page_id", "selector_key", "matches", F.col("issue").isNull().alias("ok"))
+
+
+def _cache(s, d):
+    """A cache that has every third page."""
+    return _t(s, d, "pages").filter("page_id % 3 = 0").select(t.cache_key(F.col("url")).alias("key"), F.col("html").alias("body"))
 
 
 def cache_lookup(s, d):
-    pages = _t(s, d, "pages")
-    cache = pages.filter("page_id % 3 = 0").select(t.cache_key(F.col("url")).alias("key"), F.lit(True).alias("hit")).distinct()
-    out = pages.withColumn("key", t.cache_key(F.col("url"))).join(cache, "key", "left")
-    return out.select("page_id", "key", F.coalesce("hit", F.lit(False)).alias("from_cache"))
+    asked = _t(s, d, "pages").select("page_id", "url")
+    return sources.looked_up(asked, _cache(s, d)).select("page_id", "key", F.col("body").isNotNull().alias("from_cache"))
+
+
+def page_through_cache(s, d):
+    asked = _t(s, d, "pages").select("page_id", "url")
+    out, _ = sources.through_cache(asked, _cache(s, d), lambda miss: miss.withColumn("body", F.concat(F.lit("fetched "), "url")), good=F.lit(True))
+    return asked.join(out.distinct(), "url").select("page_id", "body")
 
 
 def config_defaults(s, d):
@@ -277,10 +291,141 @@ def truncate_text(s, d):
 
 
 def redact_secrets(s, d):
+    n = F.col("event_id").cast("string")
+    raw = F.concat(F.lit('{"Token": "a'), n, F.lit('", "props": '), "props", F.lit(', "list": [{"api_KEY": 1, "n": '), n, F.lit("}]}"))
+    return _t(s, d, "events").select("event_id", t.redact(raw).alias("json"))
+
+
+def redact_flat_secrets(s, d):
     raw = F.concat(F.lit('{"Token": "a'), F.col("event_id").cast("string"), F.lit('", "n": 1, "secret": '), F.col("event_id").cast("string"), F.lit("}"))
     return _t(s, d, "events").select("event_id", t.redact_flat(raw).alias("json"))
 
 
+def section_text(s, d):
+    """Whole pages as book sections."""
+    return _t(s, d, "pages").withColumn("s", section_of(F.col("html"))).select("page_id", "s.title", "s.text")
+
+
+def css_links(s, d):
+    found = _t(s, d, "pages").select("page_id", F.explode(css_select(F.col("html"), F.lit("nav > ul a[href]"))).alias("n"))
+    return found.select("page_id", F.col("n.pos").cast("long").alias("pos"), F.try_element_at("n.attrs", F.lit("href")).alias("href"), "n.text")
+
+
+def chapter_by_selectors(s, d):
+    return _t(s, d, "pages").withColumn("c", chapters_of(F.col("html"), "article", "article > h1", ["div.ad", "footer", "script", "style"])).select("page_id", "c.title", "c.body")
+
+
+def slug_any(s, d):
+    return _t(s, d, "part").select("p_partkey", t.slugify(F.concat(F.lit("Crème Brûlée "), "p_name")).alias("slug"))
+
+
+def fetched_pages(s, d):
+    """Fetching with retries over an injected function: spam hosts are never there, blogs the second time."""
+    tried: dict[str, int] = {}
+
+    def fetch(url):
+        tried[url] = tried.get(url, 0) + 1
+        if "spam" in url:
+            raise OSError("no route")
+        if "blog" in url and tried[url] % 2:
+            return sources.Response(url, 503, "busy")
+        return sources.Response(url + "/", 200, "body of " + url, "text/html")
+
+    asked = _t(s, d, "pages").select("page_id", "url")
+    got = sources.fetch_pages(asked.select("url").distinct(), fetch, sources.Politeness(3, 0, 0))
+    return asked.join(got, "url").select("page_id", "final_url", F.col("attempts").cast("long").alias("attempts"), "error", "body")
+
+
+def model_answers(s, d):
+    """Known answers first, a model for the rest, and again where there are issues."""
+    n = F.col("p_partkey")
+    rows = _t(s, d, "part").select(n.cast("string").alias("key"), F.lit("s").alias("system"), F.col("p_name").alias("user"), n)
+    known = rows.filter(n % 3 == 0).select("key", F.lit("known").alias("answer"))
+    upper = lambda system, user: user.upper()
+    short = rows.filter(n % 3 == 2).select("key", "user")
+
+    def judge(got):
+        return got.join(short, "key", "left").withColumn("issues", F.when(F.col("answer") == F.upper("user"), F.array(F.lit("too short"))).otherwise(F.array().cast("array<string>"))).drop("user")
+
+    first = models.known_first(rows.filter(n % 3 < 2), known, upper)
+    again = models.ask_twice(rows.filter(n % 3 == 2), upper, judge)
+    return first.select("key", "answer").unionByName(again.select("key", "answer"))
+
+
+def call_join(s, d):
+    turns = _t(s, d, "conversations").withColumn("n", F.char_length("text").cast("long"))
+    call = lambda shift: F.struct("conv_id", (F.col("turn") + shift).alias("turn")).alias("call_id")
+    requests = turns.filter("role = 'user'").select(call(0), "conv_id", "turn", F.col("n").alias("request_chars"))
+    responses = turns.filter("role = 'assistant'").select(call(-1), F.col("n").alias("chars"))
+    return logs.join_calls(requests, responses).select("conv_id", "turn", "request_chars", F.coalesce("response_chars", F.lit(-1)).alias("response_chars"))
+
+
+def resource_paths(s, d):
+    refs = ("../I/a%20b.png", "./x+y.png#f", "http://x/y.png", "", "/abs/p.png", "a%zz.png", "../../../up.png")
+    out = _t(s, d, "part").select("p_partkey", F.explode(F.array(*map(F.lit, refs))).alias("ref"))
+    return out.select("p_partkey", "ref", u.resource_path(F.concat(F.lit("O/T"), F.col("p_partkey").cast("string"), F.lit("/s.xhtml")), F.col("ref")).alias("path"))
+
+
+def model_retries(s, d):
+    message = F.concat(F.lit("HTTP "), (F.col("event_id") % 600).cast("string"), F.lit(" "), "event_type")
+    return _t(s, d, "events").select("event_id", pg.retriable_model_error(message).alias("retriable"))
+
+
+def response_rows(s, d):
+    n = F.col("event_id")
+    row = logs.response_row(n.cast("string"), F.lit("generate"), F.lit("p"), F.lit("https://m.example/v1"), (200 + n % 300), (n % 1000).cast("double") + 0.01, F.col("event_type"))
+    return _t(s, d, "events").select("event_id", row.alias("line"))
+
+
+def merged_configs(s, d):
+    n, none = F.col("p_partkey"), F.lit(None).cast("string")
+    toc_part = _t(s, d, "part").select(n.alias("site"), F.when(n % 2 == 0, "nav a").alias("chapter_link_selector"), F.when(n % 5 == 0, "a.next").otherwise(none).alias("toc_next_selector"))
+    chapter = _t(s, d, "part").filter(n % 3 == 0).select(n.alias("site"), F.lit("article").alias("chapter_content_selector"), F.array(F.col("p_brand"), F.lit("script")).alias("remove_selectors"))
+    out = site_config.merged(toc_part, chapter)
+    return out.select(F.col("site").alias("p_partkey"), "chapter_link_selector", "chapter_content_selector", F.array_join("remove_selectors", "|").alias("removed"), "max_toc_pages")
+
+
+def _archives(s, d):
+    """E-books of four documents each: one section and one image a document, a spine with an entry too many and one twice."""
+
+    def pack(rows):
+        n = int(rows["book"].iloc[0])
+        rows = rows.sort_values("doc_id")
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:c"><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+            names = [int(x) % 4 for x in rows["doc_id"]]
+            items = "".join(f'<item id="s{i}" href="T%20x/{i}.xhtml"/>' for i in names)
+            refs = "".join(f'<itemref idref="s{i}"/>' for i in [*names, names[0], "no"])
+            z.writestr("O/c.opf", f'<package xmlns="urn:o" xmlns:dc="urn:d"><metadata><dc:title> Book {n} </dc:title><dc:creator>src{n}</dc:creator></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+            for i, text in zip(names, rows["text"]):
+                z.writestr(f"O/T x/{i}.xhtml", f"<html><head><title>t</title></head><body><h1>Chapter {i + 1}</h1><img src='../i/{i}.PNG'/><p>{html.escape(text or '')}</p></body></html>")
+                z.writestr(f"O/i/{i}.PNG", b"image")
+        return pd.DataFrame({"path": [f"b{n}.epub"], "content": [out.getvalue()]})
+
+    books = _t(s, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("book"), "doc_id", "text")
+    return books.groupBy("book").applyInPandas(pack, "path string, content binary")
+
+
+def _book():
+    return F.regexp_extract("path", r"(-?\d+)", 1).cast("long").alias("book")
+
+
+def book_chapters(s, d):
+    return epub.import_books(_archives(s, d))[0].select(_book(), "number", "title", "text")
+
+
+def book_illustrations(s, d):
+    return epub.import_books(_archives(s, d))[1].select(_book(), F.col("index").cast("long").alias("image_index"), "number", "file")
+
+
+def book_titles(s, d):
+    parts = epub.members(_archives(s, d))
+    packages = epub.package_files(parts)
+    sections = epub.spine_documents(packages, parts).select("path", "source_path").distinct().groupBy("path").agg(F.count("*").alias("n_sections"))
+    return epub.book_metadata(packages).join(sections, "path").select(_book(), "title", "author", "n_sections")
+
+
 def preview_topk(s, d):
     out = crawl.preview(_titled(s, d), ["host"], "page_id", 3)
     return out.select("host", "n", "page_id", "more")
@@ -322,7 +467,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         toc_walk, resume_split, quota_prefix, manifest_rollup, manifest_document, reconcile_interrupted, spine_join, section_select, section_duplicates, illustration_names,
         marker_substitution, page_quality, http_usable, origin_robots, known_domain_config, selector_report, cache_lookup, config_defaults, selector_dedup, llm_json_recover,
         log_correlate, log_summary, referer_gap, progress_labels, css_url_srcset, slug_ascii, truncate_text, redact_secrets, preview_topk, url_resolution, normalized_text,
-        config_names, first_attempt, page_charset,
+        config_names, first_attempt, page_charset, redact_flat_secrets, section_text, css_links, chapter_by_selectors, page_through_cache, slug_any, fetched_pages, model_answers, call_join,
+        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles,
     )
 }
 QUERIES["order_chapters_asc"] = lambda s, d: _ordered(s, d, False, True)

@@ -37,6 +37,11 @@ _PQ = "__p as (select page_id, html, lower(" + _ENT.format("regexp_extract(html,
 _ORDER = "select host, row_number() over (partition by host order by case when ev then chapter_no * {0} else page_id * {0} end, page_id)::bigint as position, page_id, coalesce(chapter_no, -1) as chapter_no from (select *, bool_and(chapter_no is not null) over (partition by host) as ev from {1})"
 _BASE = "regexp_extract(url, '^[^?#]*', 0)"
 
+_BLOCKS = "|".join(sorted(fixed.BLOCK_TAGS))
+_SECTION = rf"""with __h as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>', '', 'g'), '(?is)<(script|style|svg)[^>]*>.*?</(script|style|svg)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as h from pages),
+    __x as (select page_id, regexp_replace(regexp_replace(h, '(?is)</?({_BLOCKS})(\s[^>]*)?/?>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') as x, regexp_extract(h, '(?is)<h1>(.*?)</h1>', 1) as t from __h)
+    select page_id, trim({_ENT.format("t")}) as title, array_to_string(list_filter(list_transform(string_split({_ENT.format("x")}, chr(10)), lambda v: trim(regexp_replace(v, '[ \t]+', ' ', 'g'))), lambda v: v <> ''), chr(10) || chr(10)) as text from __x""".replace("\\\\", "\\")
+
 ORACLES: dict[str, str] = {
     "links_all": f"with {_LINKS} select page_id, pos::bigint as pos, href, title from __links",
     "links_resolved_same_domain": f"with {_LINKS} select page_id, pos::bigint as pos, link_url from __links where regexp_extract(link_url, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)",
@@ -51,8 +56,8 @@ ORACLES: dict[str, str] = {
     "order_chapters_desc": f"with {_TITLED}, {_LIKELY} " + _ORDER.format(-1, "__k"),
     "order_chapters_fallback": f"with {_TITLED} " + _ORDER.format(-1, "__n"),
     "toc_walk": """with recursive __n as (select count(*) as n from pages), __e as (select page_id as page, (page_id * 7 + 3) % n as next_page from pages, __n),
-        __w as (select page_id as start, page_id as page, 1 as page_no, [page_id] as seen from pages where page_id % 10 = 0
-            union all select w.start, e.next_page, w.page_no + 1, list_append(w.seen, e.next_page) from __w w join __e e on w.page = e.page where w.page_no < 12 and not list_contains(w.seen, e.next_page))
+        __w as (select page_id as start, page_id as page, 1 as page_no, [page_id] as seen from pages
+            union all select w.start, e.next_page, w.page_no + 1, list_append(w.seen, e.next_page) from __w w join __e e on w.page = e.page where w.page_no < 50 and not list_contains(w.seen, e.next_page))
         select start, page, page_no::bigint as page_no from __w""",
     "resume_split": f"with {_DISC} select doc_id, skipped from __r",
     "quota_prefix": f"with {_OUT} select site, doc_id, status from __o",
@@ -68,9 +73,9 @@ ORACLES: dict[str, str] = {
         select source, count(*) filter (n = 1)::bigint as n_kept, sum(doc_id) filter (n = 1)::bigint as sum_ids, count(*) filter (n > 1)::bigint as n_warnings from __f group by source""",
     "illustration_names": f"""with {_LINKS}, __i as (select page_id, pos, row_number() over (partition by page_id order by pos) as n, row_number() over (partition by regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) order by page_id, pos) as image_index from __links)
         select page_id, pos::bigint as pos, image_index::bigint as image_index, printf('%03d-%03d', page_id, n) || case pos % 3 when 0 then '.png' when 1 then '.img' else '.jpeg' end as file from __i""",
-    "marker_substitution": """select doc_id, trim(regexp_replace((case when doc_id % 2 = 0 then '[[EPUB_IMAGE:1]]' else '' end) || chr(10) || chr(10) || text[1:40] || chr(10) || chr(10)
+    "marker_substitution": """select doc_id, trim(regexp_replace((case when doc_id % 2 = 0 then '[[EPUB_IMAGE:1]]' else '' end) || chr(10) || chr(10) || text || chr(10) || chr(10)
         || (case when doc_id % 3 = 0 then '[[EPUB_IMAGE:' || ((doc_id % 2 = 0)::int + 1) || ']]' else '' end) || chr(10) || chr(10) || 'end' || chr(10) || chr(10)
-        || (case when doc_id % 5 = 0 then '[[EPUB_IMAGE:' || ((doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int + 1) || ']]' else '' end), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as text from documents where not contains(text, chr(10) || chr(10) || chr(10))""",
+        || (case when doc_id % 5 = 0 then '[[EPUB_IMAGE:' || ((doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int + 1) || ']]' else '' end), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as text from documents""",
     "page_quality": f"""with {_PQ} select page_id, length(trim(html)) < 200 or {_any("title", fixed.BAD_PAGE_SIGNALS)} or {_any("body[1:300]", fixed.BAD_PAGE_SIGNALS)} as bad_suspect,
         {_any("title", fixed.ERROR_TITLE_SIGNALS)} or {_any("body[1:500]", fixed.ERROR_BODY_SIGNALS)} as error_suspect,
         {_any("title", fixed.CHALLENGE_TITLE_SIGNALS)} or {_any("body[1:500]", fixed.CHALLENGE_BODY_SIGNALS)} or (length(html) < 1500 and {_any("html", fixed.CHALLENGE_WRAPPERS)}) as challenge_suspect from __p""",
@@ -97,15 +102,39 @@ ORACLES: dict[str, str] = {
     "css_url_srcset": "select p_partkey, case p_partkey % 3 when 0 then 'https://h.example:8080/i/' || p_partkey || '.png' when 1 then 'https://h.example:8080/n/a' || p_partkey || '.jpg' else 'https://h.example:8080/bg/' || p_size || '.webp' end as cover from part",
     "slug_ascii": "select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ') -- /'), '[^a-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') as slug from part",
     "truncate_text": "select doc_id, case when length(text) > 200 then text[1:200] || '... (' || length(text) || ' chars total)' else text end as text from documents",
-    "redact_secrets": """select event_id, '{"Token": "***REDACTED***", "n": 1, "secret": "***REDACTED***"}' as json from events""",
+    "redact_secrets": """select event_id, '{"Token": "***REDACTED***", "props": ' || props || ', "list": [{"api_KEY": "***REDACTED***", "n": ' || event_id || '}]}' as json from events""",
+    "redact_flat_secrets": """select event_id, '{"Token": "***REDACTED***", "n": 1, "secret": "***REDACTED***"}' as json from events""",
+    "section_text": _SECTION,
+    "css_links": r"""with __n as (select page_id, unnest(regexp_extract_all(html, '(?is)<nav>.*?</nav>')) as nav from pages), __a as (select page_id, regexp_extract_all(nav, '(?is)<a [^>]*>.*?</a>') as a from __n),
+        __l as (select page_id, unnest(a) as a, generate_subscripts(a, 1) - 1 as pos from __a)
+        select page_id, pos::bigint as pos, regexp_extract(a, 'href="([^"]*)"', 1) as href, regexp_extract(a, '>(.*)</a>', 1) as text from __l""",
+    "chapter_by_selectors": f"with {_BODY} select page_id, {_H1} as title, body from __b",
+    "page_through_cache": "select page_id, case when page_id % 3 = 0 then html else 'fetched ' || url end as body from pages where page_id % 3 <> 0 or length(html) > 0",
+    "slug_any": "select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents('Crème Brûlée ' || p_name)), '[^a-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') as slug from part",
+    "fetched_pages": """select page_id, case when contains(url, 'spam') then null else url || '/' end as final_url, case when contains(url, 'spam') then 3 when contains(url, 'blog') then 2 else 1 end::bigint as attempts,
+        case when contains(url, 'spam') then 'no route' end as error, case when not contains(url, 'spam') then 'body of ' || url end as body from pages""",
+    "model_answers": "select p_partkey::varchar as key, case when p_partkey % 3 = 0 then 'known' when p_partkey % 3 = 1 then upper(p_name) else upper(p_name || chr(10) || 'Fix: too short') end as answer from part",
+    "call_join": """with __q as (select conv_id, turn, text from conversations where role = 'user'), __a as (select conv_id, turn, text from conversations where role = 'assistant')
+        select __q.conv_id, __q.turn, length(__q.text)::bigint as request_chars, coalesce(length(__a.text), -1)::bigint as response_chars from __q left join __a on __a.conv_id = __q.conv_id and __a.turn = __q.turn + 1""",
+    "resource_paths": """with __r as (select p_partkey, unnest(['../I/a%20b.png', './x+y.png#f', 'http://x/y.png', '', '/abs/p.png', 'a%zz.png', '../../../up.png']) as ref from part)
+        select p_partkey, ref, case ref when '../I/a%20b.png' then 'O/I/a b.png' when './x+y.png#f' then 'O/T' || p_partkey || '/x+y.png' when '/abs/p.png' then 'abs/p.png' when 'a%zz.png' then 'O/T' || p_partkey || '/a%zz.png' when '../../../up.png' then '../up.png' end as path from __r""",
+    "model_retries": "select event_id, regexp_matches('HTTP ' || (event_id % 600) || ' ' || event_type, '(?i)429|503|500|rate|internal') as retriable from events",
+    "response_rows": """select event_id, '{"type":"response","call_type":"generate","provider":"p","call_id":"' || event_id || '","url":"https://m.example/v1","status_code":' || (200 + event_id % 300) || ',"duration_ms":' || (event_id % 1000)::double || ',"response":"' || event_type || '"}' as line from events""",
+    "merged_configs": """select p_partkey, case when p_partkey % 2 = 0 then 'nav a' else 'a' end as chapter_link_selector, case when p_partkey % 3 = 0 then 'article' else 'body' end as chapter_content_selector,
+        case when p_partkey % 3 = 0 then p_brand || '|style|script' else 'script|style' end as removed, (case when p_partkey % 5 = 0 then 50 else 1 end)::int as max_toc_pages from part""",
     "preview_topk": f"with {_TITLED} select host, n::bigint as n, page_id, greatest(c - 3, 0)::bigint as more from (select *, row_number() over (partition by host order by page_id) as n, count(*) over (partition by host) as c from __t) where n <= 3",
     "url_resolution": f"""with __r as (select page_id, url, {_BASE} as b, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) as o, regexp_extract(url, '^[a-z]+:', 0) as sc, unnest(['../x', './y?z=1', '?q=2', '#f', '//o.example/p', '/r/../s', 'https://t.example/', '']) as ref from pages),
         __f as (select *, case when b = o then '/' else regexp_replace(b, '[^/]*$', '')[length(o) + 1:] end as folder from __r)
         select page_id, ref, case ref when '' then url when 'https://t.example/' then ref when '//o.example/p' then sc || ref when '#f' then regexp_replace(url, '#.*', '') || '#f' when '?q=2' then b || '?q=2' when '/r/../s' then o || '/s'
         when './y?z=1' then o || folder || 'y?z=1' else o || (case when folder = '/' then '/' else regexp_replace(folder, '[^/]+/$', '') end) || 'x' end as resolved from __f""",
-    "normalized_text": "select doc_id, trim(regexp_replace(replace('  ' || chr(9) || text[1:300] || ' ' || chr(12) || ' x' || chr(10) || ' ', chr(160), ' '), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ' || chr(10)) as text from documents",
+    "normalized_text": "select doc_id, trim(regexp_replace(replace('  ' || chr(9) || text || ' ' || chr(12) || ' x' || chr(10) || ' ', chr(160), ' '), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ' || chr(10)) as text from documents",
     "config_names": f"""with __p as (select page_id, url, list_filter(string_split({_BASE}[length(regexp_extract(url, '^[a-z]+://[^/?#]*', 0)) + 1:], '/'), lambda x: x <> '') as parts from pages)
         select page_id, case when len(parts) > 0 then parts[-1] else replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.', '-') end as name, regexp_replace(url, '/+$', '') || '/' as with_slash from __p""",
     "first_attempt": "select user_id as url, event_id as attempt, event_type from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type <> 'error') where n = 1",
     "page_charset": "select page_id, case page_id % 3 when 0 then 'iso-8859-1' else 'utf-8' end as charset, length(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1))::bigint as title_chars from pages",
+    "book_chapters": """with __s as (select doc_id // 4 as book, doc_id % 4 + 1 as number, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '[ \\t\\r\\f\\x0B]+', ' ', 'g'))), lambda v: v <> '') as lines from documents)
+        select book, number::bigint as number, 'Chapter ' || number as title, 'Chapter ' || number || chr(10) || chr(10) || '[[ILLUSTRATION:' || lpad(number::varchar, 3, '0') || '-001.png]]' ||
+        case when len(lines) > 0 then chr(10) || chr(10) || array_to_string(lines, chr(10) || chr(10)) else '' end || chr(10) as text from __s""",
+    "book_illustrations": """select doc_id // 4 as book, row_number() over (partition by doc_id // 4 order by doc_id)::bigint as image_index, (doc_id % 4 + 1)::bigint as number, lpad((doc_id % 4 + 1)::varchar, 3, '0') || '-001.png' as file from documents""",
+    "book_titles": "select doc_id // 4 as book, 'Book ' || (doc_id // 4) as title, 'src' || (doc_id // 4) as author, count(*)::bigint as n_sections from documents group by all",
 }

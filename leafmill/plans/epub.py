@@ -140,6 +140,14 @@ def unique_numbers(chapters: DataFrame, book: list[str]) -> tuple[DataFrame, Dat
     return ranked.filter("__n = 1").drop("__n"), ranked.filter("__n > 1").select(*book, F.concat(F.lit("duplicate chapter number "), F.col("number").cast("string"), F.lit(": "), "title").alias("warning"))
 
 
+def numbered_images(images: DataFrame, book: list[str], number: str, position: str, source: str, order: str | None = None) -> DataFrame:
+    """images with n, their count within the chapter `number`, image_index, that within the book (chapters in the order
+    of `order`), and the file name that both make."""
+    per_chapter = F.row_number().over(Window.partitionBy(*book, number).orderBy(position))
+    overall = F.row_number().over(Window.partitionBy(*book).orderBy(order or number, position))
+    return images.withColumns({"n": per_chapter, "image_index": overall}).withColumn("file", illustration_name(F.col(number).cast("int"), F.col("n"), F.col(source)))
+
+
 def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings."""
     # every book's parts are asked for several times and unpacked once; a lost executor's are unpacked again
@@ -152,10 +160,7 @@ def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     data = parts.select("path", F.col("member").alias("source_path"), "data")
     found = images.join(data, ["path", "source_path"], "left")
     there = found.filter("data IS NOT NULL")
-    per_chapter = F.row_number().over(Window.partitionBy("path", "number").orderBy("i"))
-    overall = F.row_number().over(Window.partitionBy("path").orderBy("index", "i"))
-    named = there.withColumn("n", per_chapter).withColumn("image_index", overall)
-    named = named.withColumn("file", illustration_name(F.col("number").cast("int"), F.col("n"), F.col("source_path")))
+    named = numbered_images(there, ["path"], "number", "i", "source_path", "index")
     files = named.groupBy("path", "number").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.col("file")))).alias("files"))
     text = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.size("image_paths"), F.lit(1)) - 1),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -136,13 +136,19 @@ def register(spark: SparkSession, name: str, fetch: Callable[[str], Response], r
     spark.dataSource.register(page_source(name, fetch, rules))
 
 
-def through_cache(urls: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(pages, purged cache): bodies from the cache where they are good, the rest fetched. cache: (key, body)."""
-    good = page_quality(cache, "body").filter("NOT bad_suspect").select("key", "body")
-    asked = urls.select("url", cache_key(F.col("url")).alias("key"))
-    hit = asked.join(good, "key").select("url", "body")
-    miss = fetch(asked.join(good, "key", "left_anti").select("url"))
-    return hit.unionByName(miss.select("url", "body")), good
+def looked_up(urls: DataFrame, cache: DataFrame) -> DataFrame:
+    """urls with their cache key and the body that the cache (key, body) has for it, null if none."""
+    known = cache.groupBy("key").agg(F.min("body").alias("body"))
+    return urls.withColumn("key", cache_key(F.col("url"))).join(known, "key", "left")
+
+
+def through_cache(urls: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame], good: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, purged cache): bodies from the cache where they are good (a condition on body; by default, that the page
+    doesn't look bad), the rest fetched. cache: (key, body)."""
+    kept = cache.filter(good) if good is not None else page_quality(cache, "body").filter("NOT bad_suspect").select("key", "body")
+    asked = looked_up(urls.select("url"), kept)
+    miss = fetch(asked.filter("body IS NULL").select("url"))
+    return asked.filter("body IS NOT NULL").select("url", "body").unionByName(miss.select("url", "body")), kept
 
 
 def with_fallback(first: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
