@@ -11,7 +11,8 @@ Fitting maximises the likelihood of chains spliced from spans of labelled docume
 transitions between languages are learned too. It learns every language that a labelled row has, from
 an equal share of about DOCUMENTS rows for each (LEAST_DOCUMENTS where there are many languages); of a longer text than CHARS
 characters it sees a stretch of that length, from a place that the id's hash says. Every text is
-labelled whole. What is broadcast is one table of weights of at most WEIGHTS numbers, more only beyond WEIGHTS / 2**12 languages.
+labelled whole. What is broadcast is one table of weights: at most WEIGHTS numbers for n-grams (more only beyond WEIGHTS / 2**12
+languages) and LEXICON for each language, so it grows with the languages and not with the rows.
 
 Contract for odd input: a null text or one without a letter is `und` with score 0 and no spans; null langs
 are not learned from; equal languages go to the first by name; with no labelled rows every text is
@@ -56,7 +57,7 @@ def lowered(text: str) -> str:
 
 
 def slots_for(languages: int) -> int:
-    """Slots of n-grams, a power of two that keeps the table of weights within WEIGHTS."""
+    """Slots of n-grams, a power of two that keeps their weights within WEIGHTS; 2**12 at least."""
     return max(1 << 12, min(SLOTS, 1 << (WEIGHTS // max(1, languages)).bit_length() - 1))
 
 
