@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language_crf, license_scan, merkle, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
+from . import byte_bpe, chat, compaction, language_crf, license_scan, merkle, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
 from .holdout import held_out
 
 BYTE_BPE, WORD_BPE, MULTI_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -80,6 +80,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, ids=False)
 
 
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all clicks by day, after the small ones were put together."""
+    folder, planned = compaction.compact(_table(spark, sf_dir, "clicks"), storage.new_path(spark, "compaction"), "arrived_at", "click_id")
+    found = compaction.described(spark, folder, planned, "click_id", F.col("value"))
+    return found.withColumnsRenamed({"least": "min_click_id", "largest": "max_click_id"})
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether it still leads to the root after newlines went from half of the texts."""
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
@@ -97,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_vector_topk": op9_vector_topk,
     "op10_packing": op10_packing,
+    "op11_compaction": op11_compaction,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
