@@ -91,6 +91,22 @@ select __l.doc_id, __l.leaf, subroot, root, sha256(coalesce(proof, '')) as proof
 from __l join __sub on __l.source is not distinct from __sub.source cross join __root
 left join __proof on __l.doc_id = __proof.doc_id and __l.leaf = __proof.leaf join __end on __l.doc_id = __end.doc_id and __l.leaf = __end.leaf"""
 
+#: Every pair that shares a shingle is counted, and components are all that is reachable.
+NGRAM_JOIN = f"""
+with recursive __t as (select row_number() over () as rid, doc_id, trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WS}) as bare from documents),
+__w as (select rid, doc_id, case when bare = '' then [] else regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+') end as w from __t),
+__s as (select rid, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from __w),
+__set as (select min(rid) as rid, s, len(s) as n from __s where len(s) > 0 group by s),
+__one as (select rid, n, unnest(s) as g from __set),
+__pair as (select a.rid as a, b.rid as b from __one a join __one b on a.g = b.g and a.rid < b.rid and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.rid, b.rid, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+__edge as (select a, b from __pair union all select b, a from __pair),
+__reach as (select rid as a, rid as b from __set union select r.a, e.b from __reach r join __edge e on r.b = e.a),
+__own as (select s, min(doc_id) as own from __s group by s),
+__low as (select x.s, min(own) as low from __set x join __reach r on r.a = x.rid join __set y on y.rid = r.b join __own on __own.s = y.s group by x.s)
+select doc_id, len(s)::bigint as n_shingles, case when len(s) = 0 then doc_id else low end as component_id from __s left join __low using (s)"""
+
 #: Whether the CRC-32 of doc_id's digits is even: its lowest bit is linear in the digits' bits.
 _CRC = "list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint + 256]))), lambda crc, b: " + "STEP)"
 
@@ -109,5 +125,6 @@ ORACLES: dict[str, str] = {
     "op7_chat": CHAT,
     "op8_quality_rules": quality_measures("documents"),
     "op9_vector_topk": TOP_PRODUCTS,
+    "op12_ngram_join": NGRAM_JOIN,
     "op13_merkle_manifest": MERKLE,
 }

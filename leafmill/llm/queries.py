@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, compaction, language_crf, license_scan, merkle, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
+from . import byte_bpe, chat, compaction, language_crf, license_scan, merkle, ngram_join, packing, quality_rules, simhash, storage, token_files, toxicity, vector_topk
 from .holdout import held_out
 
 BYTE_BPE, WORD_BPE, MULTI_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -87,6 +87,11 @@ def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"least": "min_click_id", "largest": "max_click_id"})
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-word shingles, and its component by similarity of 0.8 or more."""
+    return ngram_join.linked_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether it still leads to the root after newlines went from half of the texts."""
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
@@ -105,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_topk": op9_vector_topk,
     "op10_packing": op10_packing,
     "op11_compaction": op11_compaction,
+    "op12_ngram_join": op12_ngram_join,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
