@@ -385,23 +385,29 @@ def merged_configs(s, d):
     return out.select(F.col("site").alias("p_partkey"), "chapter_link_selector", "chapter_content_selector", F.array_join("remove_selectors", "|").alias("removed"), "max_toc_pages")
 
 
-def _archives(s, d):
-    """E-books of four documents each: one section and one image a document, a spine with an entry too many and one twice."""
+def _archives(s, d, damage=False):
+    """E-books of four documents each: one section and one image a document, a spine with an entry too many and one twice. Damaged ones are, in turn,
+    whole, with a byte order mark and a document type that is elsewhere, with an undeclared entity, cut off, without a root file, and no archive."""
 
     def pack(rows):
         n = int(rows["book"].iloc[0])
         rows = rows.sort_values("doc_id")
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("META-INF/container.xml", '<container xmlns="urn:c"><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+            how = n % 6 if damage else 0
+            root = "" if how == 4 else '<rootfile full-path="O/c.opf"/>'
+            z.writestr("META-INF/container.xml", f'<container xmlns="urn:c"><rootfiles>{root}</rootfiles></container>')
             names = [int(x) % 4 for x in rows["doc_id"]]
             items = "".join(f'<item id="s{i}" href="T%20x/{i}.xhtml"/>' for i in names)
             refs = "".join(f'<itemref idref="s{i}"/>' for i in [*names, names[0], "no"])
-            z.writestr("O/c.opf", f'<package xmlns="urn:o" xmlns:dc="urn:d"><metadata><dc:title> Book {n} </dc:title><dc:creator>src{n}</dc:creator></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+            head = '\ufeff<!DOCTYPE package SYSTEM "http://127.0.0.1:9/none.dtd">' if how == 1 else ""
+            gap = "&nbsp;" if how == 2 else " "
+            package = (f'{head}<package xmlns="urn:o" xmlns:dc="urn:d"><metadata><dc:title> Book{gap}{n} </dc:title><dc:creator>src{n}</dc:creator></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+            z.writestr("O/c.opf", package[: len(package) // 2] if how == 3 else package)
             for i, text in zip(names, rows["text"]):
                 z.writestr(f"O/T x/{i}.xhtml", f"<html><head><title>t</title></head><body><h1>Chapter {i + 1}</h1><img src='../i/{i}.PNG'/><p>{html.escape(text or '')}</p></body></html>")
                 z.writestr(f"O/i/{i}.PNG", b"image")
-        return pd.DataFrame({"path": [f"b{n}.epub"], "content": [out.getvalue()]})
+        return pd.DataFrame({"path": [f"b{n}.epub"], "content": [b"no archive" if how == 5 else out.getvalue()]})
 
     books = _t(s, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("book"), "doc_id", "text")
     return books.groupBy("book").applyInPandas(pack, "path string, content binary")
@@ -426,6 +432,16 @@ def book_titles(s, d):
     return epub.book_metadata(packages).join(sections, "path").select(_book(), "title", "author", "n_sections")
 
 
+def damaged_books(s, d):
+    archives = _archives(s, d, damage=True)
+    chapters, _, warnings = epub.import_books(archives)
+    titles = epub.book_metadata(epub.package_files(epub.members(archives).filter("error IS NULL"))).select("path", "title")
+    n = chapters.groupBy("path").agg(F.count("*").alias("n_chapters"))
+    wrong = warnings.filter("warning NOT LIKE 'duplicate %'").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(F.split_part("warning", F.lit(":"), F.lit(1)))), "|").alias("wrong"))
+    out = archives.select("path").join(titles, "path", "left").join(n, "path", "left").join(wrong, "path", "left")
+    return out.select(_book(), "title", F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), "wrong")
+
+
 def preview_topk(s, d):
     out = crawl.preview(_titled(s, d), ["host"], "page_id", 3)
     return out.select("host", "n", "page_id", "more")
@@ -468,7 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         marker_substitution, page_quality, http_usable, origin_robots, known_domain_config, selector_report, cache_lookup, config_defaults, selector_dedup, llm_json_recover,
         log_correlate, log_summary, referer_gap, progress_labels, css_url_srcset, slug_ascii, truncate_text, redact_secrets, preview_topk, url_resolution, normalized_text,
         config_names, first_attempt, page_charset, redact_flat_secrets, section_text, css_links, chapter_by_selectors, page_through_cache, slug_any, fetched_pages, model_answers, call_join,
-        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles,
+        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles, damaged_books,
     )
 }
 QUERIES["order_chapters_asc"] = lambda s, d: _ordered(s, d, False, True)

@@ -136,5 +136,8 @@ ORACLES: dict[str, str] = {
         select book, number::bigint as number, 'Chapter ' || number as title, 'Chapter ' || number || chr(10) || chr(10) || '[[ILLUSTRATION:' || lpad(number::varchar, 3, '0') || '-001.png]]' ||
         case when len(lines) > 0 then chr(10) || chr(10) || array_to_string(lines, chr(10) || chr(10)) else '' end || chr(10) as text from __s""",
     "book_illustrations": """select doc_id // 4 as book, row_number() over (partition by doc_id // 4 order by doc_id)::bigint as image_index, (doc_id % 4 + 1)::bigint as number, lpad((doc_id % 4 + 1)::varchar, 3, '0') || '-001.png' as file from documents""",
+    "damaged_books": """select doc_id // 4 as book, case (doc_id // 4) % 6 when 2 then 'Book' || chr(160) || (doc_id // 4) when 0 then 'Book ' || (doc_id // 4) when 1 then 'Book ' || (doc_id // 4) end as title,
+        case when (doc_id // 4) % 6 < 3 then count(*) else 0 end::bigint as n_chapters,
+        case (doc_id // 4) % 6 when 3 then 'package document' when 4 then 'META-INF/container.xml does not declare a rootfile' when 5 then 'not an archive' end as wrong from documents group by doc_id // 4""",
     "book_titles": "select doc_id // 4 as book, 'Book ' || (doc_id // 4) as title, 'src' || (doc_id // 4) as author, count(*)::bigint as n_sections from documents group by all",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import BookError
 from ..functions.fixed import FRONT_MATTER_NAMES, METADATA_MARKERS
 from ..functions.html import section_of
+from ..functions.package import container_of, package_of
 from ..functions.text import any_of, chapter_number, decode_bytes, illustration_name, is_notice, normalize_whitespace
 from ..functions.urls import folder_of, norm_path, resource_path, unquoted
 
@@ -58,16 +59,18 @@ def members(archives: DataFrame) -> DataFrame:
 
 
 def package_files(parts: DataFrame) -> DataFrame:
-    """path, opf_path, opf: the package document of each book."""
-    box = parts.filter("member = 'META-INF/container.xml'").select("path", F.get(F.xpath(decode_bytes(F.col("data")), F.lit('//*[local-name()="rootfile"]/@full-path')), F.lit(0)).alias("opf_path"))
-    text = parts.select("path", F.col("member").alias("opf_path"), decode_bytes(F.col("data")).alias("opf"))
-    return box.join(text, ["path", "opf_path"])
+    """path, opf_path, package, error: the package document of each book as it was read (functions.package), or why there is none. A book that is
+    broken has an error and takes nothing from the others."""
+    box = parts.groupBy("path").agg(F.max(F.when(F.col("member") == "META-INF/container.xml", F.col("data"))).alias("data"))
+    box = box.select("path", container_of(F.col("data")).alias("box")).select("path", "box.opf_path", F.col("box.error").alias("no_path"))
+    have = parts.select("path", F.col("member").alias("opf_path"), "data")
+    read = box.join(have, ["path", "opf_path"], "left").select("path", "opf_path", "no_path", package_of(F.col("data")).alias("package"))
+    return read.select("path", "opf_path", "package", F.coalesce("no_path", "package.error").alias("error"))
 
 
 def book_metadata(packages: DataFrame) -> DataFrame:
-    """First non-blank title and creator of each book."""
-    first = lambda name: F.get(F.filter(F.transform(F.xpath("opf", F.lit(f'//*[local-name()="metadata"]//*[local-name()="{name}"]/text()')), normalize_whitespace), lambda v: v != ""), F.lit(0))
-    return packages.select("path", first("title").alias("title"), first("creator").alias("author"))
+    """First non-blank title and creator of each book that could be read."""
+    return packages.filter("error IS NULL").select("path", "package.title", "package.author")
 
 
 def spine_join(spine: DataFrame, manifest: DataFrame, book: list[str]) -> DataFrame:
@@ -79,9 +82,8 @@ def spine_join(spine: DataFrame, manifest: DataFrame, book: list[str]) -> DataFr
 
 def spine_documents(packages: DataFrame, parts: DataFrame) -> DataFrame:
     """Section documents in reading order: path, pos, source_path, those that the archive has."""
-    item = lambda a: F.xpath("opf", F.lit(f'//*[local-name()="manifest"]/*[local-name()="item" and @id and @href]/@{a}'))
-    items = packages.select("path", F.posexplode(F.arrays_zip(item("id").alias("id"), item("href").alias("href"))).alias("item_pos", "i")).select("path", "item_pos", "i.*")
-    refs = packages.select("path", F.posexplode(F.xpath("opf", F.lit('//*[local-name()="spine"]/*[local-name()="itemref"]/@idref'))).alias("pos", "idref"))
+    items = packages.select("path", F.posexplode("package.items").alias("item_pos", "i")).select("path", "item_pos", "i.*")
+    refs = packages.select("path", F.posexplode("package.refs").alias("pos", "idref"))
     out = spine_join(refs, items, ["path"]).join(packages.select("path", "opf_path"), "path")
     out = out.withColumn("source_path", norm_path(F.concat(folder_of(F.col("opf_path")), F.lit("/"), unquoted(F.col("href")))))
     have = parts.select("path", F.col("member").alias("source_path")).distinct()
@@ -154,7 +156,8 @@ def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = members(archives).persist(StorageLevel.DISK_ONLY)
     parts = every.filter("error IS NULL")
     books = package_files(parts)
-    chosen = select_chapters(sections(spine_documents(books, parts), parts), ["path"])
+    spine = spine_documents(books, parts)
+    chosen = select_chapters(sections(spine, parts), ["path"])
     kept, twice = unique_numbers(chosen, ["path"])
     images = kept.select("path", "number", "index", F.posexplode("image_paths").alias("i", "source_path"))
     data = parts.select("path", F.col("member").alias("source_path"), "data")
@@ -175,5 +178,6 @@ def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chapters = chapters.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"), "source_path").orderBy("path", "number")
     missing = found.filter("data IS NULL").select("path", F.concat(F.lit("missing image "), "source_path").alias("warning"))
     broken = every.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
-    none = parts.select("path").distinct().join(books.select("path"), "path", "left_anti").select("path", F.lit("no package document").alias("warning"))
-    return chapters, named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file", "data"), twice.unionByName(missing).unionByName(broken).unionByName(none)
+    none = books.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
+    unread = books.filter("error IS NULL").join(spine.select("path").distinct(), "path", "left_anti").select("path", F.lit("no readable documents in the spine").alias("warning"))
+    return chapters, named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file", "data"), twice.unionByName(missing).unionByName(broken).unionByName(none).unionByName(unread)

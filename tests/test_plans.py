@@ -170,7 +170,7 @@ def test_broken_members_are_warnings(spark, tmp_path):
     (tmp_path / "empty.epub").write_bytes(book({"x": "y"}))
     chapters, _, warnings = epub.import_books(epub.read_archives(spark, str(tmp_path)))
     found = sorted(r.warning for r in warnings.collect())
-    assert chapters.count() == 0 and len(found) == 2 and found[0].startswith("member not readable: O/T/1.xhtml") and found[1] == "no package document"
+    assert chapters.count() == 0 and len(found) == 3 and found[0].startswith("member not readable: O/T/1.xhtml") and found[1:] == ["no META-INF/container.xml", "no readable documents in the spine"]
     for path in (tmp_path / "none", tmp_path / "text"):
         if path.name == "text":
             path.mkdir()
@@ -179,6 +179,38 @@ def test_broken_members_are_warnings(spark, tmp_path):
             epub.read_archives(spark, str(path))
 
 
+NAMED = """<package xmlns="urn:o" xmlns:dc="urn:d"><metadata><dc:title>A&nbsp;B &amp; C&eacute;&#33;</dc:title><dc:creator> </dc:creator><dc:creator>Me</dc:creator></metadata>
+<manifest><item id="a" href="1.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>"""
+
+
+def test_one_broken_book_takes_no_other_down(spark, tmp_path):
+    """A byte order mark, entities, document types inside and elsewhere, other encodings; a cut file, no root file, nothing in the spine."""
+    told = '<!DOCTYPE package [<!ENTITY who "Else">]>' + NAMED.replace("Me", "&who;")
+    elsewhere = '<?xml version="1.0"?><!DOCTYPE package PUBLIC "-//x" "http://127.0.0.1:9/never.dtd">' + NAMED
+    secret = '<!DOCTYPE package [<!ENTITY f SYSTEM "file:///etc/passwd">]>' + NAMED.replace("Me", "x&f;y")
+    packages = {
+        "plain": NAMED.encode(), "mark": b"\xef\xbb\xbf" + NAMED.encode(), "blank": b"\n " + NAMED.encode(), "wide": NAMED.encode("utf-16"), "latin": ('<?xml version="1.0" encoding="ISO-8859-1"?>' + NAMED.replace("Me", "M\xe9")).encode("latin-1"),
+        "told": told.encode(), "elsewhere": elsewhere.encode(), "secret": secret.encode(), "cut": NAMED[:150].encode(), "nothing": b"", "bare": b"<package/>", "odd": b'<?xml version="1.0" encoding="no-such"?><package/>', "deep": b"<a>" * 20_000 + b"</a>" * 20_000,
+    }
+    for name, package in packages.items():
+        (tmp_path / f"{name}.epub").write_bytes(book({"META-INF/container.xml": CONTAINER, "O/c.opf": package, "O/1.xhtml": "<h1>Chapter 1</h1>x"}))
+    (tmp_path / "boxless.epub").write_bytes(book({"META-INF/container.xml": "<container/>", "O/c.opf": NAMED}))
+    (tmp_path / "pathless.epub").write_bytes(book({"META-INF/container.xml": "<container><rootfile/></container>", "O/c.opf": NAMED}))
+    (tmp_path / "lost.epub").write_bytes(book({"META-INF/container.xml": CONTAINER}))
+    (tmp_path / "torn.epub").write_bytes(book({"META-INF/container.xml": CONTAINER[:30]}))
+    archives = epub.read_archives(spark, str(tmp_path))
+    name = F.regexp_extract("path", r"(\w+)\.epub$", 1).alias("name")
+    titles = {r.name: (r.title, r.author) for r in epub.book_metadata(epub.package_files(epub.members(archives).filter("error IS NULL"))).select(name, "title", "author").collect()}
+    good = {"plain": "Me", "mark": "Me", "blank": "Me", "wide": "Me", "latin": "M\xe9", "told": "Else", "elsewhere": "Me", "secret": "xy"}
+    assert {k: v for k, v in titles.items() if v[0]} == {k: ("A\xa0B & C\xe9!", v) for k, v in good.items()}
+    chapters, _, warnings = epub.import_books(archives)
+    assert sorted(r.name for r in chapters.select(name).collect()) == sorted(good)
+    found = {r.name: r.warning for r in warnings.select(name, "warning").collect()}
+    assert sorted(found) == sorted({"cut", "nothing", "bare", "odd", "deep", "boxless", "pathless", "lost", "torn"})
+    assert found["bare"] == found["deep"] == "no readable documents in the spine" and found["lost"] == "no package document"
+    assert found["cut"].startswith("package document: ") and found["torn"].startswith("META-INF/container.xml: ") and "rootfile" in found["boxless"] and "full-path" in found["pathless"]
+
+
 def test_sections(spark):
     rows = [("b", 1, "Info", "s1.xhtml", "Synopsis: x"), ("b", 2, "Notice 3", "s2.xhtml", "n"), ("b", 3, "One", "s3.xhtml", "x"), ("b", 4, "Two", "s4.xhtml", "y"), ("b", 5, "Cover", "s5.xhtml", ""), ("b", 6, "", "s6.xhtml", "y")]
     df = spark.createDataFrame(rows, "book string, index int, title string, source_path string, text string")
