@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import BookError, ConfigError, FetchError, ModelError
-from .functions.html import chapters_of, css_select, css_select_all, skeleton
+from .functions.html import chapters_of, css_select, css_select_all, selector_fault, skeleton
 from .functions.text import chapter_file, chapter_path, normalize_text, normalize_whitespace, optional, recover_json, slugify
 from .functions.urls import authority, urljoin
 from .operators.pages import cover_url, selector_issues
@@ -281,7 +281,7 @@ def _wave(spark: SparkSession, site: Site, rows: DataFrame, pages: DataFrame, fe
     for attempt in range(max(1, site.retry_attempts) if fetch else 1):
         have = fetch(rest.select("url").distinct()) if fetch else pages
         got = rest.join(have.select("url", "html"), "url", "left").withColumn("c", own)
-        error = F.when(F.col("html").isNull(), "page not found").when(F.col("c.body").isNull(), "content node not found").when(F.col("c.body") == "", "content is empty")
+        error = F.when(F.col("html").isNull(), "page not found").when(F.col("c.error").isNotNull(), F.col("c.error")).when(F.col("c.body").isNull(), "content node not found").when(F.col("c.body") == "", "content is empty")
         got = got.select("site", "position", F.coalesce(F.when(error.isNull(), F.col("c.title")), "title").alias("title"), "url", "path", error.alias("error"), F.col("c.body").alias("body")).persist(StorageLevel.DISK_ONLY)
         good = got.filter("error IS NULL")
         out = good if out is None else out.unionByName(good)
@@ -409,7 +409,9 @@ def generate(spark: SparkSession, toc_url: str, pages: DataFrame, generate_text:
 
         def issues(found: DataFrame) -> DataFrame:
             out = found.join(page.select("key", "html"), "key").withColumn("json", recover_json(F.col("answer")))
-            tests = [F.when(F.size(css_select(F.col("html"), F.get_json_object("json", f"$.{k}"))) == 0, F.lit(f"{k} matches 0 elements")) for k in keys]
+            own = lambda k: F.get_json_object("json", f"$.{k}")
+            tests = [F.when(F.size(css_select(F.col("html"), own(k))) == 0, F.lit(f"{k} matches 0 elements")) for k in keys]
+            tests += [F.concat(F.lit(f"{k}: "), selector_fault(own(k))) for k in keys]
             return out.withColumn("issues", F.array_compact(F.array(F.when(F.col("json").isNull(), "not a JSON object"), *tests))).select("key", "answer", "error", "json", "issues")
 
         got = models.ask_twice(page, generate_text, issues).first()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import urls as u
-from .functions.html import chapters_of, css_select, css_select_all, first_tag, section_of
+from .functions.html import chapters_of, css_select, css_select_all, first_tag, section_of, selector_fault
 from .operators import pages as pg
 from .operators import robots
 from .oracles import ORACLES
@@ -311,6 +311,27 @@ def css_links(s, d):
     return found.select("page_id", F.col("n.pos").cast("long").alias("pos"), F.try_element_at("n.attrs", F.lit("href")).alias("href"), "n.text")
 
 
+#: Selectors by the places of siblings and by what elements hold, and of each how many it finds and the first one's text.
+STRUCTURAL = {
+    "sibling": "h1 + p", "siblings": "nav ~ article", "nth": "nav li:nth-child(2n+1) > a", "nth_last": "nav li:nth-last-child(2) a", "last": "nav li:last-child", "not": "nav a:not([href='/the'], [href*=','])", "has": "body > *:has(> ul li)",
+    "quoted": 'a[href="/the,"]', "list": "title, nav li:first-child > a", "type": "body > div:first-of-type", "bad": "nav li:nth-child(", "element": "p::first-line",
+}
+
+
+def selectors_structural(s, d):
+    found = _t(s, d, "pages").select("page_id", F.posexplode(css_select_all(F.col("html"), list(STRUCTURAL.values()))).alias("i", "m"))
+    name = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
+    return found.select("page_id", name(STRUCTURAL).alias("selector_key"), F.size("m").cast("long").alias("matches"), F.when(F.startswith(name(STRUCTURAL.values()), F.lit("nav ")) & (name(STRUCTURAL) != "siblings"), F.get("m", F.lit(0))["text"]).alias("first"))
+
+
+def selector_faults(s, d):
+    """What is wrong with a selector that a page's own words make."""
+    word = F.regexp_extract("html", r"<li><a href=\"/([^\"]*)\"", 1)
+    made = F.element_at(F.array(F.concat(F.lit("a[href='/"), word, F.lit("']")), F.concat(F.lit("a[href='/"), word), F.concat(F.lit("li:"), word), F.lit("nav a:not(")), (F.col("page_id") % 4 + 1).cast("int"))
+    n = F.size(css_select(F.col("html"), made)).cast("long")
+    return _t(s, d, "pages").select("page_id", F.split_part(selector_fault(made), F.lit(":"), F.lit(1)).alias("wrong"), n.alias("matches"))
+
+
 def chapter_by_selectors(s, d):
     return _t(s, d, "pages").withColumn("c", chapters_of(F.col("html"), "article", "article > h1", ["div.ad", "footer", "script", "style"])).select("page_id", "c.title", "c.body")
 
@@ -484,7 +505,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         marker_substitution, page_quality, http_usable, origin_robots, known_domain_config, selector_report, cache_lookup, config_defaults, selector_dedup, llm_json_recover,
         log_correlate, log_summary, referer_gap, progress_labels, css_url_srcset, slug_ascii, truncate_text, redact_secrets, preview_topk, url_resolution, normalized_text,
         config_names, first_attempt, page_charset, redact_flat_secrets, section_text, css_links, chapter_by_selectors, page_through_cache, slug_any, fetched_pages, model_answers, call_join,
-        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles, damaged_books,
+        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles, damaged_books, selectors_structural, selector_faults,
     )
 }
 QUERIES["order_chapters_asc"] = lambda s, d: _ordered(s, d, False, True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
 from .fixed import BLOCK_TAGS, HEADINGS, SKELETON_ATTRS, SKELETON_DROP, SKIP_TAGS
+from .selectors import Index, compiled, fault
 from .text import lines, normalize_text, unescape_basic
 
 NODE = StructType().add("pos", IntegerType()).add("tag", StringType()).add("attrs", MapType(StringType(), StringType())).add("text", StringType())
@@ -62,6 +63,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, None, []]
         self.at, self.every = self.root, []
+        self.index: Index | None = None
         self.strays = strays
 
     def handle_starttag(self, tag, attrs):
@@ -107,75 +109,35 @@ def _texts(node) -> list[str]:
     return out
 
 
-_STEP = re.compile(r"(\*|[\w-]+)?((?:[.#][\w-]+|\[[^\]]+\])*)")
-_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
-
-
-def _fits(node, step: str) -> bool:
-    m = _STEP.fullmatch(step)
-    if not m:
-        raise ValueError(f"selector not understood: {step}")
-    if m[1] and m[1] != "*" and m[1].lower() != node[0]:
-        return False
-    for kind, name, attr, op, value in _PART.findall(m[2]):
-        own = node[1]
-        if kind == "." and name not in own.get("class", "").split() or kind == "#" and own.get("id") != name:
-            return False
-        if attr:
-            got = own.get(attr.lower())
-            ok = got is not None and (not op or {"=": got == value, "~=": value in got.split(), "^=": got.startswith(value), "$=": got.endswith(value), "*=": value in got, "|=": got == value or got.startswith(value + "-")}[op])
-            if not ok:
-                return False
-    return True
-
-
-def _matches(node, chain: list[str]) -> bool:
-    """chain: steps and combinators (` ` or `>`), the last step first."""
-    if not _fits(node, chain[0]):
-        return False
-    if len(chain) == 1:
-        return True
-    up = node[2]
-    while up is not None and up[2] is not None:
-        if _matches(up, chain[2:]):
-            return True
-        if chain[1] == ">":
-            return False
-        up = up[2]
-    return False
+def select(tree: _Tree, selector: str) -> list:
+    """Nodes of a selector list, in document order; a text that is no selector is a SelectorError."""
+    chains = compiled(selector)
+    if tree.index is None:
+        tree.index = Index(tree.every)
+    return tree.index.select(chains)
 
 
-def select(tree: _Tree, selector: str) -> list:
-    """Nodes of a selector list, in document order."""
-    chains = []
-    for one in selector.split(","):
-        parts = re.sub(r"\s*>\s*", " > ", one.strip()).split()
-        chain: list[str] = []
-        for p in parts:
-            if p == ">":
-                chain.append(">")
-            else:
-                if chain and chain[-1] != ">":
-                    chain.append(" ")
-                chain.append(p)
-        chains.append(chain[::-1])
-    return [n for n in tree.every if any(c and _matches(n, c) for c in chains)]
+def _found(tree: _Tree, selector: str | None) -> list[dict] | None:
+    """Matches as rows; None for no selector and for a text that is none."""
+    if selector is None or fault(selector):
+        return None
+    return [{"pos": i, "tag": n[0], "attrs": n[1], "text": "".join(_texts(n))} for i, n in enumerate(select(tree, selector))]
 
 
-@F.pandas_udf(ArrayType(NODE))
-def css_select(page: pd.Series, selector: pd.Series) -> pd.Series:
-    """All matches of a selector (tag, .class, #id, [attribute], descendant, child, comma)."""
+@F.pandas_udf(StringType())
+def selector_fault(selector: pd.Series) -> pd.Series:
+    """What is wrong with a selector, null if nothing."""
+    return selector.map(fault, na_action="ignore").astype(object)
 
-    def one(p, s):
-        if p is None or s is None:
-            return None
-        return [{"pos": i, "tag": n[0], "attrs": n[1], "text": "".join(_texts(n))} for i, n in enumerate(select(parsed(p), s))]
 
-    return pd.Series([one(p, s) for p, s in zip(page, selector)])
+@F.pandas_udf(ArrayType(NODE))
+def css_select(page: pd.Series, selector: pd.Series) -> pd.Series:
+    """All matches of a selector (functions.selectors); null for a null page, a null selector and one that isn't understood (`selector_fault` says why)."""
+    return pd.Series([None if p is None or s is None else _found(parsed(p), s) for p, s in zip(page, selector)], dtype=object)
 
 
 def css_select_all(page: Column, selectors: list[str | None]) -> Column:
-    """An array with the matches of each selector, null for a null one; a page is parsed once."""
+    """An array with the matches of each selector, null for a null one and one that isn't understood; a page is parsed once."""
 
     @F.pandas_udf(ArrayType(ArrayType(NODE)))
     def run(pages: pd.Series) -> pd.Series:
@@ -183,7 +145,7 @@ def css_select_all(page: Column, selectors: list[str | None]) -> Column:
             if p is None:
                 return None
             tree = parsed(p)
-            return [None if s is None else [{"pos": i, "tag": n[0], "attrs": n[1], "text": "".join(_texts(n))} for i, n in enumerate(select(tree, s))] for s in selectors]
+            return [_found(tree, s) for s in selectors]
 
         return pages.map(one)
 
@@ -242,21 +204,20 @@ def section_of(markup: pd.Series) -> pd.DataFrame:
 def skeleton_text(page: str, most: int = 30_000) -> str:
     """Structure of a page: noise dropped, few attributes kept, long texts cut, one node a line."""
     out: list[str] = []
-
-    def walk(node, depth):
-        for child in node[3]:
-            if isinstance(child, str):
-                t = child.strip()
-                if t:
-                    out.append(" " * depth + html.escape(t[:40] + "…" if len(t) > 80 else t, quote=False))
-            elif child[0] not in SKELETON_DROP:
-                attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in child[1].items() if k in SKELETON_ATTRS)
-                out.append(" " * depth + f"<{child[0]}{attrs}{'/' if child[0] in VOID else ''}>")
-                walk(child, depth + 1)
-                if child[0] not in VOID:
-                    out.append(" " * depth + f"</{child[0]}>")
-
-    walk(parsed(page).root, 0)
+    todo: list = [(x, 0) for x in reversed(parsed(page).root[3])]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, str):
+            if t := node.strip():
+                out.append(" " * depth + html.escape(t[:40] + "…" if len(t) > 80 else t, quote=False))
+        elif isinstance(node, tuple):  # an end tag
+            out.append(node[0])
+        elif node[0] not in SKELETON_DROP:
+            attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node[1].items() if k in SKELETON_ATTRS)
+            out.append(" " * depth + f"<{node[0]}{attrs}{'/' if node[0] in VOID else ''}>")
+            if node[0] not in VOID:
+                todo.append(((" " * depth + f"</{node[0]}>",), depth))
+            todo.extend((x, depth + 1) for x in reversed(node[3]))
     text = "\n".join(out) + "\n"
     return text if len(text) <= most else text[:most] + "\n<!-- truncated -->"
 
@@ -274,54 +235,57 @@ def _live(tree: _Tree) -> None:
         if n is not tree.root:
             out.append(n)
         todo.extend(x for x in reversed(n[3]) if not isinstance(x, str))
-    tree.every = out
+    tree.every, tree.index = out, None
 
 
 def _separate_texts(node) -> list[str]:
     """Text nodes of an element; those that touch are one, a break is a newline, code is left out."""
     out: list[str] = []
-
-    def walk(n):
+    touching = False
+    todo: list = list(reversed(node[3]))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            if touching:
+                out[-1] += n
+            else:
+                out.append(n)
+            touching = True
+            continue
         touching = False
-        for child in n[3]:
-            if isinstance(child, str):
-                if touching:
-                    out[-1] += child
-                else:
-                    out.append(child)
-                touching = True
-                continue
-            touching = False
-            if child[0] == "br":
-                out.append("\n")
-            elif child[0] not in ("script", "style", "noscript"):
-                walk(child)
-
-    walk(node)
+        if isinstance(n, list) and n[0] == "br":
+            out.append("\n")
+        elif isinstance(n, list) and n[0] not in ("script", "style", "noscript"):
+            todo.append(())  # its end keeps the texts on both sides apart
+            todo.extend(reversed(n[3]))
     return out
 
 
-def chapter_of(page: str, content: str, title: str | None, remove: list[str]) -> tuple[str | None, str | None]:
-    """Title (before removals) and plain text of a page by selectors; None for a node that isn't there."""
+def chapter_of(page: str, content: str, title: str | None, remove: list[str]) -> tuple[str | None, str | None, str | None]:
+    """Title (before removals), plain text and error of a page by selectors; None for a node that isn't there."""
+    if wrong := next(filter(None, map(fault, [content, title, *remove])), None):
+        return None, None, wrong
     tree = parsed(page)
     head = select(tree, title)[:1] if title else []
     name = re.sub(r"[ \t\r\f\x0b]+", " ", " ".join("".join(_texts(n)) for n in head).replace("\xa0", " ")).strip() or None
     for one in remove:
+        gone = {id(n) for n in select(tree, one)}
         for n in select(tree, one):
-            n[2][3] = [x for x in n[2][3] if x is not n]
+            if any(id(x) in gone for x in n[2][3]):
+                n[2][3] = [x for x in n[2][3] if id(x) not in gone]
         _live(tree)
     body = select(tree, content)[:1]
     if not body:
-        return name, None
+        return name, None, None
     found = (re.sub(r"[ \t\r\f\x0b]+", " ", x.replace("\xa0", " ")).strip() for x in "\n".join(_separate_texts(body[0])).splitlines())
-    return name, "\n".join(x for x in found if x)
+    return name, "\n".join(x for x in found if x), None
 
 
 def chapters_of(page: Column, content: str, title: str | None, remove: list[str]) -> Column:
-    """A struct (title, body) by any selectors; `plans.crawl.extract_chapter` does flat markup without leaving the JVM."""
+    """A struct (title, body, error) by any selectors; error says which of them isn't understood. `plans.crawl.extract_chapter` does flat markup without leaving the JVM."""
 
-    @F.pandas_udf(StructType().add("title", StringType()).add("body", StringType()))
+    @F.pandas_udf(StructType().add("title", StringType()).add("body", StringType()).add("error", StringType()))
     def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([chapter_of(p or "", content, title, remove) for p in pages], columns=["title", "body"])
+        return pd.DataFrame([chapter_of(p or "", content, title, remove) for p in pages], columns=["title", "body", "error"], dtype=object)
 
     return run(page)

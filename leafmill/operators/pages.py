@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.html import first_tag, flat_node, inner_text, without
+from ..functions.html import first_tag, flat_node, inner_text, selector_fault, without
 from ..functions.text import any_of, squeeze
 
 
@@ -63,8 +63,9 @@ def cover_url(attrs: Column, style: Column, page_url: Column) -> Column:
 
 
 def selector_issues(report: DataFrame) -> DataFrame:
-    """Rows (selector_key, selector, matches): those whose selector is set and matches nothing."""
-    return report.filter(F.col("selector").isNotNull() & (F.col("matches") == 0)).withColumn("issue", F.concat("selector_key", F.lit(" matches 0 elements")))
+    """Rows (selector_key, selector, matches): those whose selector is set and matches nothing, or isn't understood (matches is null)."""
+    issue = F.when(F.col("matches") == 0, F.concat("selector_key", F.lit(" matches 0 elements"))).when(F.col("matches").isNull(), F.concat("selector_key", F.lit(": "), selector_fault(F.col("selector"))))
+    return report.filter(F.col("selector").isNotNull() & (F.coalesce("matches", F.lit(0)) == 0)).withColumn("issue", issue)
 
 
 __all__ = ["cover_url", "flat_node", "page_metadata", "page_quality", "retriable", "retriable_model_error", "selector_issues", "usable", "visible_text"]

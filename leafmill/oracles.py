@@ -136,6 +136,16 @@ ORACLES: dict[str, str] = {
         select book, number::bigint as number, 'Chapter ' || number as title, 'Chapter ' || number || chr(10) || chr(10) || '[[ILLUSTRATION:' || lpad(number::varchar, 3, '0') || '-001.png]]' ||
         case when len(lines) > 0 then chr(10) || chr(10) || array_to_string(lines, chr(10) || chr(10)) else '' end || chr(10) as text from __s""",
     "book_illustrations": """select doc_id // 4 as book, row_number() over (partition by doc_id // 4 order by doc_id)::bigint as image_index, (doc_id % 4 + 1)::bigint as number, lpad((doc_id % 4 + 1)::varchar, 3, '0') || '-001.png' as file from documents""",
+    "selectors_structural": r"""with __n as (select page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) as nav, html from pages),
+        __l as (select page_id, html, regexp_extract_all(nav, '<li><a href="([^"]*)">', 1) as h, regexp_extract_all(nav, '<li><a href="[^"]*">(.*?)</a></li>', 1) as a from __n),
+        __p as (select *, list_filter(list_zip(h, a), lambda x: x[1] <> '/the' and not contains(x[1], ',')) as plain from __l),
+        __r as (select page_id, unnest([
+            {'k': 'sibling', 'm': case when regexp_matches(html, '</h1>\s*<p[ >]') then 1 else 0 end, 'f': null}, {'k': 'siblings', 'm': 1, 'f': null}, {'k': 'nth', 'm': (len(a) + 1) // 2, 'f': a[1]},
+            {'k': 'nth_last', 'm': case when len(a) > 1 then 1 else 0 end, 'f': a[len(a) - 1]}, {'k': 'last', 'm': 1, 'f': a[len(a)]}, {'k': 'not', 'm': len(plain), 'f': plain[1][2]}, {'k': 'has', 'm': 1, 'f': null},
+            {'k': 'quoted', 'm': len(list_filter(h, lambda x: x = '/the,')), 'f': null}, {'k': 'list', 'm': 2, 'f': null}, {'k': 'type', 'm': 1, 'f': null}, {'k': 'bad', 'm': null, 'f': null}, {'k': 'element', 'm': null, 'f': null}], recursive := true) from __p)
+        select page_id, k as selector_key, m::bigint as matches, f as first from __r""",
+    "selector_faults": r"""with __l as (select page_id, regexp_extract(html, '<li><a href="/([^"]*)"', 1) as w, regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"', 1) as h from pages)
+        select page_id, case when page_id % 4 > 0 then 'selector not understood' end as wrong, case when page_id % 4 = 0 then len(list_filter(h, lambda x: x = '/' || w)) end::bigint as matches from __l""",
     "damaged_books": """select doc_id // 4 as book, case (doc_id // 4) % 6 when 2 then 'Book' || chr(160) || (doc_id // 4) when 0 then 'Book ' || (doc_id // 4) when 1 then 'Book ' || (doc_id // 4) end as title,
         case when (doc_id // 4) % 6 < 3 then count(*) else 0 end::bigint as n_chapters,
         case (doc_id // 4) % 6 when 3 then 'package document' when 4 then 'META-INF/container.xml does not declare a rootfile' when 5 then 'not an archive' end as wrong from documents group by doc_id // 4""",

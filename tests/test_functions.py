@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import html as h
 from leafmill.functions import text as t
 from leafmill.functions import urls as u
+from leafmill.functions.selectors import SelectorError, fault
 
 
 def column(spark, values, f, kind="string"):
@@ -91,6 +92,54 @@ def test_select():
     assert hrefs("a[href='/3']") == ["/3"] and hrefs("a[href^='/']") == ["/1", "/2", "/3"]
 
 
+SELECTOR_FAULT = object()
+PAGE = """<html><body><div id=top class="a b"><h1>T</h1><p class=x>1</p><p title="x y">2</p><span>s</span><p lang=en-GB title="p,q">3</p><h1>U</h1><p id="i:d">4</p></div>
+<ul><li>a</li><li class=n>b</li><li>c<ul><li>d</li><li class=n>e</li></ul></li><li>f</li><li class=n>g</li></ul><div></div><div> <!-- c --></div><em>only</em><a href="/1" data-n=5>l</a><a>m</a></body></html>"""
+
+#: A selector and the texts of what it finds.
+SELECTORS = {
+    "p:nth-of-type(2)": ["2"], "p:nth-of-type(odd)": ["1", "3"], "p:nth-last-of-type(1)": ["4"], "#top > :nth-child(2n+1)": ["T", "2", "3", "4"], "#top > *:nth-last-child(-n + 2)": ["U", "4"], "#top p:nth-child(4n-1)": ["2", "4"],
+    "h1 + p": ["1", "4"], "h1 ~ p": ["1", "2", "3", "4"], "p ~ h1": ["U"], "h1~h1+p": ["4"], "h1 + span": [], "p:not(.x, [title])": ["4"], "#top :not(p):not(h1)": ["s"], "p:first-of-type": ["1"], ":first-child:not(body *)": None,
+    '[title="x y"]': ["2"], '[title="p,q"]': ["3"], "[title='p,q'], [title=\"x y\"]": ["2", "3"], r"#i\:d": ["4"], r"#i\3a d": ["4"], "[lang|=en]": ["3"], "[lang|=e]": [], "[title~=y]": ["2"], "[title^='x']": ["2"], "[title$=q]": ["3"],
+    "[title*=',']": ["3"], "[title*='']": [], "[lang='EN-gb' i]": ["3"], "[lang='EN-gb']": [], "p[title!='x y']": ["1", "3", "4"], "[data-n='5']": ["l"], "ul ul li:last-child": ["e"], "ul > li:nth-child(2 of .n)": ["g"],
+    "li:nth-child(-n+2 of :not(.n))": ["a", "cde", "d"], "li:has(> ul)": ["cde"], "li:has(li.n)": ["cde"], "p:has(+ h1)": ["3"], "h1:has(~ span)": ["T"], "h1:has(+ p.x)": ["T"], "div:has(p):has(span)": None, ":is(h1, span)": ["T", "s", "U"],
+    "div:empty": ["", " "], "em:only-of-type": ["only"], "p:contains('4')": ["4"], "a:link": ["l"], "a:not([href])": ["m"], "DIV.b H1:last-of-type": ["U"], "a:hover": [], "li.n , em": ["b", "e", "g", "only"], "ul/* x */li li": ["d", "e"],
+    "body > ul > li:nth-child(3) li + li": ["e"], "div.a.b>h1": ["T", "U"], "*|x": SELECTOR_FAULT, "p:": SELECTOR_FAULT, "p:nth-child(x)": SELECTOR_FAULT, "p >": SELECTOR_FAULT, "> p": SELECTOR_FAULT, "a[href": SELECTOR_FAULT, "": SELECTOR_FAULT, "p::before": SELECTOR_FAULT,
+    "a,,b": SELECTOR_FAULT, ":frob": SELECTOR_FAULT, ":not(": SELECTOR_FAULT, "p)": SELECTOR_FAULT, "a[b=c d]": SELECTOR_FAULT, ":not(" * 40 + "a" + ")" * 40: SELECTOR_FAULT, "a { b }": SELECTOR_FAULT, "[x='1]": SELECTOR_FAULT,
+}
+
+
+def test_selectors():
+    tree = h.parsed(PAGE)
+    for selector, want in SELECTORS.items():
+        if want is SELECTOR_FAULT:
+            assert (fault(selector) or "").startswith("selector not understood: "), selector
+            with pytest.raises(SelectorError):
+                h.select(tree, selector)
+        elif want is not None:
+            assert fault(selector) is None and ["".join(h._texts(n)) for n in h.select(tree, selector)] == want, selector
+    assert [n[0] for n in h.select(tree, "div:has(p):has(span)")] == ["div"] and [n[0] for n in h.select(tree, ":root")] == ["html"]
+    # many siblings and deep nesting take neither long nor the stack
+    wide = h.parsed("<p>" + "<b>x</b><i>y</i>" * 20_000)
+    assert len(h.select(wide, "b ~ i:nth-of-type(2n)")) == 10_000 and len(h.select(wide, "p:has(b + i) > b:nth-last-child(2)")) == 1
+    deep = h.parsed("<div>" * 5000 + "<p class=c>x")
+    assert len(h.select(deep, "div div div > p")) == 1 and len(h.select(deep, "div:has(p)")) == 5000 and len(h.select(deep, "div + div p, p:not(div div *)")) == 0
+
+
+def test_a_page_may_be_nested_deeply():
+    page = "<div>" * 5000 + "a<b>b</b>c" + "</div>" * 5000
+    assert h.skeleton_text(page, 10**9).count("<div>") == 5000
+    assert h.chapter_of(page, "div", None, ["b"]) == (None, "ac", None)
+    assert h.chapter_of("<p>a<b>b</b>c<br>d<script>x</script>e<!-- n -->f</p>", "p", "b", []) == ("b", "a\nb\nc\nd\nef", None)
+
+
+def test_a_bad_selector_is_a_rows_error(spark):
+    df = spark.createDataFrame([("<p>a", "p:first-child"), ("<p>a", "p::x"), ("<p>a", None)], "page string, sel string")
+    got = df.select(F.size(h.css_select("page", "sel")).alias("n"), h.selector_fault("sel").alias("wrong"), h.chapters_of(F.col("page"), "p[", None, []).alias("c"), h.css_select_all(F.col("page"), ["p", "p["]).alias("all")).collect()
+    assert [(r.n, r.wrong) for r in got] == [(1, None), (None, "selector not understood: a pseudo-element at 1 of 'p::x'"), (None, None)]
+    assert all(r.c.body is None and r.c.error.startswith("selector not understood") and len(r.all[0]) == 1 and r.all[1] is None for r in got)
+
+
 def test_select_column(spark):
     df = spark.createDataFrame([("<p>a<p class=x>b", "p.x"), (None, "p")], "page string, sel string")
     got = [r.x for r in df.select(h.css_select("page", "sel").alias("x")).collect()]
