@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from .errors import BookError, ConfigError, FetchError, ModelError
 from .functions.html import chapters_of, css_select, css_select_all, selector_fault, skeleton
 from .functions.text import chapter_file, chapter_path, normalize_text, normalize_whitespace, optional, recover_json, slugify
-from .functions.urls import authority, urljoin
+from .functions.selectors import fault
+from .functions.urls import authority, origin, urljoin
 from .operators.pages import cover_url, selector_issues
+from .operators.robots import parse as parse_robots
 from .plans import crawl as runs
 from .plans import epub, toc
 from .sources import models, sinks
-
+from .sources.http import HttpFetcher, robots_files
+from .sources.pages import Politeness, Response, fetch_pages
 
 #: From a DataFrame of `url` to one of (url, html).
 Fetch = Callable[[DataFrame], DataFrame]
@@ -69,6 +73,15 @@ class Site:
         return cls(**{k: tuple(v) if k == "remove_selectors" else v for k, v in row.items() if k in cls.__dataclass_fields__})
 
 
+def check_selectors(site: Site) -> None:
+    """ConfigError for the first of a site's selectors that isn't understood."""
+    for key, value in asdict(site).items():
+        if "selector" in key:
+            for one in value if isinstance(value, tuple) else (value,):
+                if wrong := fault(one):
+                    raise ConfigError(f"{key}: {wrong}")
+
+
 def find_config(target: str, configs: str = "configs") -> Path:
     """The file itself, or one of that name in the folder of configs."""
     name = target if target.endswith(".json") else f"{target}.json"
@@ -204,6 +217,7 @@ def crawl(
     and failures take none of it. fail_fast goes chapter by chapter and ends at the first failure. The manifest says `running` while the
     run goes on, then `completed`, `failed` or, after an interruption, `interrupted` with what had been written by then.
     """
+    check_selectors(site)
     if pages is None:
         if fetch is None:
             raise ValueError("a crawl needs pages or a fetch function")
@@ -258,6 +272,31 @@ def crawl(
     return Run(_union(done, rows), counters, root)
 
 
+def live(spark: SparkSession, site: Site, *, obey_robots: bool = True, fetch: Callable[[str], Response] | None = None, sleep: Callable[[float], None] = time.sleep) -> Fetch:
+    """A fetch function for `crawl` that asks the site itself: with its delay, timeout, retries and user agent, and within its robots rules.
+    Without fetch, over HTTP. A page that can't be had has no html."""
+    one = fetch or HttpFetcher(site.user_agent, site.timeout_seconds)
+    rules = Politeness(max(1, site.retry_attempts), site.retry_backoff_seconds, site.request_delay_seconds, sleep)
+    known: dict[str, DataFrame] = {}
+
+    def get(urls: DataFrame) -> DataFrame:
+        robots = None
+        if obey_robots:
+            # the few origins of a site, whose files are asked for once
+            for r in urls.select(origin(F.col("url")).alias("o")).filter("o <> ''").distinct().toLocalIterator():
+                if r.o not in known:
+                    known[r.o] = _plain(robots_files(spark.createDataFrame([(r.o + "/",)], "url string"), one, 1))
+            robots = parse_robots(reduce(DataFrame.unionByName, known.values(), spark.createDataFrame([], "origin string, body string")))
+        return fetch_pages(urls, one, rules, robots=robots, agent=site.user_agent).select("url", F.col("body").alias("html"))
+
+    return get
+
+
+def crawl_live(spark: SparkSession, site: Site, share_root: str, *, obey_robots: bool = True, **options) -> Run:
+    """A crawl of the site itself in one call; options are those of `crawl`."""
+    return crawl(spark, site, None, share_root, fetch=live(spark, site, obey_robots=obey_robots), **options)
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from http.cookiejar import CookieJar
 from urllib.error import HTTPError
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit, urlunsplit
 from urllib.request import HTTPCookieProcessor, Request, build_opener
 
 import pandas as pd
@@ -27,6 +27,7 @@ HEADERS = {
     "Sec-Fetch-Dest": "document",
     "Sec-Fetch-Mode": "navigate",
     "Sec-Fetch-Site": "none",
+    "Sec-Fetch-User": "?1",
     "DNT": "1",
 }
 
@@ -52,6 +53,20 @@ def charset_of(content_type: str | None, raw: bytes) -> str:
     return "utf-8"
 
 
+def asked_for(url: str) -> str:
+    """A URL as it can be sent: spaces and letters beyond ASCII as percent codes, the host in its ASCII form."""
+    parts = urlsplit(url.strip())
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise ValueError(f"not a URL to fetch: {url!r}")
+    host = parts.netloc
+    if not host.isascii():
+        user, at, name = host.rpartition("@")
+        name, colon, port = name.partition(":")
+        host = f"{quote(user)}{at}{name.encode('idna').decode()}{colon}{port}"
+    own = "%/:=&?~+!$,;'@()*[]"
+    return urlunsplit((parts.scheme, host, quote(parts.path, own), quote(parts.query, own), ""))
+
+
 @dataclass
 class HttpFetcher:
     """fetch(url) -> Response. A task gets its own copy, with its own cookies and its own page before."""
@@ -70,10 +85,11 @@ class HttpFetcher:
         return Request(url, headers=own | ({"Referer": self._before} if self._before else {}))
 
     def __call__(self, url: str) -> Response:
+        sent = asked_for(url)
         if self._opener is None:
             self._opener = build_opener(HTTPCookieProcessor(CookieJar()))
         try:
-            answer = self._opener.open(self.request(url), timeout=self.timeout_seconds)
+            answer = self._opener.open(self.request(sent), timeout=self.timeout_seconds)
         except HTTPError as e:  # an answer like any other; who asks judges it
             answer = e
         with answer:
@@ -85,11 +101,11 @@ class HttpFetcher:
                 body = raw.decode("utf-8", "replace")
             status, final = answer.status, answer.url
         if status < 400:
-            self._before = url
+            self._before = sent
         return Response(final, status, body, kind)
 
 
-def robots_files(urls: DataFrame, fetch: Callable[[str], Response], origins_at_once: int = 8) -> DataFrame:
+def robots_files(urls: DataFrame, fetch: Callable[[str], Response], origins_at_once: int = 64) -> DataFrame:
     """(origin, body) for every origin of a column `url`; one whose file can't be had has an empty one."""
 
     def run(batches):
@@ -99,7 +115,7 @@ def robots_files(urls: DataFrame, fetch: Callable[[str], Response], origins_at_o
                 try:
                     r = fetch(f"{x}/robots.txt")
                     bodies.append(r.body if r.status < 400 else "")
-                except OSError:
+                except Exception:  # whatever keeps the file away, there are no rules then
                     bodies.append("")
             yield pd.DataFrame({"origin": batch["origin"], "body": bodies})
 

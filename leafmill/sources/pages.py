@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from http.client import HTTPException, InvalidURL
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,33 +40,67 @@ class Politeness:
     backoff_seconds: float = 2.0
     delay_seconds: float = 1.0
     sleep: Callable[[float], None] = field(default=time.sleep)
+    clock: Callable[[], float] = field(default=time.monotonic)
+
+
+class Throttle:
+    """Keeps the gap between the starts of one origin's requests, every attempt counted."""
+
+    def __init__(self, rules: Politeness):
+        self._rules = rules
+        self._last: dict[str, float] = {}
+
+    def wait(self, host: str) -> None:
+        """Return when a request to host may start; it counts as started then."""
+        if host in self._last:
+            while (left := self._last[host] + self._rules.delay_seconds - self._rules.clock()) > 0:
+                self._rules.sleep(left)
+        self._last[host] = self._rules.clock()
 
 
 def usable_response(r: Response) -> bool:
     return r.status < 400 or len(r.body.strip()) > 500
 
 
-def fetch_one(url: str, fetch: Callable[[str], Response], rules: Politeness) -> dict:
-    """One URL with its retries; a failure is a row with an error, not an exception."""
-    error = None
+def _asked(url: str, fetch: Callable[[str], Response]) -> tuple[Response | None, str | None, bool]:
+    """(response, error, whether asking again may help) of one request. Whatever the fetch function raises is the row's error."""
+    try:
+        r = fetch(url)
+    except (OSError, TimeoutError, HTTPException, zlib.error, EOFError) as e:  # the connection, or what came over it
+        return None, str(e) or type(e).__name__, not isinstance(e, InvalidURL)
+    except Exception as e:  # a URL that can't be asked for; asking again doesn't help
+        return None, f"{type(e).__name__}: {e}" if str(e) else type(e).__name__, False
+    if usable_response(r):
+        return r, None, False
+    return None, f"HTTP {r.status}", r.status in RETRIABLE_STATUS
+
+
+def _page(url: str, r: Response | None, attempts: int, error: str | None) -> dict:
+    return {"url": url, "final_url": r and r.final_url, "status": r and r.status, "content_type": r and r.content_type, "body": r and r.body, "attempts": attempts, "error": error}
+
+
+def fetch_one(url: str, fetch: Callable[[str], Response], rules: Politeness, before: Callable[[], None] = lambda: None) -> dict:
+    """One URL with its retries; a failure is a row with an error, not an exception. before is called ahead of every request."""
+    attempt, error = 0, None
     for attempt in range(1, rules.attempts + 1):
-        try:
-            r = fetch(url)
-            if usable_response(r):
-                return {"url": url, "final_url": r.final_url, "status": r.status, "content_type": r.content_type, "body": r.body, "attempts": attempt, "error": None}
-            error = f"HTTP {r.status}"
-            if r.status not in RETRIABLE_STATUS:
-                break
-        except (OSError, TimeoutError) as e:
-            error = str(e) or type(e).__name__
+        before()
+        r, error, again = _asked(url, fetch)
+        if r is not None:
+            return _page(url, r, attempt, None)
+        if not again:
+            break
         if attempt < rules.attempts:
             rules.sleep(rules.backoff_seconds * attempt)
-    return {"url": url, "final_url": None, "status": None, "content_type": None, "body": None, "attempts": attempt, "error": error}
+    return _page(url, None, attempt, error)
+
+
+#: Tasks that fetch at once, at most, where nothing else is said.
+MOST_TASKS = 4096
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Politeness | None = None, origins_at_once: int = 8, robots: DataFrame | None = None, agent: str = "") -> DataFrame:
-    """Fetch a column `url`. Requests of one origin are in one task, in turn, so the gap holds for the whole run.
-    robots: rules as operators.robots.parse gives them; what they forbid the agent is a row with an error and no request."""
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Politeness | None = None, origins_at_once: int | None = None, robots: DataFrame | None = None, agent: str = "") -> DataFrame:
+    """Fetch a column `url`. Requests of one origin are in one task, in turn, so the gap holds for the whole run, retries included. There are as many
+    tasks as origins unless origins_at_once says how many. robots: rules as operators.robots.parse gives them; what they forbid the agent is a row with an error and no request."""
     polite = rules or Politeness()
     if robots is not None:
         judged = allowed(urls.select("url"), robots, agent)
@@ -73,19 +109,16 @@ def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Polite
         return fetch_pages(judged.filter("can_fetch").select("url"), fetch, polite, origins_at_once).unionByName(no)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
+        gap = Throttle(polite)
         for batch in batches:
-            rows = []
             for url, host in zip(batch["url"], batch["__host"]):
-                wait = last.get(host, 0) + polite.delay_seconds - time.monotonic()
-                if host in last and wait > 0:
-                    polite.sleep(wait)
-                last[host] = time.monotonic()
-                rows.append(fetch_one(url, fetch, polite))
-            yield pd.DataFrame(rows, columns=["url", "final_url", "status", "content_type", "body", "attempts", "error"]).astype({"status": "Int32"})
+                # a page is passed on when it is there
+                yield pd.DataFrame([fetch_one(url, fetch, polite, lambda host=host: gap.wait(host))]).astype({"status": "Int32"})
 
-    hosts = urls.select("url", authority(F.col("url")).alias("__host")).repartition(origins_at_once, "__host")
-    return hosts.mapInPandas(run, PAGES)
+    hosts = urls.select("url", F.lower(authority(F.col("url"))).alias("__host"))
+    if origins_at_once is None:
+        origins_at_once = min(MOST_TASKS, max(1, hosts.agg(F.approx_count_distinct("__host")).first()[0]))
+    return hosts.repartition(origins_at_once, "__host").mapInPandas(run, PAGES)
 
 
 class _Slice(InputPartition):
@@ -104,12 +137,9 @@ class _Reader(DataSourceReader):
         return [_Slice(x) for x in by.values()] or [_Slice([])]
 
     def read(self, partition):
-        last = None
+        gap = Throttle(self._rules)
         for u in partition.urls:
-            if last is not None and (wait := last + self._rules.delay_seconds - time.monotonic()) > 0:
-                self._rules.sleep(wait)
-            last = time.monotonic()
-            r = fetch_one(u, self._fetch, self._rules)
+            r = fetch_one(u, self._fetch, self._rules, lambda: gap.wait(""))
             yield tuple(r[k] for k in ("url", "final_url", "status", "content_type", "body", "attempts", "error"))
 
 
