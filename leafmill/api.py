@@ -17,7 +17,7 @@ from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import BookError, ConfigError, FetchError, ModelError
@@ -232,8 +232,8 @@ def crawl(
     rows = runs.resume(found, spark.createDataFrame(there, "position long, n_bytes long"), "position", overwrite)
     rows = rows.withColumn("path", F.concat(F.lit("input/"), chapter_path(F.col("position"))))
     rows, about = _plain(rows), _plain(metadata(spark, site, pages))
-    _write_json(spark, root, "config.json", json.dumps(asdict(site), ensure_ascii=False, indent=2))
-    sinks.write_named_files(sinks.metadata_json(about).select(F.lit("metadata.json").alias("path"), "content"), root).count()
+    _write_json(root, "config.json", json.dumps(asdict(site), ensure_ascii=False, indent=2))
+    sinks.write_named_files(sinks.metadata_json(about).select(F.lit("metadata.json").alias("path"), "content"), root)
     book = _Manifest(spark, site, root, found, about)
     # skipped ones count up to where the run gets
     todo = [r.position for r in rows.filter("NOT skipped").select("position").orderBy("position").toLocalIterator()]
@@ -332,7 +332,7 @@ def _wave(spark: SparkSession, site: Site, rows: DataFrame, pages: DataFrame, fe
             break
         time.sleep(site.retry_backoff_seconds * (attempt + 1))
     new = out.filter("error IS NULL").select("path", chapter_file(F.col("title"), F.col("body")).alias("content"))
-    sinks.write_named_files(new, root).count()
+    sinks.write_named_files(new, root)
     status = F.when(F.col("error").isNull(), "fetched").otherwise("failed")
     return _plain(out.select("site", "position", "title", "url", "path", status.alias("status"), "error"))
 
@@ -347,8 +347,12 @@ def _tell(progress: Callable[[Event], None] | None, done: list[DataFrame], total
         progress(Event(r.position, total, r.status, r.title, r.url, None if r.error else r.path, r.error))
 
 
-def _write_json(spark: SparkSession, root: str, name: str, content: str) -> None:
-    sinks.write_named_files(spark.createDataFrame([(name, content + "\n")], "path string, content string"), root).count()
+def _write_json(root: str, name: str, content: str) -> None:
+    # one small document, from the driver
+    os.makedirs(root, exist_ok=True)
+    part = os.path.join(root, f".{name}.tmp")
+    Path(part).write_text(content + "\n", encoding="utf-8")
+    os.replace(part, os.path.join(root, name))
 
 
 class _Manifest:
@@ -372,7 +376,7 @@ class _Manifest:
             "generated_at": self._begun, "updated_at": datetime.now(UTC).isoformat(), "status": status, "config": asdict(self._site), "metadata": about,
             "runtime_output_dir": self._root, "chapter_output_dir": f"{self._root}/input", **counters, "discovered_chapters": json.loads(found.j), **listed,
         }
-        _write_json(self._spark, self._root, "manifest.json", json.dumps(whole, ensure_ascii=False, indent=2))
+        _write_json(self._root, "manifest.json", json.dumps(whole, ensure_ascii=False, indent=2))
         return counters
 
 
@@ -418,19 +422,26 @@ def import_books(spark: SparkSession, path: str, share_root: str, *, name: str |
         raise BookError(f"no importable chapters found in {path}")
     titles = epub.book_metadata(epub.package_files(epub.members(archives).filter("error IS NULL")))
     text = lambda c: optional(normalize_whitespace(F.col(c)))
-    about = chapters.select("path").distinct().join(titles, "path", "left")
+    # books whose names give one slug are numbered, by their paths
+    named = chapters.select("path").distinct().withColumn("slug", slug)
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("path"))
+    named = named.withColumn("place", place).select("path", F.when(F.col("place") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("place").cast("string"))).alias("slug"))
+    # a number may be another book's own name
+    if (twice := named.groupBy("slug").count().filter("count > 1").first()) is not None:
+        raise BookError(f"several books would be written to {twice.slug}: give them other names")
+    about = named.join(titles, "path", "left")
     about = about.select(
-        "path", slug.alias("slug"), F.coalesce(text("title"), F.coalesce(F.lit(name), stem)).alias("title"), text("author").alias("author"), F.col("path").alias("source_url"), F.lit(None).cast("string").alias("illustration_url"), slug.alias("site_name")
+        "path", "slug", F.coalesce(text("title"), F.coalesce(F.lit(name), stem)).alias("title"), text("author").alias("author"), F.col("path").alias("source_url"), F.lit(None).cast("string").alias("illustration_url"), F.col("slug").alias("site_name")
     ).cache()
     if not keep_existing:
         for r in about.select("slug").distinct().toLocalIterator():
             for old in (*Path(share_root, r.slug, "input").glob("chapter_*.txt"), *Path(share_root, r.slug, "illustrations").glob("*-*.*")):
                 old.unlink()
-    sinks.write_named_files(sinks.metadata_json(about).select(F.concat("slug", F.lit("/metadata.json")).alias("path"), "content"), share_root).count()
+    sinks.write_named_files(sinks.metadata_json(about).select(F.concat("slug", F.lit("/metadata.json")).alias("path"), "content"), share_root)
     of_book = about.select("path", "slug")
     files = chapters.join(of_book, "path").select(F.concat("slug", F.lit("/input/"), "file").alias("path"), F.col("text").alias("content"))
-    sinks.write_named_files(files, share_root).count()
-    sinks.write_named_files(images.join(of_book, "path").select(F.concat("slug", F.lit("/illustrations/"), "file").alias("path"), F.col("data").alias("content")), share_root).count()
+    sinks.write_named_files(files, share_root)
+    sinks.write_named_files(images.join(of_book, "path").select(F.concat("slug", F.lit("/illustrations/"), "file").alias("path"), F.col("data").alias("content")), share_root)
     n = lambda rows, c: rows.groupBy("path").agg(F.count("*").alias(c))
     summary = about.select("path", "slug", "title", "author").join(n(chapters, "n_chapters"), "path", "left").join(n(images, "n_illustrations"), "path", "left").join(n(warnings, "n_warnings"), "path", "left")
     return Import(chapters, images.orderBy("path", "index"), warnings, summary.na.fill(0, ["n_chapters", "n_illustrations", "n_warnings"]))

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 
 from .fixed import BLOCK_TAGS, HEADINGS, SKELETON_ATTRS, SKELETON_DROP, SKIP_TAGS
 from .selectors import Index, compiled, fault
-from .text import lines, normalize_text, unescape_basic
+from .text import lines, normalize_text, unescaped
 
 NODE = StructType().add("pos", IntegerType()).add("tag", StringType()).add("attrs", MapType(StringType(), StringType())).add("text", StringType())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -40,19 +40,21 @@ def plain_text(markup: Column) -> Column:
     x = markup
     for dropped in (flat_node("script"), flat_node("style"), flat_node("noscript"), r"(?s)<!--.*?-->"):
         x = F.regexp_replace(x, dropped, "\n")  # the texts on its sides stay apart
-    x = unescape_basic(F.regexp_replace(x, r"(?s)<[^>]+>", "\n"))
+    x = unescaped(F.regexp_replace(x, r"(?s)<[^>]+>", "\n"))
     return F.array_join(F.filter(F.transform(lines(x), normalize_text), lambda v: v != ""), "\n")
 
 
 def inner_text(markup: Column) -> Column:
-    return unescape_basic(F.regexp_replace(markup, r"(?s)<[^>]+>", ""))
+    return unescaped(F.regexp_replace(markup, r"(?s)<[^>]+>", ""))
 
 
 def anchors(pages: DataFrame, page: str = "html") -> DataFrame:
     """pages with pos, href and link_text for each anchor that has a non-empty href."""
     found = F.regexp_extract_all(F.col(page), F.lit(r"(?is)(<a\s[^>]*>.*?)</a>"), 1)
     out = pages.select("*", F.posexplode(found).alias("pos", "__a"))
-    out = out.withColumn("href", unescape_basic(F.regexp_extract("__a", r"(?is)^<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1)))
+    # the value in quotes of either kind, or up to white space
+    held = [F.regexp_extract("__a", rf"(?is)^<a\s(?:[^>]*?[\s\"'])?href\s*=\s*{v}", 1) for v in (r"\"([^\"]*)\"", r"'([^']*)'", r"([^\s\"'>]+)")]
+    out = out.withColumn("href", unescaped(F.concat(*held)))
     return out.withColumn("link_text", normalize_text(inner_text(F.regexp_replace("__a", r"(?s)^<[^>]*>", "")))).filter("href <> ''").drop("__a")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -176,8 +177,34 @@ def unescape_html(x: pd.Series) -> pd.Series:
     return x.map(lambda v: html.unescape(v) if v is not None and _UNESCAPED.search(v) else v)
 
 
-def unescape_basic(x: Column) -> Column:
-    """The entities of plain markup, without leaving the JVM; the ampersand last, so nothing is decoded twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+#: A reference, or what stands between two.
+_REFERENCES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+#: References that old pages write without their semicolon, the longest of them, and what numbers of the C1 range stand for in pages.
+_BARE = {k: v for k, v in html5.items() if not k.endswith(";")}
+_LONGEST = max(map(len, _BARE))
+_C1 = "".join(bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(0x80, 0xA0))
+
+
+def _of_code(code: Column) -> Column:
+    """The character of a code point as references mean it; null is one beyond all."""
+    beyond = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    none = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(beyond, "\ufffd").when(code.between(0x80, 0x9F), F.substring(F.lit(_C1), (code - 0x7F).cast("int"), F.lit(1))).when(none, "").otherwise(char)
+
+
+def unescaped(x: Column) -> Column:
+    """All character references of HTML, named and numeric, with or without their semicolons, as html.unescape reads them; without leaving the JVM."""
+    table = lambda names: F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # noqa: E731  one literal once the plan is folded
+    every, bare = table(html5), table(_BARE)
+
+    def one(token: Column) -> Column:
+        name = F.substring(token, 2, 40)
+        digits = F.regexp_replace(F.regexp_extract(token, r"^&#[xX]?0*([0-9a-fA-F]*)", 1), "^$", "0")
+        number = F.when(token.rlike("^&#[xX]"), F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("bigint"))).otherwise(F.when(F.length(digits) <= 10, digits.try_cast("bigint")))
+        # no whole name: the longest that it begins with
+        begun = [F.when(F.length(name) > n, F.concat(F.try_element_at(bare, F.left(name, F.lit(n))), F.substring(name, n + 1, 40))) for n in range(_LONGEST, 1, -1)]
+        named = F.coalesce(F.try_element_at(every, name), *begun, token)
+        return F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token).when(F.startswith(token, F.lit("&#")), F.when(token.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), _of_code(number)).otherwise(token)).otherwise(named)
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFERENCES), 0), one), "")

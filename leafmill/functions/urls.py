@@ -33,22 +33,28 @@ def fold_dots(path: Column) -> Column:
 
 
 def urljoin(base: Column, ref: Column) -> Column:
-    """RFC 3986 resolution of ref against an absolute base."""
-    root = origin(base)
+    """Resolution of ref against an absolute base as the standard library does it: a fragment or query that is empty goes with its sign, empty segments of
+    a relative path are closed up, and a scheme of the base's own with no authority after it is as if it weren't there."""
     scheme = F.regexp_extract(base, _SCHEME, 0)
+    own = F.startswith(F.lower(ref), F.lower(scheme)) & ~F.startswith(F.substr(ref, F.length(scheme) + 1), F.lit("//")) & F.lower(scheme).isin("http:", "https:", "ftp:", "file:")
+    to = F.when(own, F.substr(ref, F.length(scheme) + 1)).otherwise(ref)
+    root = origin(base)
+    whole = F.regexp_extract(base, r"^[^#]*", 0)
     bare = F.regexp_extract(base, r"^[^?#]*", 0)
     path = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     folder = F.regexp_extract(path, r"^(.*/)?", 0)
-    ref_path = F.regexp_extract(ref, r"^[^?#]*", 0)
-    ref_rest = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    to_path = F.regexp_extract(to, r"^[^?#]*", 0)
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(to, r"^[^?#]*(.*)$", 1), r"#$", ""), r"^\?(?=#|$)", "")
+    inside = F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), to_path), "/{2,}", "/")
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"#$", ""), r"^([^?#]*)\?(?=#|$)", "$1")
     return (
-        F.when(ref.rlike(_SCHEME), ref)
-        .when(ref == "", base)
-        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
-        .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_extract(base, r"^[^#]*", 0), ref))
-        .when(F.startswith(ref, F.lit("?")), F.concat(bare, ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(root, fold_dots(ref_path), ref_rest))
-        .otherwise(F.concat(root, fold_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path)), ref_rest))
+        F.when(ref == "", base)
+        .when(to.rlike(_SCHEME), F.when(F.startswith(F.lower(to), F.lower(scheme)), trimmed(to)).otherwise(to))
+        .when(F.startswith(to, F.lit("//")), trimmed(F.concat(scheme, to)))
+        .when((to_path == "") & F.startswith(rest, F.lit("?")), F.concat(bare, rest))
+        .when(to_path == "", F.concat(trimmed(whole), rest))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, fold_dots(to_path), rest))
+        .otherwise(F.concat(root, fold_dots(inside), rest))
     )
 
 

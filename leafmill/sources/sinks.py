@@ -2,36 +2,88 @@
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 JSON = {"pretty": "true", "ignoreNullFields": "false"}
 
 
-def write_named_files(rows: DataFrame, root: str) -> DataFrame:
-    """Write (path, content) as files with exact names below root, each to a temporary name and then
-    renamed, so one that exists is whole. root is on a file system that all executors share. Returns
-    (path, n_bytes); nothing is written before that is read."""
+FILES = "leafmill_files"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = []
-            for path, content in zip(batch["path"], batch["content"]):
-                data = content.encode() if isinstance(content, str) else bytes(content)
-                to = os.path.join(root, path)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                part = f"{to}.{os.getpid()}.tmp"
+
+@dataclass
+class _Staged(WriterCommitMessage):
+    """A task's list of what it has written: a file of lines (size, temporary name, own name)."""
+
+    listed: str
+
+
+class _FileWriter(DataSourceWriter):
+    """Tasks write below a folder of the job's own; the driver's commit gives the files their names. A job that fails, and an attempt that another
+    outruns, leave nothing but what abort or the commit takes away."""
+
+    def __init__(self, root: str):
+        self.root, self.job = root, os.path.join(root, f".files-{uuid.uuid4().hex}")
+
+    def write(self, rows: Iterator[Row]) -> _Staged:
+        own = os.path.join(self.job, uuid.uuid4().hex)
+        os.makedirs(own)
+        listed = os.path.join(own, "list")
+        with open(listed, "w", encoding="utf-8") as names:
+            for n, row in enumerate(rows):
+                to = os.path.normpath(os.path.join(self.root, row.path))
+                if os.path.relpath(to, self.root).startswith(".."):
+                    raise ValueError(f"a file outside {self.root}: {row.path}")
+                data = bytes(row.content)
+                part = os.path.join(own, str(n))
                 with open(part, "wb") as f:
                     f.write(data)
-                os.replace(part, to)
-                sizes.append(len(data))
-            yield pd.DataFrame({"path": batch["path"], "n_bytes": sizes})
+                names.write(json.dumps([len(data), part, to]) + "\n")
+        return _Staged(listed)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        for m in messages:
+            if m is not None:
+                with open(m.listed, encoding="utf-8") as names:
+                    for line in names:
+                        _, part, to = json.loads(line)
+                        os.makedirs(os.path.dirname(to), exist_ok=True)
+                        os.replace(part, to)
+        shutil.rmtree(self.job, ignore_errors=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.job, ignore_errors=True)
+
+
+class NamedFiles(DataSource):
+    """`df.write.format("leafmill_files").option("root", folder)`: rows (path, content) as files with exact names."""
+
+    @classmethod
+    def name(cls):
+        return FILES
+
+    def schema(self):
+        return "path string, content binary"
+
+    def writer(self, schema, overwrite: bool):
+        return _FileWriter(os.path.abspath(self.options["root"]))
+
 
-    return rows.select("path", "content").mapInPandas(write, "path string, n_bytes long")
+def write_named_files(rows: DataFrame, root: str) -> None:
+    """Write (path, content) as files with exact names below root, which is on a file system that all executors share: all of them or, where the job fails, none. A file
+    that exists is whole at any time; of rows with one path any one stays. Null contents are left out."""
+    spark = rows.sparkSession
+    spark.dataSource.register(NamedFiles)
+    out = rows.filter("content IS NOT NULL").select("path", F.col("content").cast("binary").alias("content"))
+    out.write.format(FILES).mode("append").option("root", root).save()
 
 
 def write_chapters(rows: DataFrame, path: str, keep_existing: bool = False) -> None:

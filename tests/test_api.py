@@ -163,10 +163,30 @@ def test_settings():
 
 def test_nested_removal():
     page = "<div id=c>a<div class=x>b<div class=x>c</div></div>d<br>e<script>f</script></div>"
-    assert chapter_of(page, "#c", None, [".x"]) == (None, "ad\ne")
+    assert chapter_of(page, "#c", None, [".x"]) == (None, "ad\ne", None)
     assert chapter_of(page, "#none", "h1", []) == (None, None)
 
 
 def test_unused_pages_do_no_harm(spark, pages):
     more = pages.withColumn("extra", F.lit(1)).unionByName(spark.createDataFrame([("http://o.example/", None, 2)], "url string, html string, extra int"))
     assert api.discover(spark, SITE, more.drop("extra")).count() == 3
+
+
+def test_books_of_one_name_do_not_overwrite_each_other(spark, tmp_path):
+    import io
+    import zipfile
+
+    def book(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfile full-path="c.opf"/></container>')
+            z.writestr("c.opf", '<package><metadata/><manifest><item id="a" href="1.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+            z.writestr("1.xhtml", f"<h1>Chapter 1</h1>{text}")
+        return out.getvalue()
+
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "Same Book.epub").write_bytes(book(folder))
+    got = api.import_books(spark, str(tmp_path / "in/*"), str(tmp_path / "out"))
+    assert sorted(r.slug for r in got.summary.collect()) == ["same-book", "same-book-2"]
+    assert [(tmp_path / "out" / s / "input/chapter_1.txt").read_text().split()[-1] for s in ("same-book", "same-book-2")] == ["a", "b"]

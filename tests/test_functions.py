@@ -78,6 +78,34 @@ def test_paths(spark):
     assert column(spark, ["http://a.b/c/d/", "http://a.b"], u.config_name) == ["d", "a-b"]
 
 
+MORE_REFS = ["#", "#x", "?", "a#", "a?", "a?#", "a?#f", "a//b", "a//", "../..//x", "/a//b", "http:g", "http:", "HTTP:g", "http:?q", "https:g", "mailto:x", "http://o/?#", "http://o//x", "//o/#", "//o", "./", "..", "a/./", "a/../", ".", ";p", "a;p?q", "g?y/./x", "g#s/../x"]
+
+
+def test_urljoin_beside_the_standard(spark):
+    for base in ("http://h.example/b/c?d=1#f", "http://h.example", "http://h.example/", "http://h.example/a//b/", "https://h.example/x/y/z"):
+        got = column(spark, MORE_REFS, lambda c: u.urljoin(F.lit(base), c))  # noqa: B023
+        assert dict(zip(MORE_REFS, got)) == {r: urljoin(base, r) for r in MORE_REFS}, base
+
+
+REFERENCES = [
+    "a &amp; b", "&lt;p&gt;", "&amp;lt;", "&nbsp;x&copy;&middot;", "&eacute;&Eacute;&hellip;&mdash;", "&notit;", "&notin;", "&not", "&copy2", "&amp", "AT&T", "&", "&&amp;&", "&;", "& amp;", "&frac12;&frac12x", "&CounterClockwiseContourIntegral;",
+    "&#65;&#x41;&#X41;&#65&#x41g", "&#0;&#xD800;&#x110000;&#99999999999;&#x99999999999;", "&#128;&#x80;&#129;&#150;", "&#1;&#11;&#13;&#9;&#127;&#xFDD0;&#xFFFE;&#x1FFFF;", "&#128512;&#x1F600;", "&#;&#x;&#xg;&#a", "&nosuch;", "&nosuchnameatall", "&acE;", "&fj;lig&fjlig;", "&lt&gt",
+    "&#000065;&#x000000041;", "é&eacute", "x" * 50 + "&amp;" + "y" * 50, "&" + "a" * 60, "", "\n&amp;\r\n",
+]
+
+
+def test_references_as_the_standard_library_reads_them(spark):
+    got = column(spark, REFERENCES, t.unescaped)
+    assert dict(zip(REFERENCES, got)) == {x: html.unescape(x) for x in REFERENCES}
+    assert column(spark, [None], t.unescaped) == [None]
+
+
+def test_hrefs_in_any_quotes(spark):
+    page = "<a href=/1>a</a><a class='x' href='/2&amp;y'>b</a><a HREF = \"/3\">c</a><a data-href='/no'>d</a><a\nhref=/4 id=x>e</a><a title='href=/no'>f</a><a href=''>g</a>"
+    df = spark.createDataFrame([(page,)], "html string")
+    assert [r.href for r in h.anchors(df).orderBy("pos").collect()][:4] == ["/1", "/2&y", "/3", "/4"]
+
+
 def test_plain_text(spark):
     page = "<div>One <b>two</b><br>three<script>x</script><!-- no --> &amp; four</div>"
     assert column(spark, [page], h.plain_text) == ["One\ntwo\nthree\n& four"]

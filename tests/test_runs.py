@@ -3,6 +3,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import robots
@@ -67,11 +68,37 @@ def test_models(spark):
 
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("n/input/chapter_1.txt", "é\n"), ("n/input/chapter_2.txt", "b")], "path string, content string")
-    assert {(r.path[-5:], r.n_bytes) for r in sinks.write_named_files(rows, str(tmp_path)).collect()} == {("1.txt", 3), ("2.txt", 1)}
+    sinks.write_named_files(rows, str(tmp_path))
     assert (tmp_path / "n/input/chapter_1.txt").read_text() == "é\n"
     assert len(list((tmp_path / "n/input").iterdir())) == 2
 
 
+def test_a_job_that_fails_leaves_no_file(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/3.txt").write_text("old")
+    rows = spark.range(40).select(F.format_string("n/%d.txt", "id").alias("path"), F.when(F.col("id") == 37, F.raise_error(F.lit("torn"))).otherwise(F.col("id").cast("string")).alias("content")).repartition(8)
+    with pytest.raises(Exception, match="torn"):
+        sinks.write_named_files(rows, str(tmp_path))
+    with pytest.raises(Exception, match="outside"):
+        sinks.write_named_files(spark.createDataFrame([("n/1.txt", "x"), ("../up.txt", "y")], "path string, content string").coalesce(1), str(tmp_path))
+    assert [p.name for p in tmp_path.rglob("*")] == ["n", "3.txt"] and (tmp_path / "n/3.txt").read_text() == "old"
+    sinks.write_named_files(rows.filter("path <> 'n/37.txt'").withColumn("content", F.col("path")), str(tmp_path))
+    assert len(list((tmp_path / "n").iterdir())) == 39 and (tmp_path / "n/3.txt").read_text() == "n/3.txt" and [p.name for p in tmp_path.iterdir()] == ["n"]
+    sinks.write_named_files(rows.limit(0), str(tmp_path))
+
+
+def test_an_attempt_that_is_not_committed_writes_nothing(tmp_path):
+    """What speculation leaves: two attempts of one task, of which one is committed."""
+    from pyspark.sql import Row
+
+    job = sinks._FileWriter(str(tmp_path))
+    job.write(iter([Row(path="a.txt", content=b"lost")]))
+    kept = job.write(iter([Row(path="a.txt", content=b"kept"), Row(path="b/c.txt", content=b"")]))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == []
+    job.commit([kept, None])
+    assert (tmp_path / "a.txt").read_bytes() == b"kept" and (tmp_path / "b/c.txt").read_bytes() == b"" and len(list(tmp_path.iterdir())) == 2
+
+
 def test_metadata_json(spark):
     df = spark.createDataFrame([("T", None, "u", None, "s")], "title string, author string, source_url string, illustration_url string, site_name string")
     got = json.loads(sinks.metadata_json(df).first().content)
