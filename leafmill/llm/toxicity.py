@@ -70,10 +70,12 @@ def beginnings(word: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Inverted index of rows of non-negative weights. rows: (row, term, weight) arrays, terms below size."""
+    """Inverted index of rows of non-negative weights. rows: (row, term, weight) arrays, terms below size. Of equal products the row with the smaller `prefer` goes first,
+    by default its number."""
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, size: int, block: int = BLOCK):
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, size: int, block: int = BLOCK, prefer: np.ndarray | None = None):
         self.n, self.block = n, block
+        self.prefer = np.arange(n) if prefer is None else prefer
         self.n_blocks = max(1, -(-n // block))
         order = np.lexsort((row, term))
         row, term, weight = row[order], term[order], weight[order]
@@ -88,7 +90,7 @@ class BlockMaxIndex:
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term[~inside], minlength=size))])
 
     def top(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the (scores, rows) of the k highest products above 0, ties to the lower row."""
+        """For each text the (scores, rows) of the k highest products above 0, ties to the row that is preferred."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         cut = np.searchsorted(owner, np.arange(0, texts + GROUP, GROUP))
         for g, a, z in zip(range(0, texts, GROUP), cut.tolist(), cut[1:].tolist()):
@@ -132,7 +134,7 @@ class BlockMaxIndex:
                 own = flat[near]
                 near = near[own >= np.partition(own, -k)[-k] - 1e-9]
             own = np.round(flat[near], 12)
-            best = np.argsort(-own, kind="stable")[:k]
+            best = np.lexsort((self.prefer[near], -own))[:k]
             out.append((own[best], near[best]))
         return out
 
@@ -336,9 +338,9 @@ def _index(model: Model, rows: pa.Table, strong: np.ndarray, stands_for: np.ndar
     order = full[np.lexsort((full, heaviest(often[term])[full], heaviest(strong[term])[full]))]
     place = np.full(len(size), -1)
     place[order] = np.arange(len(order))
-    model.index = BlockMaxIndex(place[owner], term, weight, len(order), len(model.terms))
     labels = rows.column("toxic").to_numpy()[order]
     model.labels, model.ids = labels.astype(float), rows.column("doc_id").to_numpy()[order]
+    model.index = BlockMaxIndex(place[owner], term, weight, len(order), len(model.terms), prefer=model.ids)
     by = np.argsort(place[owner], kind="stable")
     found = model.votes(place[owner][by], term[by], weight[by], len(order), np.arange(len(order)))
     raw = np.array([v for v, _ in found])
