@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import io
+import time
 import zipfile
 from collections.abc import Callable
 
@@ -18,8 +19,11 @@ from .operators import pages as pg
 from .operators import robots
 from .oracles import ORACLES
 from .plans import crawl, epub, logs, site_config, toc
+from .session import scratch
 from .sources import models
 from .sources import pages as sources
+from .sources.cache import SegmentedCache
+from .streaming import frontier
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -463,6 +467,35 @@ def damaged_books(s, d):
     return out.select(_book(), "title", F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), "wrong")
 
 
+def cache_store(s, d):
+    """Pages put, some put again, some dropped, all folded together, and some put once more: what the cache has then."""
+    cache = SegmentedCache(s, scratch(s, "cache"))
+    rows = _t(s, d, "pages").select("page_id", t.cache_key(F.col("url")).alias("key"), F.col("html").alias("body"), "url")
+    cache.put(rows)
+    cache.put(rows.filter("page_id % 3 = 0").withColumn("body", F.concat(F.lit("second "), "url")))
+    cache.drop(rows.filter("page_id % 5 = 0"))
+    cache.compact()
+    cache.put(rows.filter("page_id % 7 = 0").withColumn("body", F.concat(F.lit("third "), "url")))
+    return cache.read()
+
+
+def frontier_pages(s, d):
+    """All pages' URLs, each twice, through the frontier's stream: what was fetched, in how many attempts, and with what error."""
+
+    def fetch(url):
+        if "spam" in url:
+            raise OSError("no route")
+        return sources.Response(url + "/", 200, "body of " + url)
+
+    land, out = scratch(s, "frontier"), scratch(s, "frontier_pages")
+    urls = _t(s, d, "pages").select("url")
+    urls.unionByName(urls).write.parquet(land)
+    stream = s.readStream.schema("url string").parquet(land)
+    query = frontier.run(stream, out, scratch(s, "frontier_state"), fetch, sources.Politeness(2, 0, 0, clock=time.time), burst_seconds=600)
+    frontier.until_idle(query, 1, 900)
+    return s.read.schema(frontier.FETCHED).parquet(out).select("url", "final_url", "body", F.col("attempts").cast("long").alias("attempts"), "error")
+
+
 def preview_topk(s, d):
     out = crawl.preview(_titled(s, d), ["host"], "page_id", 3)
     return out.select("host", "n", "page_id", "more")
@@ -505,7 +538,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         marker_substitution, page_quality, http_usable, origin_robots, known_domain_config, selector_report, cache_lookup, config_defaults, selector_dedup, llm_json_recover,
         log_correlate, log_summary, referer_gap, progress_labels, css_url_srcset, slug_ascii, truncate_text, redact_secrets, preview_topk, url_resolution, normalized_text,
         config_names, first_attempt, page_charset, redact_flat_secrets, section_text, css_links, chapter_by_selectors, page_through_cache, slug_any, fetched_pages, model_answers, call_join,
-        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles, damaged_books, selectors_structural, selector_faults,
+        resource_paths, model_retries, response_rows, merged_configs, book_chapters, book_illustrations, book_titles, damaged_books, selectors_structural, selector_faults, cache_store, frontier_pages,
     )
 }
 QUERIES["order_chapters_asc"] = lambda s, d: _ordered(s, d, False, True)

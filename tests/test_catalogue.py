@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from leafmill import catalogue
@@ -53,3 +54,27 @@ def test_many_walks_pass_the_sessions_row_limit(spark):
     starts = spark.createDataFrame([(i, i) for i in range(20)], "start long, page long")
     want = brute_walks(range(20), {i: i + 1 for i in range(60)}, 50)
     assert sorted(tuple(r) for r in toc.walk(spark, starts, edges).collect()) == want
+
+
+def test_queries_that_write_or_stream(spark, tmp_path):
+    """cache_store against a dict, frontier_pages against a loop; some URLs come several times."""
+    rows = [(i, f"http://h{i % 3}.example/{'spam' if i % 4 == 1 else 'p'}/{i % 30}", f"<p>{i}") for i in range(36)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    key = {u: hashlib.sha256(u.encode()).hexdigest()[:16] + ".html" for _, u, _ in rows}
+    cache = {}
+
+    def put(some):
+        new = {}
+        for u, body in some:
+            new[key[u]] = max(new.get(key[u], ""), body, key=lambda b: (len(b), b))
+        cache.update(new)
+
+    put((u, b) for _, u, b in rows)
+    put((u, f"second {u}") for i, u, _ in rows if i % 3 == 0)
+    for i, u, _ in rows:
+        if i % 5 == 0:
+            cache.pop(key[u], None)
+    put((u, f"third {u}") for i, u, _ in rows if i % 7 == 0)
+    assert {r.key: r.body for r in catalogue.cache_store(spark, str(tmp_path)).collect()} == cache
+    got = sorted(tuple(r) for r in catalogue.frontier_pages(spark, str(tmp_path)).collect())
+    assert got == sorted((u, None, None, 2, "no route") if "spam" in u else (u, u + "/", "body of " + u, 1, None) for u in {u for _, u, _ in rows})
