@@ -11,6 +11,7 @@ import json
 import os
 import time
 from collections.abc import Callable, Mapping
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -29,7 +30,9 @@ from .operators.pages import cover_url, selector_issues
 from .operators.robots import parse as parse_robots
 from .plans import crawl as runs
 from .plans import epub, toc
+from .session import scratch
 from .sources import models, sinks
+from .sources.events import EventLog, Follower, Told
 from .sources.http import HttpFetcher, robots_files
 from .sources.pages import Politeness, Response, fetch_pages
 
@@ -206,7 +209,7 @@ class Event:
 
 
 def crawl(
-    spark: SparkSession, site: Site, pages: DataFrame | None, share_root: str, *, fetch: Fetch | None = None, most: int | None = None, overwrite: bool = False, fail_fast: bool = False, progress: Callable[[Event], None] | None = None
+    spark: SparkSession, site: Site, pages: DataFrame | None, share_root: str, *, fetch: Fetch | None = None, most: int | None = None, overwrite: bool = False, fail_fast: bool = False, progress: Callable[[Event], None] | None = None, at_once: int | None = None
 ) -> Run:
     """Write a site's chapters, config, metadata and manifest below share_root.
 
@@ -215,7 +218,9 @@ def crawl(
     content is fetched again, `retry_attempts` times in all. What exists is not written again unless
     overwritten. `most` counts new chapters: each wave takes as many as are still wanted, so skips
     and failures take none of it. fail_fast goes chapter by chapter and ends at the first failure. The manifest says `running` while the
-    run goes on, then `completed`, `failed` or, after an interruption, `interrupted` with what had been written by then.
+    run goes on, then `completed`, `failed` or, after an interruption, `interrupted` with what had been written by then. at_once: chapters that a wave has at
+    most; with 1 the manifest moves chapter by chapter. progress is told that a chapter is started when its request is, if fetch keeps a log of
+    events (`live`), else with its outcome.
     """
     check_selectors(site)
     if pages is None:
@@ -240,22 +245,32 @@ def crawl(
     done: list[DataFrame] = []
     reached, fetched, at = 0, 0, 0
     book.write("running", done)
+    begun: set[int] = set()
+    following = nullcontext()
+    if progress is not None and getattr(fetch, "events", None) is not None:
+        of_url = {r.link_url: r for r in rows.filter("NOT skipped").toLocalIterator()}
+
+        def started(event: dict) -> None:
+            r = of_url.get(event["url"])
+            if event["what"] == "started" and r is not None and r.position not in begun:
+                begun.add(r.position)
+                progress(Event(r.position, total, "started", r.title, r.link_url, r.path))
+
+        following = Follower(fetch.events, started)
+    bad = None
     try:
-        while at < len(todo) and (most is None or fetched < most):
-            want = 1 if fail_fast else len(todo) if most is None else most - fetched
-            wave = todo[at : at + want]
-            at += len(wave)
-            tried = _wave(spark, site, rows.filter(F.col("position").between(wave[0], wave[-1]) & ~F.col("skipped")), pages, fetch, root)
-            done.append(tried)
-            reached = wave[-1]
-            fetched += tried.filter("status = 'fetched'").count()
-            if fail_fast and (bad := tried.filter("status = 'failed'").first()):
-                done.append(_skips(rows, reached))
-                book.write("failed", done)
-                _tell(progress, done, total)
-                raise FetchError(f"chapter {bad.position} failed: {bad.error}")
-            if at < len(todo):
-                book.write("running", done)
+        with following:
+            while bad is None and at < len(todo) and (most is None or fetched < most):
+                want = 1 if fail_fast else len(todo) if most is None else most - fetched
+                wave = todo[at : at + min(want, at_once or want)]
+                at += len(wave)
+                tried = _wave(spark, site, rows.filter(F.col("position").between(wave[0], wave[-1]) & ~F.col("skipped")), pages, fetch, root)
+                done.append(tried)
+                reached = wave[-1]
+                fetched += tried.filter("status = 'fetched'").count()
+                bad = tried.filter("status = 'failed'").first() if fail_fast else None
+                if at < len(todo) and bad is None:
+                    book.write("running", done)
     except KeyboardInterrupt:
         done.append(_skips(rows, reached))
         attempted = rows.filter((F.col("position") <= (todo[at - 1] if at else 0)) & ~F.col("skipped"))
@@ -265,17 +280,24 @@ def crawl(
         done.append(late.select("site", "position", "title", F.col("link_url").alias("url"), "path", F.lit("fetched").alias("status"), F.lit(None).cast("string").alias("error")))
         book.write("interrupted", done)
         raise
+    if bad is not None:
+        done.append(_skips(rows, reached))
+        book.write("failed", done)
+        _tell(progress, done, total, begun)
+        raise FetchError(f"chapter {bad.position} failed: {bad.error}")
     last = total if at >= len(todo) and (most is None or fetched < most) else reached
     done.append(_skips(rows, last if todo else total))
     counters = book.write("completed", done)
-    _tell(progress, done, total)
+    _tell(progress, done, total, begun)
     return Run(_union(done, rows), counters, root)
 
 
-def live(spark: SparkSession, site: Site, *, obey_robots: bool = True, fetch: Callable[[str], Response] | None = None, sleep: Callable[[float], None] = time.sleep) -> Fetch:
+def live(spark: SparkSession, site: Site, *, obey_robots: bool = True, fetch: Callable[[str], Response] | None = None, sleep: Callable[[float], None] = time.sleep, events: str | None = None) -> Fetch:
     """A fetch function for `crawl` that asks the site itself: with its delay, timeout, retries and user agent, and within its robots rules.
-    Without fetch, over HTTP. A page that can't be had has no html."""
-    one = fetch or HttpFetcher(site.user_agent, site.timeout_seconds)
+    Without fetch, over HTTP. A page that can't be had has no html. events: a new folder that executors share, to which tasks write what they are doing."""
+    asks = fetch or HttpFetcher(site.user_agent, site.timeout_seconds)
+    log = EventLog(events) if events else None
+    one = Told(asks, log) if log else asks
     rules = Politeness(max(1, site.retry_attempts), site.retry_backoff_seconds, site.request_delay_seconds, sleep)
     known: dict[str, DataFrame] = {}
 
@@ -285,16 +307,17 @@ def live(spark: SparkSession, site: Site, *, obey_robots: bool = True, fetch: Ca
             # the few origins of a site, whose files are asked for once
             for r in urls.select(origin(F.col("url")).alias("o")).filter("o <> ''").distinct().toLocalIterator():
                 if r.o not in known:
-                    known[r.o] = _plain(robots_files(spark.createDataFrame([(r.o + "/",)], "url string"), one, 1))
+                    known[r.o] = _plain(robots_files(spark.createDataFrame([(r.o + "/",)], "url string"), asks, 1))
             robots = parse_robots(reduce(DataFrame.unionByName, known.values(), spark.createDataFrame([], "origin string, body string")))
         return fetch_pages(urls, one, rules, robots=robots, agent=site.user_agent).select("url", F.col("body").alias("html"))
 
+    get.events = log
     return get
 
 
 def crawl_live(spark: SparkSession, site: Site, share_root: str, *, obey_robots: bool = True, **options) -> Run:
     """A crawl of the site itself in one call; options are those of `crawl`."""
-    return crawl(spark, site, None, share_root, fetch=live(spark, site, obey_robots=obey_robots), **options)
+    return crawl(spark, site, None, share_root, fetch=live(spark, site, obey_robots=obey_robots, events=scratch(spark, "events")), **options)
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -337,12 +360,12 @@ def _wave(spark: SparkSession, site: Site, rows: DataFrame, pages: DataFrame, fe
     return _plain(out.select("site", "position", "title", "url", "path", status.alias("status"), "error"))
 
 
-def _tell(progress: Callable[[Event], None] | None, done: list[DataFrame], total: int) -> None:
-    """Every chapter in order: that it was started, if it was, and what came of it."""
+def _tell(progress: Callable[[Event], None] | None, done: list[DataFrame], total: int, begun: set[int]) -> None:
+    """Every chapter in order: that it was started, if it was and hasn't been told, and what came of it."""
     if progress is None:
         return
     for r in _union(done[1:], done[0].withColumns({"skipped": F.lit(False), "link_url": F.col("url")})).unionByName(done[0]).orderBy("position").toLocalIterator():
-        if r.status != "skipped":
+        if r.status != "skipped" and r.position not in begun:
             progress(Event(r.position, total, "started", r.title, r.url, r.path))
         progress(Event(r.position, total, r.status, r.title, r.url, None if r.error else r.path, r.error))
 

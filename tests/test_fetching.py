@@ -97,7 +97,14 @@ def site():
 def test_a_live_crawl(spark, tmp_path, site):
     root, starts = site
     own = api.Site("Live Book", f"{root}/toc", "nav a", "article", chapter_title_selector="h1", request_delay_seconds=0.6, retry_attempts=2, retry_backoff_seconds=0, user_agent="mill/1 (test)", filter_non_chapter_links=False)
-    run = api.crawl_live(spark, own, str(tmp_path))
+    told, seen = [], []
+
+    def progress(event):
+        told.append((time.monotonic(), event.current, event.status))
+        path = next(Path(tmp_path).rglob("manifest.json"), None)
+        seen.append(len(json.loads(path.read_text())["chapters"]) if path else 0)
+
+    run = api.crawl_live(spark, own, str(tmp_path), progress=progress, at_once=1)
     assert {r.position: (r.status, r.error) for r in run.chapters.collect()} == {1: ("fetched", None), 2: ("fetched", None), 3: ("failed", "page not found"), 4: ("failed", "page not found")}
     assert Path(run.root, "input/chapter_2.txt").read_text().split() == ["Chapter", "2", "Two"]
     asked = [p for _, p, _ in starts]
@@ -105,6 +112,11 @@ def test_a_live_crawl(spark, tmp_path, site):
     assert all(h["User-Agent"] == "mill/1 (test)" and h["Sec-Fetch-User"] == "?1" for _, _, h in starts)
     times = [t for t, p, _ in starts if p.startswith("/c/")]
     assert min(b - a for a, b in zip(times, times[1:])) > 0.35  # as they arrive
+    # each chapter is told as started once, when its request is and before the last one's is made; the manifest grows in between
+    begun = {p: t for t, p, what in told if what == "started"}
+    assert sorted(begun) == [1, 2, 3, 4] or sorted(begun) == [1, 2, 4], told
+    assert len([1 for _, _, what in told if what == "started"]) == len(begun) and begun[1] < max(t for t, p, _ in starts if p == "/c/4")
+    assert sorted(set(seen)) == [0, 1, 2] and sorted(p for _, p, what in told if what != "started") == [1, 2, 3, 4]
     assert json.loads(Path(run.root, "manifest.json").read_text())["status"] == "completed"
 
 
@@ -113,3 +125,25 @@ def test_a_site_with_a_bad_selector_is_not_asked(spark, tmp_path):
         bad = {"chapter_link_selector": "a", "chapter_content_selector": "p"} | {key: "a:nth-child(" if key != "remove_selectors" else ("p", "..x")}
         with pytest.raises(ConfigError, match=f"{key}: selector not understood"):
             api.crawl(spark, api.Site("s", "http://x/", **bad), spark.createDataFrame([], "url string, html string"), str(tmp_path))
+
+
+def test_events_are_told_once_and_in_time(tmp_path):
+    from leafmill.sources.events import EventLog, Follower
+
+    got = []
+    log, other = EventLog(str(tmp_path / "e")), EventLog(str(tmp_path / "e"))
+    with Follower(log, got.append, 0.02):
+        for i in range(20):
+            (log if i % 2 else other).append(what="x", n=i)
+        end = time.time() + 10
+        while len(got) < 20 and time.time() < end:
+            time.sleep(0.01)
+        early = len(got)
+        log.append(what="last", n=20)
+    assert early == 20 and sorted(e["n"] for e in got) == list(range(21))
+
+    def fails(event):
+        raise RuntimeError("told badly")
+
+    with pytest.raises(RuntimeError, match="told badly"), Follower(log, fails, 0.02):
+        pass
