@@ -82,9 +82,9 @@ def test_small_tables_and_clashing_names(spark):
     names = ("g", "pos", "size", "digest", "part", "seq", "key", "grp", "leaf", "moved", "root")
     wide = spark.createDataFrame([(*r, *range(len(names))) for r in one], DOCS + "".join(f", {n} int" for n in names))
     assert found(wide) == brute(one)
-    for n in (2, 3, 4, 9, 10):
-        rows = [(i, f"t{i}\n", "en", "s", i) for i in range(n)]
-        assert in_order(found(spark.createDataFrame(rows, DOCS))) == in_order(brute(rows))
+    # sources of each size about the powers of three
+    rows = [(100 * n + i, f"t{i}\n", "en", f"s{n}", i) for n in (1, 2, 3, 4, 9, 10, 27, 28) for i in range(n)]
+    assert in_order(found(spark.createDataFrame(rows, DOCS))) == in_order(brute(rows))
 
 
 def test_a_proof_leads_to_the_root_alone_from_its_own_leaf(spark):
