@@ -66,12 +66,19 @@ def test_against_brute_force(spark):
     assert len({x[2] for x in want}) < len(rows) - 30
     assert found(docs) == want
     # every key range over its bound, and chunks that cut every key
-    assert found(docs, most=1, chunk=3) == want
+    assert found(docs, most=1, chunk=3, few=1, rounds=1) == want
 
 
 def test_empty(spark):
     assert found(spark.createDataFrame([], DOCS)) == []
-    assert found(spark.createDataFrame([(1, None), (2, "")], DOCS)) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_words_are_those_between_white_space():
+    h = lambda x: ngram_join.word_hashes(x).tolist()
+    assert h("") == h(" \n\t") == [] and h(" Ab\x0bcD\r\n\x00e ") == h("ab") + h("cd") + h("\x00e")
+    assert h("É é") == h("É") + h("é") and h("É") != h("é") and h("a\x00") != h("a") and h("a\xa0b") != h("a b")
+    long = "x y " * 400_000 + "z" * 3_000_000 + " end"  # pieces, and a word beyond them
+    assert len(h(long)) == 800_002 and h(long)[:2] == h("x y") and h(long)[-1:] == h("end")
 
 
 def test_pairs_that_are_left_out_cannot_be_linked():
@@ -82,9 +89,12 @@ def test_pairs_that_are_left_out_cannot_be_linked():
         for keep in (50, 47, 44, 40, 35):
             sets.append(np.unique(np.concatenate([base[:keep], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)])))
     sets = sets[:150]
-    prefix = [x[: ngram_join.prefix_size(len(x))].tobytes() for x in sets]
     n = len(sets)
-    table = pa.table({"gid": range(n), "label": range(n), "n": [len(x) for x in sets], "own": [0] * n, "i": [0] * n, "j": [0] * n, "prefix": prefix})
-    kept = {(a, b) for a, b in zip(*(ngram_join._kept(table)[c].to_pylist() for c in ("gid_a", "gid_b")))}
+    sketches = [ngram_join.sketch_of(x) for x in sets[: n - 3]] + [None] * 3  # no sketch, no verdict
+    table = pa.table({"gid": range(n), "label": range(n), "root": range(n), "n": [len(x) for x in sets], "own": [0] * n, "i": [0] * n, "j": [0] * n, "kid": [7] * n, "kids": [[9, 7]] * n, "sketch": pa.array(sketches, pa.binary())})
+    kept = {(a, b) for a, b in zip(*(ngram_join._compared(table, True)[c].to_pylist() for c in ("gid_a", "gid_b")))}
     linked = {(i, j) for i in range(n) for j in range(i + 1, n) if ngram_join.similar(sets[i], sets[j])}
     assert linked and linked <= kept and len(kept) < n * (n - 1) / 8
+    # under another of the keys that all have in common the pairs don't count again
+    assert len(ngram_join._compared(table.set_column(table.column_names.index("kid"), "kid", pa.array([9] * n)), True)) == 0
+    assert set(ngram_join._compared(table, False)["gid"].to_pylist()) == {x for p in kept for x in p}
