@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
@@ -17,6 +18,11 @@ from .fixed import CHAPTER_PATTERNS, IMAGE_SUFFIXES, LINE_ENDS, NOTICE_MARKERS,
 _STRIP = r"(?U)^\s+|\s+$"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, for an f that names its argument more than once: x is computed once, and stands once in the plan."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(x, _STRIP, "")
@@ -204,7 +210,8 @@ def unescaped(x: Column) -> Column:
         number = F.when(token.rlike("^&#[xX]"), F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("bigint"))).otherwise(F.when(F.length(digits) <= 10, digits.try_cast("bigint")))
         # no whole name: the longest that it begins with
         begun = [F.when(F.length(name) > n, F.concat(F.try_element_at(bare, F.left(name, F.lit(n))), F.substring(name, n + 1, 40))) for n in range(_LONGEST, 1, -1)]
-        named = F.coalesce(F.try_element_at(every, name), *begun, token)
+        common = F.when(name == "amp;", "&").when(name == "lt;", "<").when(name == "gt;", ">").when(name == "quot;", '"').when(name == "nbsp;", "\xa0")  # what most of them are, without a search
+        named = F.coalesce(common, F.try_element_at(every, name), *begun, token)
         return F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token).when(F.startswith(token, F.lit("&#")), F.when(token.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), _of_code(number)).otherwise(token)).otherwise(named)
 
-    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFERENCES), 0), one), "")
+    return let(x, lambda v: F.when(F.contains(v, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(v, F.lit(_REFERENCES), 0), one), "")).otherwise(v))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -35,15 +35,20 @@ def fold_dots(path: Column) -> Column:
 def urljoin(base: Column, ref: Column) -> Column:
     """Resolution of ref against an absolute base as the standard library does it: a fragment or query that is empty goes with its sign, empty segments of
     a relative path are closed up, and a scheme of the base's own with no authority after it is as if it weren't there."""
+    return let(F.struct(base.alias("base"), ref.alias("ref")), lambda x: let(_parts(x["base"], x["ref"]), _joined))
+
+
+def _parts(base: Column, ref: Column) -> Column:
     scheme = F.regexp_extract(base, _SCHEME, 0)
     own = F.startswith(F.lower(ref), F.lower(scheme)) & ~F.startswith(F.substr(ref, F.length(scheme) + 1), F.lit("//")) & F.lower(scheme).isin("http:", "https:", "ftp:", "file:")
     to = F.when(own, F.substr(ref, F.length(scheme) + 1)).otherwise(ref)
+    return F.struct(base.alias("base"), ref.alias("ref"), scheme.alias("scheme"), to.alias("to"), F.regexp_extract(to, r"^[^?#]*", 0).alias("path"), F.regexp_extract(base, r"^[^?#]*", 0).alias("bare"))
+
+
+def _joined(x: Column) -> Column:
+    base, ref, scheme, to, to_path, bare = (x[c] for c in ("base", "ref", "scheme", "to", "path", "bare"))
     root = origin(base)
-    whole = F.regexp_extract(base, r"^[^#]*", 0)
-    bare = F.regexp_extract(base, r"^[^?#]*", 0)
-    path = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    folder = F.regexp_extract(path, r"^(.*/)?", 0)
-    to_path = F.regexp_extract(to, r"^[^?#]*", 0)
+    folder = F.regexp_extract(F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"^(.*/)?", 0)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(to, r"^[^?#]*(.*)$", 1), r"#$", ""), r"^\?(?=#|$)", "")
     inside = F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), to_path), "/{2,}", "/")
     trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"#$", ""), r"^([^?#]*)\?(?=#|$)", "$1")
@@ -52,7 +57,7 @@ def urljoin(base: Column, ref: Column) -> Column:
         .when(to.rlike(_SCHEME), F.when(F.startswith(F.lower(to), F.lower(scheme)), trimmed(to)).otherwise(to))
         .when(F.startswith(to, F.lit("//")), trimmed(F.concat(scheme, to)))
         .when((to_path == "") & F.startswith(rest, F.lit("?")), F.concat(bare, rest))
-        .when(to_path == "", F.concat(trimmed(whole), rest))
+        .when(to_path == "", F.concat(trimmed(F.regexp_extract(base, r"^[^#]*", 0)), rest))
         .when(F.startswith(to, F.lit("/")), F.concat(root, fold_dots(to_path), rest))
         .otherwise(F.concat(root, fold_dots(inside), rest))
     )
