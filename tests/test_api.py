@@ -164,7 +164,7 @@ def test_settings():
 def test_nested_removal():
     page = "<div id=c>a<div class=x>b<div class=x>c</div></div>d<br>e<script>f</script></div>"
     assert chapter_of(page, "#c", None, [".x"]) == (None, "ad\ne", None)
-    assert chapter_of(page, "#none", "h1", []) == (None, None)
+    assert chapter_of(page, "#none", "h1", []) == (None, None, None)
 
 
 def test_unused_pages_do_no_harm(spark, pages):
