@@ -39,7 +39,7 @@ SLOTS, PARTS = 1 << 20, 16
 #: Index entries of a key range, in expectation, and what one task takes of it at most.
 RANGE, RANGE_MOST = 1 << 20, 1 << 23
 #: A key of more groups than FEW has its groups cut into chunks of CHUNK, in expectation; the others are RANGE_OPEN entries a task.
-FEW, CHUNK, RANGE_OPEN = 64, 1024, 1 << 18
+FEW, CHUNK, RANGE_OPEN = 64, 4096, 1 << 18
 #: Bits of the map of wanted texts: 2 to this.
 BITS = 23
 #: Rounds of stars among what is still apart, at most.
