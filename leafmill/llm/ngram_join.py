@@ -332,8 +332,9 @@ def _compared(table: pa.Table, pairs: bool) -> pa.Table:
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     right = own == j
     some, seen = [], np.zeros(len(gid), np.int64)
-    kid = table["kid"][0].as_py()
-    keys = [np.sort(np.array(x, np.int64)) for x in table["kids"].to_pylist()] if pairs else []
+    if pairs:
+        kid, kids = table["kid"][0].as_py(), table["kids"].combine_chunks()
+        keys = [np.sort(x) for x in np.split(kids.flatten().to_numpy(), np.cumsum(kids.value_lengths().to_numpy())[:-1])]
     for x in np.flatnonzero(own == i).tolist():
         fits = right & (root != root[x]) & (np.minimum(n, n[x]) * OF >= np.maximum(n, n[x]) * LEAST)
         if i == j:
@@ -359,15 +360,17 @@ def _compared(table: pa.Table, pairs: bool) -> pa.Table:
     return pa.table([pa.array(made[:, c]) for c in range(4)], ["gid_a", "label_a", "gid_b", "label_b"])
 
 
-def _in_chunks(entries: DataFrame, parts: DataFrame, chunk: int) -> DataFrame:
-    """entries (kind, key, gid, label, root, n) for every pair of chunks of their key, with i, j, own and the parts' sketches."""
+def _in_chunks(entries: DataFrame, parts: DataFrame, chunk: int, pairs: bool) -> DataFrame:
+    """entries (kind, key, gid, label, root, n) for every pair of chunks of their key, with i, j, own and the parts' sketches; for pairs with all keys of each part, too."""
     sizes = entries.groupBy("kind", "key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     cut = entries.join(sizes.select("kind", "key", F.ceil(F.col("m") / chunk).cast("int").alias("chunks")), ["kind", "key"])
     cut = cut.withColumn("own", F.pmod(F.xxhash64("gid", "label"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     kid = F.xxhash64("kind", "key")
     cut = cut.select("kind", "key", kid.alias("kid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "gid", "label", "root", "n")
-    kids = entries.groupBy("gid", "label").agg(F.collect_set(kid).alias("kids"))  # no more than its prefix has
-    return cut.join(parts.select("gid", "label", "sketch"), ["gid", "label"]).join(kids, ["gid", "label"]).groupBy("kind", "key", "i", "j")
+    cut = cut.join(parts.select("gid", "label", "sketch"), ["gid", "label"])
+    if pairs:
+        cut = cut.join(entries.groupBy("gid", "label").agg(F.collect_set(kid).alias("kids")), ["gid", "label"])  # no more than its prefix has
+    return cut.groupBy("kind", "key", "i", "j")
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -475,7 +478,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, chunk: int = CHUNK, fe
     large = left.filter(F.col("m") > few).withColumn("root", F.col("label"))
     near = _ends(_near(left.filter(F.col("m") <= few), large), parts, "nid", "n", "sketch").withColumnsRenamed({"nid_a": "a", "nid_b": "b"})
     near = storage.materialize(_sketched(near), "ngram_near")
-    alive = _in_chunks(large, parts, chunk).applyInArrow(lambda t: _compared(t, False), "gid long, label long, met long").groupBy("gid", "label").agg(F.sum("met").alias("met"))
+    alive = _in_chunks(large, parts, chunk, False).applyInArrow(lambda t: _compared(t, False), "gid long, label long, met long").groupBy("gid", "label").agg(F.sum("met").alias("met"))
     alive = storage.materialize(alive, "ngram_alive")
     many = storage.materialize(large.join(alive, ["gid", "label"]).join(parts.select("gid", "label", "nid"), ["gid", "label"]).select("kind", "key", "gid", "label", "n", "nid", "met"), "ngram_many")
     wanted = alive.select("gid", "label").union(near.select("gid_a", "label_a")).union(near.select("gid_b", "label_b")).distinct()
@@ -509,7 +512,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, chunk: int = CHUNK, fe
     # and all pairs that are left, every member against every member
     rest = rooted(rooted(near, "label_a", "root_a"), "label_b", "root_b").filter("root_a <> root_b").select("gid_a", "label_a", "gid_b", "label_b")
     shape = "gid_a long, label_a long, gid_b long, label_b long"
-    far = _in_chunks(rooted(many, "label", "root").select("kind", "key", "gid", "label", "root", "n"), parts, chunk).applyInArrow(lambda t: _compared(t, True), shape)
+    far = _in_chunks(rooted(many, "label", "root").select("kind", "key", "gid", "label", "root", "n"), parts, chunk, True).applyInArrow(lambda t: _compared(t, True), shape)
     pairs = _ends(storage.materialize(rest.union(far).distinct(), "ngram_rest"), labels, "nid").withColumnsRenamed({"nid_a": "a", "nid_b": "b"})
     last = storage.materialize(_verified(pairs, sets, "label_a", "label_b"), "ngram_links")
     links = links.unionByName(last.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
