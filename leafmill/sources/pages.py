@@ -166,19 +166,19 @@ def register(spark: SparkSession, name: str, fetch: Callable[[str], Response], r
     spark.dataSource.register(page_source(name, fetch, rules))
 
 
-def looked_up(urls: DataFrame, cache: DataFrame) -> DataFrame:
-    """urls with their cache key and the body that the cache (key, body) has for it, null if none."""
-    known = cache.groupBy("key").agg(F.min("body").alias("body"))
-    return urls.withColumn("key", cache_key(F.col("url"))).join(known, "key", "left")
+def looked_up(urls: DataFrame, cache: DataFrame, own: Sequence[str] = ()) -> DataFrame:
+    """urls with their cache key and the body that the cache (key, body) has for it, null if none. own: columns of both that tell entries of one key apart."""
+    known = cache.groupBy("key", *own).agg(F.min("body").alias("body"))
+    return urls.withColumn("key", cache_key(F.col("url"))).join(known, ["key", *own], "left")
 
 
-def through_cache(urls: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame], good: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def through_cache(urls: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame], good: Column | None = None, own: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(pages, purged cache): bodies from the cache where they are good (a condition on body; by default, that the page
-    doesn't look bad), the rest fetched. cache: (key, body)."""
-    kept = cache.filter(good) if good is not None else page_quality(cache, "body").filter("NOT bad_suspect").select("key", "body")
-    asked = looked_up(urls.select("url"), kept)
-    miss = fetch(asked.filter("body IS NULL").select("url"))
-    return asked.filter("body IS NOT NULL").select("url", "body").unionByName(miss.select("url", "body")), kept
+    doesn't look bad), the rest fetched. cache: (key, body), and the columns `own` that tell several bodies of one URL apart, which fetch gets and gives back as well."""
+    kept = cache.filter(good) if good is not None else page_quality(cache, "body").filter("NOT bad_suspect").select("key", *own, "body")
+    asked = looked_up(urls.select("url", *own), kept, own)
+    miss = fetch(asked.filter("body IS NULL").select("url", *own))
+    return asked.filter("body IS NOT NULL").select("url", *own, "body").unionByName(miss.select("url", *own, "body")), kept
 
 
 def with_fallback(first: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -119,3 +119,8 @@ def test_page_metadata_of_cut_references(spark, tmp_path):
 
 def test_section_text_of_cut_references(spark, tmp_path):
     same_as_sql(spark, tmp_path, "section_text", cut_pages())
+
+
+def test_pages_of_one_url_keep_their_own_bodies(spark, tmp_path):
+    at = "https://h.example/same"
+    same_as_sql(spark, tmp_path, "page_through_cache", [(0, at, "zero"), (3, at, "three"), (4, at, "four"), (6, at, ""), (9, at, None), (7, "https://h.example/7", "seven"), (12, "https://h.example/12", "twelve")])
