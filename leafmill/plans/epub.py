@@ -19,6 +19,11 @@ from ..functions.html import section_of
 from ..functions.package import container_of, package_of
 from ..functions.text import any_of, chapter_number, decode_bytes, illustration_name, is_notice, normalize_whitespace
 from ..functions.urls import folder_of, norm_path, resource_path, unquoted
+from ..session import bounded_batches
+
+
+#: Bytes of members that are passed on together; a larger member goes by itself.
+UNPACKED = 4 << 20
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -39,22 +44,33 @@ def members(archives: DataFrame) -> DataFrame:
     does each member that can't be read (encrypted, damaged, of an unknown method)."""
     shape = ["path", "member", "data", "error"]
 
+    def rows_of(path, content) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except (zipfile.BadZipFile, OSError, ValueError) as e:
+            yield path, None, None, f"not an archive: {e}"
+            return
+        with archive:
+            for name in archive.namelist():
+                try:
+                    yield path, name, archive.read(name), None
+                except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError) as e:
+                    yield path, name, None, f"member not readable: {name}: {e}"
+
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, OSError, ValueError) as e:
-                    yield pd.DataFrame([(path, None, None, f"not an archive: {e}")], columns=shape)
-                    continue
-                with archive:
-                    for name in archive.namelist():
-                        try:
-                            row = (path, name, archive.read(name), None)
-                        except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError) as e:
-                            row = (path, name, None, f"member not readable: {name}: {e}")
-                        yield pd.DataFrame([row], columns=shape)
-
+                for row in rows_of(path, content):
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if len(rows) >= 1000 or held >= UNPACKED:
+                        yield pd.DataFrame(rows, columns=shape)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=shape)
+
+    bounded_batches(archives.sparkSession)
     return archives.mapInPandas(unzip, "path string, member string, data binary, error string")
 
 
@@ -152,12 +168,12 @@ def numbered_images(images: DataFrame, book: list[str], number: str, position: s
 
 def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings."""
-    # every book's parts are asked for several times and unpacked once; a lost executor's are unpacked again
+    # every book's parts are asked for several times and unpacked once, its package and its sections read once; a lost executor's are unpacked again
     every = members(archives).persist(StorageLevel.DISK_ONLY)
     parts = every.filter("error IS NULL")
-    books = package_files(parts)
+    books = package_files(parts).persist(StorageLevel.DISK_ONLY)
     spine = spine_documents(books, parts)
-    chosen = select_chapters(sections(spine, parts), ["path"])
+    chosen = select_chapters(sections(spine, parts), ["path"]).persist(StorageLevel.DISK_ONLY)
     kept, twice = unique_numbers(chosen, ["path"])
     images = kept.select("path", "number", "index", F.posexplode("image_paths").alias("i", "source_path"))
     data = parts.select("path", F.col("member").alias("source_path"), "data")

@@ -124,3 +124,12 @@ def test_section_text_of_cut_references(spark, tmp_path):
 def test_pages_of_one_url_keep_their_own_bodies(spark, tmp_path):
     at = "https://h.example/same"
     same_as_sql(spark, tmp_path, "page_through_cache", [(0, at, "zero"), (3, at, "three"), (4, at, "four"), (6, at, ""), (9, at, None), (7, "https://h.example/7", "seven"), (12, "https://h.example/12", "twelve")])
+
+
+def test_books_are_packed_and_unpacked_once(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["one", "two", "three", "four", "five"])
+    got = catalogue.book_titles(spark, folder)
+    leaves = got._jdf.queryExecution().optimizedPlan().collectLeaves()
+    spark.catalog.clearCache()
+    assert {leaves.apply(i).nodeName() for i in range(leaves.size())} == {"InMemoryRelation"}
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "Book 0", "src0", 4), (1, "Book 1", "src1", 1)]
