@@ -94,6 +94,8 @@ def fetch_one(url: str, fetch: Callable[[str], Response], rules: Politeness, bef
     return _page(url, None, attempt, error)
 
 
+#: How long a fetched page is held for those after it.
+PASSED_ON_SECONDS = 0.5
 #: Tasks that fetch at once, at most, where nothing else is said.
 MOST_TASKS = 4096
 
@@ -110,10 +112,17 @@ def fetch_pages(urls: DataFrame, fetch: Callable[[str], Response], rules: Polite
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gap = Throttle(polite)
+        got, held, since = [], 0, time.monotonic()
         for batch in batches:
             for url, host in zip(batch["url"], batch["__host"]):
-                # a page is passed on when it is there
-                yield pd.DataFrame([fetch_one(url, fetch, polite, lambda host=host: gap.wait(host))]).astype({"status": "Int32"})
+                got.append(fetch_one(url, fetch, polite, lambda host=host: gap.wait(host)))
+                held += len(got[-1]["body"] or "")
+                # pages that come slowly are passed on as they are there, others together
+                if time.monotonic() - since > PASSED_ON_SECONDS or len(got) >= 500 or held >= 4 << 20:
+                    yield pd.DataFrame(got).astype({"status": "Int32"})
+                    got, held, since = [], 0, time.monotonic()
+        if got:
+            yield pd.DataFrame(got).astype({"status": "Int32"})
 
     hosts = urls.select("url", F.lower(authority(F.col("url"))).alias("__host"))
     if origins_at_once is None:

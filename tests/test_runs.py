@@ -3,6 +3,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,14 @@ def test_http_fetcher(spark):
         assert got[f"{root}/a"].body == "<p>é" and got[f"{root}/no/b"].attempts == 0
     finally:
         server.shutdown()
+
+
+def test_pages_that_come_fast_are_passed_on_together(spark, monkeypatch):
+    """A frame per page costs more than the page."""
+    monkeypatch.setattr(pages, "PASSED_ON_SECONDS", 60)
+    run = []
+    urls = spark.createDataFrame([(f"https://h.example/{i}",) for i in range(700)], "url string").coalesce(1)
+    monkeypatch.setattr(type(urls), "mapInPandas", lambda self, f, schema: run.append(f) or self)
+    pages.fetch_pages(urls, lambda u: pages.Response(u, 200, "x"), pages.Politeness(1, 0, 0))
+    frames = list(run[0](iter([pd.DataFrame({"url": [f"https://h.example/{i}" for i in range(700)], "__host": "h.example"})])))
+    assert [len(x) for x in frames] == [500, 200] and list(frames[1]["url"])[-1] == "https://h.example/699"
