@@ -135,6 +135,12 @@ def marks_renumbered(text: Column, keep: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(state["t"], F.lit("[[EPUB_KEPT:"), F.lit("[[EPUB_IMAGE:")), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
+def markers_of(text: Column) -> Column:
+    """The metadata markers that a text has, a line each: all that `skip_section` asks of a text, so whole texts needn't move with a book's sections."""
+    t = F.lower(text)
+    return F.concat_ws("\n", *[F.when(F.contains(t, F.lit(m)), m) for m in METADATA_MARKERS])
+
+
 def skip_section(index: Column, title: Column, source_path: Column, text: Column) -> Column:
     """Front matter, notices and untitled sections."""
     t = F.lower(normalize_whitespace(title))

@@ -142,3 +142,13 @@ def test_python_gets_batches_of_bounded_size(spark, tmp_path):
     pages = catalogue._t(spark, str(tmp_path), "pages")
     sizes = pages.coalesce(1).mapInPandas(lambda batches: (b[["page_id"]].head(1).assign(page_id=len(b)) for b in batches), "page_id long").collect()
     assert max(r.page_id for r in sizes) <= 500 and max(r.page_id for r in sizes) * 50_000 <= 8 << 20 and sum(r.page_id for r in sizes) == 1200
+
+
+def test_sections_are_sorted_without_their_texts(spark, tmp_path):
+    texts = ["A Synopsis: x", "status: Author: of", "plain " * 2000, ""] * 5
+    rows = [(i, x, "src1") for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in catalogue._sections(spark, str(tmp_path)).collect()}
+    assert got == {i: ("synopsis", "author:\nstatus:", "", "")[i % 4] for i in range(20)}
+    # of the first five sections (titles: none, and then stories or the first episodes), those without a marker stay
+    assert {r.doc_id for r in catalogue.section_select(spark, str(tmp_path)).collect()} == {8, 12, 16}
