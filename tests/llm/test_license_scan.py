@@ -62,3 +62,18 @@ def test_lines_of_the_given_documents(spark):
     for r in docs.select("doc_id", "text").collect():
         want = {lines[x] for x in (r.text or "").split("\n") if x in lines}
         assert found[r.doc_id] in want if want else found[r.doc_id] == "none", r
+
+
+def test_every_line_is_scored(spark):
+    """Lines without an anchor word: notices by themselves, and the middle, the beginning and the end of wrapped ones."""
+    wrapped = "Redistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met:"
+    texts = [
+        "Some prose here.\nReleased under the EPL-2.0.", wrapped, "This program is free\nsoftware: you can redistribute it and/or\nmodify it under the terms of the\nGNU Affero General Public License\nas published by the Free Software Foundation",
+        "Prose of a house.\nThis file has been placed in\nthe public domain by its author.\nMore prose.", "Released under the MIT License.\nx\nReleased under the MIT License.", "Released under the MIT License.\n \t\r\nLicensed under the Apache License, Version 2.0.",
+        "Er kam mit dem Auto.\nEr ging mit dem Bus.", "\n" * 50_000 + "MIT License\nx\n" * 300, *("\n".join(n.split(", ")) for ns in lic.NOTICES.values() for n in ns), *("\n".join(n.split(" of ")) for ns in lic.NOTICES.values() for n in ns),
+    ]
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(texts):
+        assert (got[i].license, got[i].n_notices) == lic.scan_text(x), x
+    assert [got[i].license for i in range(7)] == ["unknown", "bsd", "agpl", "public-domain", "mit", "apache", "none"]
+    assert got[1].n_notices == 1 and got[4].n_notices == 2 and got[5].licenses == "apache,mit"
