@@ -438,12 +438,13 @@ def import_books(spark: SparkSession, path: str, share_root: str, *, name: str |
     """Chapters, illustrations and metadata.json of e-books as files below the share root. Unless kept, chapters and
     illustrations that an earlier import of the same name left are taken away first."""
     archives = epub.read_archives(spark, path)
-    chapters, images, warnings = epub.import_books(archives)
+    once = epub.opened(archives)
+    chapters, images, warnings = epub.import_books(archives, once)
     stem = F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1)
     slug = slugify(F.coalesce(F.lit(name), stem), "epub")
     if not chapters.take(1):
         raise BookError(f"no importable chapters found in {path}")
-    titles = epub.book_metadata(epub.package_files(epub.members(archives).filter("error IS NULL")))
+    titles = epub.book_metadata(once[1])
     text = lambda c: optional(normalize_whitespace(F.col(c)))
     # books whose names give one slug are numbered, by their paths
     named = chapters.select("path").distinct().withColumn("slug", slug)

@@ -109,9 +109,10 @@ def spine_documents(packages: DataFrame, parts: DataFrame) -> DataFrame:
 def sections(documents: DataFrame, parts: DataFrame) -> DataFrame:
     """Parsed sections with text or images: path, index (from 1), source_path, title, text, image_paths; marks of missing images go, the others are numbered densely."""
     data = parts.select("path", F.col("member").alias("source_path"), "data")
-    out = documents.join(data, ["path", "source_path"]).withColumn("s", section_of(decode_bytes(F.col("data")))).drop("data")
     names = parts.groupBy("path").agg(F.collect_set("member").alias("names"))
-    out = out.join(names, "path").withColumn("refs", F.transform("s.images", lambda r: resource_path(F.col("source_path"), r)))
+    # the names come before the texts, which move once less
+    out = documents.join(names, "path").join(data, ["path", "source_path"]).withColumn("s", section_of(decode_bytes(F.col("data")))).drop("data")
+    out = out.withColumn("refs", F.transform("s.images", lambda r: resource_path(F.col("source_path"), r)))
     out = out.withColumn("keep", F.transform("refs", lambda r: r.isNotNull() & F.coalesce(F.array_contains(F.col("names"), r), F.lit(False))))
     text = marks_renumbered(F.col("s.text"), F.col("keep"))
     out = out.withColumn("text", text).withColumn("image_paths", F.transform(F.filter(F.arrays_zip("refs", "keep"), lambda x: x["keep"]), lambda x: x["refs"]))
@@ -172,19 +173,25 @@ def numbered_images(images: DataFrame, book: list[str], number: str, position: s
     return images.withColumns({"n": per_chapter, "image_index": overall}).withColumn("file", illustration_name(F.col(number).cast("int"), F.col("n"), F.col(source)))
 
 
-def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings."""
-    # every book's parts are asked for several times and unpacked once, its package and its sections read once; a lost executor's are unpacked again
+def opened(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members and package_files of archives, each made once however often it is asked for; a lost executor's are unpacked again."""
     every = members(archives).persist(StorageLevel.DISK_ONLY)
+    return every, package_files(every.filter("error IS NULL")).persist(StorageLevel.DISK_ONLY)
+
+
+def import_books(archives: DataFrame, once: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings.
+    `once` is what `opened` gave of the archives, for a caller that asks for it too."""
+    every, books = once or opened(archives)
     parts = every.filter("error IS NULL")
-    books = package_files(parts).persist(StorageLevel.DISK_ONLY)
     spine = spine_documents(books, parts)
     chosen = select_chapters(sections(spine, parts), ["path"]).persist(StorageLevel.DISK_ONLY)
     kept, twice = unique_numbers(chosen, ["path"])
     images = kept.select("path", "number", "index", F.posexplode("image_paths").alias("i", "source_path"))
-    data = parts.select("path", F.col("member").alias("source_path"), "data")
+    # whether an image is there is told without its bytes, which move only where they are wanted
+    data = parts.select("path", F.col("member").alias("source_path"), "data", F.lit(True).alias("there"))
     found = images.join(data, ["path", "source_path"], "left")
-    there = found.filter("data IS NOT NULL")
+    there = found.filter("there")
     named = numbered_images(there, ["path"], "number", "i", "source_path", "index")
     files = named.groupBy("path", "number").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.col("file")))).alias("files"))
     text = F.aggregate(
@@ -198,7 +205,7 @@ def import_books(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     chapters = kept.join(files, ["path", "number"], "left").withColumn("text", F.concat(text, F.lit("\n")))
     chapters = chapters.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"), "source_path").orderBy("path", "number")
-    missing = found.filter("data IS NULL").select("path", F.concat(F.lit("missing image "), "source_path").alias("warning"))
+    missing = found.filter("there IS NULL").select("path", F.concat(F.lit("missing image "), "source_path").alias("warning"))
     broken = every.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
     none = books.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
     unread = books.filter("error IS NULL").join(spine.select("path").distinct(), "path", "left_anti").select("path", F.lit("no readable documents in the spine").alias("warning"))

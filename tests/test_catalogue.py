@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 
 from leafmill import catalogue
-from leafmill.plans import toc
+from leafmill.plans import epub, toc
 
 
 def documents(spark, tmp_path, texts):
@@ -152,3 +152,13 @@ def test_sections_are_sorted_without_their_texts(spark, tmp_path):
     assert got == {i: ("synopsis", "author:\nstatus:", "", "")[i % 4] for i in range(20)}
     # of the first five sections (titles: none, and then stories or the first episodes), those without a marker stay
     assert {r.doc_id for r in catalogue.section_select(spark, str(tmp_path)).collect()} == {8, 12, 16}
+
+
+def test_books_are_unpacked_once(spark, tmp_path, monkeypatch):
+    """Titles, chapters and warnings of the same books share their members."""
+    asked = []
+    real = epub.members
+    monkeypatch.setattr(epub, "members", lambda archives: asked.append(1) or real(archives))
+    got = catalogue.damaged_books(spark, documents(spark, tmp_path, ["one", "two", "three", "four", "five"])).collect()
+    assert len(asked) == 1
+    assert {r.book: r.n_chapters for r in got} == {0: 4, 1: 1}
