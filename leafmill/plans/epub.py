@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from ..errors import BookError
 from ..functions.fixed import FRONT_MATTER_NAMES, METADATA_MARKERS
 from ..functions.html import section_of
-from ..functions.package import container_of, package_of
-from ..functions.text import any_of, chapter_number, decode_bytes, illustration_name, is_notice, normalize_whitespace
+from ..functions.package import container_path, package_of
+from ..functions.text import any_of, chapter_number, decode_bytes, illustration_name, is_notice, let, normalize_whitespace
 from ..functions.urls import folder_of, norm_path, resource_path, unquoted
 from ..session import bounded_batches
 
 
 #: Bytes of members that are passed on together; a larger member goes by itself.
 UNPACKED = 4 << 20
+#: What an archive says of itself.
+BOOK = "struct<opf_path: string, error: string, names: array<string>>"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -41,21 +43,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def members(archives: DataFrame) -> DataFrame:
     """A row per archive member: path, member, data; a file that is no archive gives one row with an error, and so
-    does each member that can't be read (encrypted, damaged, of an unknown method)."""
-    shape = ["path", "member", "data", "error"]
+    does each member that can't be read (encrypted, damaged, of an unknown method). Of members of one name the last counts. An archive with readable
+    members ends with a row without a member: book says where its package document is, or why that isn't known, and which members it has; data is that document."""
+    shape = ["path", "member", "data", "error", "book"]
 
     def rows_of(path, content) -> Iterator[tuple]:
         try:
             archive = zipfile.ZipFile(io.BytesIO(content))
         except (zipfile.BadZipFile, OSError, ValueError) as e:
-            yield path, None, None, f"not an archive: {e}"
+            yield path, None, None, f"not an archive: {e}", None
             return
+        names, box = [], None
         with archive:
-            for name in archive.namelist():
+            for name in dict.fromkeys(archive.namelist()):
                 try:
-                    yield path, name, archive.read(name), None
+                    data = archive.read(name)
                 except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError) as e:
-                    yield path, name, None, f"member not readable: {name}: {e}"
+                    yield path, name, None, f"member not readable: {name}: {e}", None
+                    continue
+                names.append(name)
+                if name == "META-INF/container.xml":
+                    box = data
+                yield path, name, data, None, None
+            if names:
+                opf_path, error = container_path(box)
+                yield path, None, archive.read(opf_path) if opf_path in names else None, None, {"opf_path": opf_path, "error": error, "names": names}
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
@@ -71,17 +83,19 @@ def members(archives: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=shape)
 
     bounded_batches(archives.sparkSession)
-    return archives.mapInPandas(unzip, "path string, member string, data binary, error string")
+    return archives.mapInPandas(unzip, f"path string, member string, data binary, error string, book {BOOK}")
 
 
 def package_files(parts: DataFrame) -> DataFrame:
-    """path, opf_path, package, error: the package document of each book as it was read (functions.package), or why there is none. A book that is
-    broken has an error and takes nothing from the others."""
-    box = parts.groupBy("path").agg(F.max(F.when(F.col("member") == "META-INF/container.xml", F.col("data"))).alias("data"))
-    box = box.select("path", container_of(F.col("data")).alias("box")).select("path", "box.opf_path", F.col("box.error").alias("no_path"))
-    have = parts.select("path", F.col("member").alias("opf_path"), "data")
-    read = box.join(have, ["path", "opf_path"], "left").select("path", "opf_path", "no_path", package_of(F.col("data")).alias("package"))
-    return read.select("path", "opf_path", "package", F.coalesce("no_path", "package.error").alias("error"))
+    """path, opf_path, package, error, names: the package document of each book as it was read (functions.package), or why there is none, and the members that can be read. A book
+    that is broken has an error and takes nothing from the others. Only rows without a member are asked, so no member's bytes move."""
+    read = parts.filter("book IS NOT NULL").select("path", "book.*", package_of(F.col("data")).alias("package"))
+    return read.select("path", "opf_path", "package", F.coalesce("error", "package.error").alias("error"), "names")
+
+
+def listed(packages: DataFrame) -> DataFrame:
+    """path, member: the members of each book that can be read."""
+    return packages.select("path", F.explode("names").alias("member"))
 
 
 def book_metadata(packages: DataFrame) -> DataFrame:
@@ -96,30 +110,35 @@ def spine_join(spine: DataFrame, manifest: DataFrame, book: list[str]) -> DataFr
     return spine.join(last, [*book, "idref"])
 
 
-def spine_documents(packages: DataFrame, parts: DataFrame) -> DataFrame:
+def spine_documents(packages: DataFrame) -> DataFrame:
     """Section documents in reading order: path, pos, source_path, those that the archive has."""
     items = packages.select("path", F.posexplode("package.items").alias("item_pos", "i")).select("path", "item_pos", "i.*")
     refs = packages.select("path", F.posexplode("package.refs").alias("pos", "idref"))
     out = spine_join(refs, items, ["path"]).join(packages.select("path", "opf_path"), "path")
     out = out.withColumn("source_path", norm_path(F.concat(folder_of(F.col("opf_path")), F.lit("/"), unquoted(F.col("href")))))
-    have = parts.select("path", F.col("member").alias("source_path")).distinct()
+    have = listed(packages).withColumnRenamed("member", "source_path")
     return out.join(have, ["path", "source_path"], "left_semi").select("path", "pos", "source_path")
 
 
-def sections(documents: DataFrame, parts: DataFrame) -> DataFrame:
+def sections(documents: DataFrame, parts: DataFrame, packages: DataFrame) -> DataFrame:
     """Parsed sections with text or images: path, index (from 1), source_path, title, text, image_paths; marks of missing images go, the others are numbered densely."""
-    data = parts.select("path", F.col("member").alias("source_path"), "data")
-    names = parts.groupBy("path").agg(F.collect_set("member").alias("names"))
-    # the names come before the texts, which move once less
-    out = documents.join(names, "path").join(data, ["path", "source_path"]).withColumn("s", section_of(decode_bytes(F.col("data")))).drop("data")
+    places = documents.groupBy("path", "source_path").agg(F.collect_list("pos").alias("places"))
+    wanted = places.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("source_path", "places"))).alias("wanted"))
+    books = wanted.join(packages.select("path", "names"), "path")
+    # by the path alone, which is how all that follows is dealt out: a text moves once
+    out = books.join(parts.select("path", F.col("member").alias("source_path"), "data"), "path").withColumn("places", F.try_element_at("wanted", F.col("source_path")))
+    out = out.filter("places IS NOT NULL").withColumn("s", section_of(decode_bytes(F.col("data")))).drop("data", "wanted")
     out = out.withColumn("refs", F.transform("s.images", lambda r: resource_path(F.col("source_path"), r)))
     out = out.withColumn("keep", F.transform("refs", lambda r: r.isNotNull() & F.coalesce(F.array_contains(F.col("names"), r), F.lit(False))))
     text = marks_renumbered(F.col("s.text"), F.col("keep"))
     out = out.withColumn("text", text).withColumn("image_paths", F.transform(F.filter(F.arrays_zip("refs", "keep"), lambda x: x["keep"]), lambda x: x["refs"]))
     stem = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    out = out.withColumn("title", F.coalesce(F.nullif("s.title", F.lit("")), stem)).filter("text <> '' OR size(image_paths) > 0")
+    out = out.withColumn("title", F.coalesce(F.nullif("s.title", F.lit("")), stem)).select("path", "source_path", "title", "text", "image_paths", F.explode("places").alias("pos"))
+    # what is empty isn't counted; it goes after the count, since a filter before it would be moved below the parser and parse all members again
+    filled = (F.col("text") != "") | (F.size("image_paths") > 0)
     order = Window.partitionBy("path").orderBy("pos")
-    return out.select("path", F.row_number().over(order).alias("index"), "source_path", "title", "text", "image_paths")
+    out = out.withColumn("filled", filled).withColumn("index", F.sum(F.col("filled").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return out.filter("filled").select("path", "index", "source_path", "title", "text", "image_paths")
 
 
 def marks_renumbered(text: Column, keep: Column) -> Column:
@@ -133,7 +152,9 @@ def marks_renumbered(text: Column, keep: Column) -> Column:
             (a["n"] + k.cast("int")).alias("n"),
         ),
     )
-    return F.regexp_replace(F.regexp_replace(F.replace(state["t"], F.lit("[[EPUB_KEPT:"), F.lit("[[EPUB_IMAGE:")), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    marked = F.replace(state["t"], F.lit("[[EPUB_KEPT:"), F.lit("[[EPUB_IMAGE:"))
+    # a pattern is slow where there is nothing to close
+    return F.btrim(let(marked, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)), F.lit("\n"))
 
 
 def markers_of(text: Column) -> Column:
@@ -179,34 +200,47 @@ def opened(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, package_files(every.filter("error IS NULL")).persist(StorageLevel.DISK_ONLY)
 
 
-def import_books(archives: DataFrame, once: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings.
-    `once` is what `opened` gave of the archives, for a caller that asks for it too."""
-    every, books = once or opened(archives)
-    parts = every.filter("error IS NULL")
-    spine = spine_documents(books, parts)
-    chosen = select_chapters(sections(spine, parts), ["path"]).persist(StorageLevel.DISK_ONLY)
-    kept, twice = unique_numbers(chosen, ["path"])
-    images = kept.select("path", "number", "index", F.posexplode("image_paths").alias("i", "source_path"))
-    # whether an image is there is told without its bytes, which move only where they are wanted
-    data = parts.select("path", F.col("member").alias("source_path"), "data", F.lit(True).alias("there"))
-    found = images.join(data, ["path", "source_path"], "left")
-    there = found.filter("there")
-    named = numbered_images(there, ["path"], "number", "i", "source_path", "index")
-    files = named.groupBy("path", "number").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.col("file")))).alias("files"))
+def chosen_sections(once: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The sections of what `opened` gave that are chapters: those of `sections` with a number."""
+    every, books = once
+    return select_chapters(sections(spine_documents(books), every.filter("error IS NULL AND member IS NOT NULL"), books), ["path"])
+
+
+def chapter_texts(chosen: DataFrame) -> DataFrame:
+    """path, number, title, text, file, source_path of the chapters, in no order; marks of images say the images' files. An image's count within
+    its chapter is its place among the chapter's images, all of which the book has."""
+    kept, _ = unique_numbers(chosen, ["path"])
+    files = F.transform("image_paths", lambda source, i: illustration_name(F.col("number").cast("int"), i + 1, source))
     text = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.size("image_paths"), F.lit(1)) - 1),
+        F.sequence(F.lit(0), F.greatest(F.size("files"), F.lit(1)) - 1),
         F.col("text"),
         lambda t, i: F.replace(
             t,
             F.concat(F.lit("[[EPUB_IMAGE:"), (i + 1).cast("string"), F.lit("]]")),
-            F.coalesce(F.concat(F.lit("[[ILLUSTRATION:"), F.try_element_at("files", i), F.lit("]]")), F.lit("")),
+            F.coalesce(F.concat(F.lit("[[ILLUSTRATION:"), F.get("files", i), F.lit("]]")), F.lit("")),
         ),
     )
-    chapters = kept.join(files, ["path", "number"], "left").withColumn("text", F.concat(text, F.lit("\n")))
-    chapters = chapters.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"), "source_path").orderBy("path", "number")
-    missing = found.filter("there IS NULL").select("path", F.concat(F.lit("missing image "), "source_path").alias("warning"))
+    out = kept.withColumn("files", files).withColumn("text", F.concat(text, F.lit("\n")))
+    return out.select("path", "number", "title", "text", F.concat(F.lit("chapter_"), F.col("number").cast("string"), F.lit(".txt")).alias("file"), "source_path")
+
+
+def chapter_images(chosen: DataFrame) -> DataFrame:
+    """path, index, number, source_path, file of the chapters' images, without their bytes."""
+    kept, _ = unique_numbers(chosen, ["path"])
+    images = kept.select("path", "number", "index", F.posexplode("image_paths").alias("i", "source_path"))
+    named = numbered_images(images, ["path"], "number", "i", "source_path", "index")
+    return named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file")
+
+
+def import_books(archives: DataFrame, once: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chapters (path, number, title, text, file, source_path) in order, illustrations (path, index, number, source_path, file, data), warnings.
+    `once` is what `opened` gave of the archives, for a caller that asks for it too."""
+    every, books = once or opened(archives)
+    chosen = chosen_sections((every, books)).persist(StorageLevel.DISK_ONLY)
+    _, twice = unique_numbers(chosen, ["path"])
+    data = every.filter("error IS NULL AND member IS NOT NULL").select("path", F.col("member").alias("source_path"), "data")
+    images = chapter_images(chosen).join(data, ["path", "source_path"]).select("path", "index", "number", "source_path", "file", "data")
     broken = every.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
     none = books.filter("error IS NOT NULL").select("path", F.col("error").alias("warning"))
-    unread = books.filter("error IS NULL").join(spine.select("path").distinct(), "path", "left_anti").select("path", F.lit("no readable documents in the spine").alias("warning"))
-    return chapters, named.select("path", F.col("image_index").alias("index"), "number", "source_path", "file", "data"), twice.unionByName(missing).unionByName(broken).unionByName(none).unionByName(unread)
+    unread = books.filter("error IS NULL").join(spine_documents(books).select("path").distinct(), "path", "left_anti").select("path", F.lit("no readable documents in the spine").alias("warning"))
+    return chapter_texts(chosen).orderBy("path", "number"), images, twice.unionByName(broken).unionByName(none).unionByName(unread)

@@ -1,5 +1,8 @@
 import hashlib
+import io
 import re
+import warnings
+import zipfile
 from collections import Counter
 
 import duckdb
@@ -162,3 +165,25 @@ def test_books_are_unpacked_once(spark, tmp_path, monkeypatch):
     got = catalogue.damaged_books(spark, documents(spark, tmp_path, ["one", "two", "three", "four", "five"])).collect()
     assert len(asked) == 1
     assert {r.book: r.n_chapters for r in got} == {0: 4, 1: 1}
+
+
+def test_a_book_section_is_parsed_once_and_the_texts_are_not_joined_again(spark, tmp_path):
+    """Filters that ask for what a section says would be moved below the join, with a second parser of all members."""
+    folder = documents(spark, tmp_path, ["one", "", "three\n\n\nfour", "five"])
+    for name in ("book_chapters", "book_illustrations"):
+        plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [section_of") == 1 and "rangepartitioning" not in plan
+
+
+def test_of_members_of_one_name_the_last_counts(spark):
+    out = io.BytesIO()
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as z:
+        warnings.simplefilter("ignore")
+        z.writestr("META-INF/container.xml", '<container><rootfile full-path="c.opf"/></container>')
+        z.writestr("c.opf", '<package><metadata/><manifest><item id="a" href="1.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        for text in ("early", "late"):
+            z.writestr("1.xhtml", f"<h1>Chapter 1</h1>{text}<img src='i.png'/>")
+            z.writestr("i.png", text)
+    chapters, images, told = epub.import_books(spark.createDataFrame([("a.epub", out.getvalue())], "path string, content binary"))
+    assert [r.text for r in chapters.collect()] == ["Chapter 1\n\nlate\n\n[[ILLUSTRATION:001-001.png]]\n"]
+    assert [(r.file, bytes(r.data)) for r in images.collect()] == [("001-001.png", b"late")] and not told.collect()
