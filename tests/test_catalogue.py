@@ -6,9 +6,12 @@ import zipfile
 from collections import Counter
 
 import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
 
 from leafmill import catalogue
 from leafmill.plans import epub, toc
+from leafmill.session import bounded_batches
 
 
 def documents(spark, tmp_path, texts):
@@ -175,6 +178,33 @@ def test_a_book_section_is_parsed_once_and_the_texts_are_not_joined_again(spark,
         assert plan.count("ArrowEvalPython [section_of") == 1 and "rangepartitioning" not in plan
 
 
+def test_illustrations_are_counted_without_the_texts_of_their_sections(spark, tmp_path):
+    """What the choice of chapters asks of a text is said where it is parsed; the text itself doesn't move with its section."""
+    texts = ["one", "two Synopsis: x", "", "four", "Status: five", "six\n\n\n\nsix", "seven", "<img src='../i/3.PNG'/>"]
+    out = catalogue.book_illustrations(spark, documents(spark, tmp_path, texts))
+    steps = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    moved = [x for x in steps if x.lstrip().split("\n")[0].endswith(" Exchange")]
+    assert any("title#" in x for x in moved) and not any(" text#" in x for x in moved if "title#" in x)
+    # of the first five sections, those with a marker are left out, whichever columns are asked for
+    assert sorted((r.book, r.image_index, r.number, r.file) for r in out.collect()) == [
+        (0, 1, 1, "001-001.png"), (0, 2, 3, "003-001.png"), (0, 3, 4, "004-001.png"), (1, 1, 2, "002-001.png"), (1, 2, 3, "003-001.png"), (1, 3, 4, "004-001.png"),
+    ]
+    assert sorted((r.book, r.number) for r in catalogue.book_chapters(spark, str(tmp_path)).collect()) == [(0, 1), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4)]
+
+
+def test_a_worker_is_handed_few_rows_and_bytes_at_once(spark):
+    """However many books one task has."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "size": [int(b["content"].map(len).sum())]})
+
+    bounded_batches(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.expr("cast(repeat('x', cast(if(id < 1500, 20000, 10) as int)) as binary)").alias("content"))
+    got = rows.mapInPandas(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.n for r in got) == 500 and 1 << 20 < max(r["size"] for r in got) <= (4 << 20) + 20_000
+
+
 def test_of_members_of_one_name_the_last_counts(spark):
     out = io.BytesIO()
     with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as z:
