@@ -24,6 +24,8 @@ from ..session import bounded_batches
 
 #: Bytes of members that are passed on together; a larger member goes by itself.
 UNPACKED = 4 << 20
+#: What is said of a section by its title, name and text.
+JUDGED = ("explicit", "apart", "early")
 #: What an archive says of itself.
 BOOK = "struct<opf_path: string, error: string, names: array<string>>"
 
@@ -121,7 +123,7 @@ def spine_documents(packages: DataFrame) -> DataFrame:
 
 
 def sections(documents: DataFrame, parts: DataFrame, packages: DataFrame) -> DataFrame:
-    """Parsed sections with text or images: path, index (from 1), source_path, title, text, markers, image_paths; marks of missing images go, the others are numbered densely."""
+    """Parsed sections with text or images: path, index (from 1), source_path, title, text, image_paths and what `judged` says; marks of missing images go, the others are numbered densely."""
     places = documents.groupBy("path", "source_path").agg(F.collect_list("pos").alias("places"))
     wanted = places.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("source_path", "places"))).alias("wanted"))
     books = wanted.join(packages.select("path", "names"), "path")
@@ -133,14 +135,14 @@ def sections(documents: DataFrame, parts: DataFrame, packages: DataFrame) -> Dat
     text = marks_renumbered(F.col("s.text"), F.col("keep"))
     out = out.withColumn("text", text).withColumn("image_paths", F.transform(F.filter(F.arrays_zip("refs", "keep"), lambda x: x["keep"]), lambda x: x["refs"]))
     stem = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    # what is asked of a text is said before its section is dealt out, so that the texts stay behind where nobody wants them
+    # what is asked of titles and texts is said before the sections are dealt out, so that texts stay behind where nobody wants them and the patterns aren't left to the few tasks of short rows
     filled = (F.col("text") != "") | (F.size("image_paths") > 0)
-    out = out.withColumns({"title": F.coalesce(F.nullif("s.title", F.lit("")), stem), "filled": filled, "markers": markers_of(F.col("text"))})
-    out = out.select("path", "source_path", "title", "text", "markers", "image_paths", "filled", F.explode("places").alias("pos"))
+    out = judged(out.withColumns({"title": F.coalesce(F.nullif("s.title", F.lit("")), stem), "filled": filled}))
+    out = out.select("path", "source_path", "title", "text", "image_paths", "filled", *JUDGED, F.explode("places").alias("pos"))
     # what is empty isn't counted; it goes after the count, since a filter before it would be moved below the parser and parse all members again
     order = Window.partitionBy("path").orderBy("pos")
     out = out.withColumn("index", F.sum(F.col("filled").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return out.filter("filled").select("path", "index", "source_path", "title", "text", "markers", "image_paths")
+    return out.filter("filled").select("path", "index", "source_path", "title", "text", "image_paths", *JUDGED)
 
 
 def marks_renumbered(text: Column, keep: Column) -> Column:
@@ -160,21 +162,25 @@ def marks_renumbered(text: Column, keep: Column) -> Column:
 
 
 def markers_of(text: Column) -> Column:
-    """The metadata markers that a text has, a line each: all that `skip_section` asks of a text, so whole texts needn't move with a book's sections."""
+    """The metadata markers that a text has, a line each: all that `judged` asks of a text, so whole texts needn't move with a book's sections."""
     t = F.lower(text)
     return F.concat_ws("\n", *[F.when(F.contains(t, F.lit(m)), m) for m in METADATA_MARKERS])
 
 
-def skip_section(index: Column, title: Column, source_path: Column, text: Column) -> Column:
-    """Front matter, notices and untitled sections."""
+def judged(rows: DataFrame) -> DataFrame:
+    """rows with what titles, names and texts say of sections: explicit, the number; apart, whether it is front matter, a notice or
+    untitled; early, whether it is none of the chapters if it is one of the first five."""
+    title = F.col("title")
     t = F.lower(normalize_whitespace(title))
-    name = F.lower(F.regexp_extract(source_path, r"[^/]*$", 0))
-    return (t == "") | is_notice(title) | any_of(t, FRONT_MATTER_NAMES) | any_of(name, FRONT_MATTER_NAMES) | ((index <= 5) & any_of(F.lower(text), METADATA_MARKERS))
+    name = F.lower(F.regexp_extract("source_path", r"[^/]*$", 0))
+    apart = (t == "") | is_notice(title) | any_of(t, FRONT_MATTER_NAMES) | any_of(name, FRONT_MATTER_NAMES)
+    return rows.withColumns({"explicit": chapter_number(title), "apart": apart, "early": any_of(F.lower("text"), METADATA_MARKERS)})
 
 
-def select_chapters(rows: DataFrame, book: list[str], said: str = "text") -> DataFrame:
-    """Sections with explicit numbers; a book without any takes all that aren't skipped, numbered in order. `said` has the texts, or what `markers_of` finds in them."""
-    out = rows.filter(~skip_section(F.col("index"), F.col("title"), F.col("source_path"), F.col(said))).withColumn("explicit", chapter_number(F.col("title")))
+def select_chapters(rows: DataFrame, book: list[str]) -> DataFrame:
+    """Sections with explicit numbers; a book without any takes all that aren't skipped, numbered in order. What `judged` says is taken from rows that have it."""
+    out = rows if set(JUDGED) <= set(rows.columns) else judged(rows)
+    out = out.filter(~(F.col("apart") | ((F.col("index") <= 5) & F.col("early")))).drop("apart", "early")
     w = Window.partitionBy(*book)
     out = out.withColumn("some", F.max(F.col("explicit").isNotNull()).over(w)).filter(~F.col("some") | F.col("explicit").isNotNull())
     rank = F.row_number().over(w.orderBy("index")).cast("long")
@@ -205,7 +211,7 @@ def opened(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
 def chosen_sections(once: tuple[DataFrame, DataFrame]) -> DataFrame:
     """The sections of what `opened` gave that are chapters: those of `sections` with a number."""
     every, books = once
-    return select_chapters(sections(spine_documents(books), every.filter("error IS NULL AND member IS NOT NULL"), books), ["path"], "markers").drop("markers")
+    return select_chapters(sections(spine_documents(books), every.filter("error IS NULL AND member IS NOT NULL"), books), ["path"])
 
 
 def chapter_texts(chosen: DataFrame) -> DataFrame:
